@@ -497,7 +497,7 @@ DL_ALPHA = math.exp(-1 / 3.0)
     {geometric_sql(0.3, "'n'", "'ge'", 'event_id')} AS geometric,
     CASE WHEN {U("'n'", "'di'", 'event_id', "'stay'")} < {(1 - DL_ALPHA) / (1 + DL_ALPHA)!r}::DOUBLE THEN 0
       ELSE (2 * {uniform_int('0', '2', "'n'", "'di'", 'event_id', "'side'")} - 1) * ({geometric_sql(1 - DL_ALPHA, "'n'", "'di'", 'event_id', "'step'")} + 1) END AS discrete_laplace,
-    {settle(f"1::DOUBLE * tan({math.pi!r}::DOUBLE * ({U(chr(39) + 'n' + chr(39), chr(39) + 'ca' + chr(39), 'event_id')} - 0.5::DOUBLE))", 3)} AS cauchy
+    {settle(settle(f"1::DOUBLE * tan({math.pi!r}::DOUBLE * ({U(chr(39) + 'n' + chr(39), chr(39) + 'ca' + chr(39), 'event_id')} - 0.5::DOUBLE))"), 3)} AS cauchy
     FROM events""",
 )
 def noise_columns(spark, sf):

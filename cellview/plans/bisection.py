@@ -161,7 +161,7 @@ def perturb_leaves(leaves: DataFrame, scale: float, *key) -> DataFrame:
     return (
         leaves.withColumn("mean", F.col("total") / F.col("size"))
         .withColumn("noise", noise.laplace(scale, *key, F.col("block")))
-        .withColumn("value", noise.settle(F.col("mean") + F.col("noise") / F.col("size")))
+        .withColumn("value", F.col("mean") + F.col("noise") / F.col("size"))
     )
 
 

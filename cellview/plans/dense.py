@@ -139,6 +139,6 @@ def bucket_release(
     length = F.expr("last - first + 1")
     return (
         bucket_totals(cells, buckets, domain)
-        .select("first", "last", noise.settle(F.col("total") / length + draw / length).alias("y"))
+        .select("first", "last", (F.col("total") / length + draw / length).alias("y"))
         .selectExpr("explode(sequence(first, last)) AS idx", "y")
     )

@@ -13,7 +13,7 @@ import time
 import duckdb
 
 KINDS = {
-    "int": "int", "bigint": "int", "integer": "int", "hugeint": "huge", "double": "float", "string": "text",
+    "int": "int32", "integer": "int32", "bigint": "int64", "hugeint": "int128", "double": "float", "string": "text",
     "varchar": "text", "boolean": "bool",
 }
 
