@@ -1 +1,205 @@
-"""stub"""
+"""Queries on releases, sampling from views, and measured utility."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellview.catalog.base import (
+    BOX_SQL, LI3, Q10_SQL, U, cells_sql, fixed_queries, inside_sql, laplace, lineitem_cells, query, random_ranges_sql, settle,
+    size_sql, table, tiled_view, uniform_int, wide_sql,
+)
+from cellview.catalog.blocks import SYN_SQL
+from cellview.catalog.releases import estimate_sql, histogram_sql, marginals_sql
+from cellview.catalog.workloads import marginals_sql as kway_sql
+from cellview.functions import noise
+from cellview.operators import answer as A
+from cellview.operators import cells as C
+from cellview.operators import evaluate as E
+from cellview.operators import mechanisms as M
+from cellview.operators import workload as W
+from cellview.plans import bisection as B
+from cellview.plans import dense as D
+from cellview.plans import halving as H
+from cellview.session import fresh_path
+from cellview.sources import generate as G
+from cellview.sources import tables as T
+
+VIEW_SQL = f"{cells_sql()}, {BOX_SQL}"
+CUSTOMERS = "SELECT c_custkey AS query_id FROM customer"
+
+
+def customer_queries(spark, sf, k=2, seed="vq"):
+    return W.random_ranges(table(spark, sf, "customer").selectExpr("c_custkey AS query_id"), LI3, k, seed)
+
+
+@query("view_range_count", f"WITH {VIEW_SQL}, {random_ranges_sql(CUSTOMERS, LI3, 2, 'vq')}, {wide_sql(LI3)} {estimate_sql('view', LI3)}")
+def view_range_count(spark, sf):
+    return A.view_range_count(tiled_view(spark, sf), customer_queries(spark, sf), LI3)
+
+
+@query("view_range_count_fixed", f"WITH {VIEW_SQL}, {Q10_SQL}, {wide_sql(LI3)} {estimate_sql('view', LI3)}")
+def view_range_count_fixed(spark, sf):
+    return A.view_range_count(tiled_view(spark, sf), fixed_queries(spark), LI3)
+
+
+@query(
+    "view_marginal",
+    f"""WITH {VIEW_SQL}, pt AS (SELECT CAST(range AS INTEGER) AS x FROM range(50))
+    SELECT a.x AS q, b.x AS d, {settle("sum(value * (" + size_sql(LI3) + ") / ((hi_q - lo_q + 1) * (hi_d - lo_d + 1)))")} AS y
+    FROM view JOIN pt a ON a.x BETWEEN lo_q AND hi_q JOIN pt b ON b.x BETWEEN lo_d AND hi_d GROUP BY a.x, b.x""",
+)
+def view_marginal(spark, sf):
+    return A.view_marginal(tiled_view(spark, sf), LI3, ["q", "d"])
+
+
+@query("histogram_marginal", f"WITH {histogram_sql('hm')} SELECT d, r, {settle('sum(y)')} AS y FROM hist GROUP BY d, r")
+def histogram_marginal(spark, sf):
+    return A.histogram_marginal(D.laplace_histogram(lineitem_cells(spark, sf), LI3, 1.0, "hm"), ["d", "r"])
+
+
+@query("stored_marginal", f"WITH {marginals_sql('sm')} SELECT idx, y FROM marg WHERE proj = 'd,r'")
+def stored_marginal(spark, sf):
+    released = D.laplace_marginals(lineitem_cells(spark, sf), LI3, [["q"], ["d", "r"]], 1.0, "sm")
+    return A.stored_marginal(released, ["d", "r"])
+
+
+def sample_sql(weight: str, source: str = "view") -> str:
+    points = ", ".join(
+        f"CAST(lo_{a} + floor({U(chr(39) + 'vs' + chr(39), chr(39) + 'point' + chr(39), chr(39) + a + chr(39), 'o_orderkey')} * (hi_{a} - lo_{a} + 1)) AS INTEGER) AS {a}"
+        for a in LI3.attrs
+    )
+    order = ", ".join(LI3.ranges())
+    return f"""w AS (SELECT *, {weight} AS w FROM {source}), cum AS (SELECT *, sum(w) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS hi FROM w),
+    t AS (SELECT max(hi) AS total FROM cum), dr AS (SELECT o_orderkey, {U("'vs'", "'box'", 'o_orderkey')} AS u FROM orders)
+    SELECT o_orderkey, {points} FROM dr CROSS JOIN t JOIN cum ON w > 0 AND u >= (hi - w) / total AND u < hi / total"""
+
+
+@query("view_sample", f"WITH {VIEW_SQL}, {sample_sql(f'greatest({settle(f'value * ({size_sql(LI3)})')}, 0)')}")
+def view_sample(spark, sf):
+    return A.view_sample(tiled_view(spark, sf), table(spark, sf, "orders"), "o_orderkey", LI3, "vs")
+
+
+@query(
+    "view_sample_shift",
+    f"""WITH {VIEW_SQL}, x AS (SELECT *, {settle(f'value * ({size_sql(LI3)})')} AS x FROM view), m AS (SELECT min(x) AS lo, sum(x) - count(*) * min(x) AS mass FROM x),
+    {sample_sql('(x - lo) / mass', '(SELECT * FROM x CROSS JOIN m)')}""",
+)
+def view_sample_shift(spark, sf):
+    return A.view_sample(tiled_view(spark, sf), table(spark, sf, "orders"), "o_orderkey", LI3, "vs", mode="shift")
+
+
+@query(
+    "normalize_weights",
+    f"SELECT c_custkey, {settle('(c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT sum(c_acctbal) - count(*) * min(c_acctbal) FROM customer)', 9)} AS share FROM customer",
+)
+def normalize_weights(spark, sf):
+    shares = M.shift_weights(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "share")
+    return shares.select("c_custkey", noise.settle(F.col("share"), 9).alias("share"))
+
+
+@query(
+    "view_size",
+    f"""WITH {VIEW_SQL}, s AS (SELECT lo_r AS trial, count(*) AS leaves, CAST(count(*) * 40 AS BIGINT) AS bytes FROM view GROUP BY lo_r)
+    SELECT trial, leaves, bytes, {4 * LI3.cells() + 96}::DOUBLE AS dense_bytes, CASE WHEN bytes < 1024 THEN printf('%.2f', bytes::DOUBLE) || ' B'
+    WHEN bytes < 1048576 THEN printf('%.2f', bytes / 1024::DOUBLE) || ' KB' ELSE printf('%.2f', bytes / 1048576::DOUBLE) || ' MB' END AS size_text FROM s""",
+)
+def view_size(spark, sf):
+    # the tiles of one flag value stand for one stored view
+    return A.view_size(tiled_view(spark, sf).withColumn("trial", F.col("lo_r")), ["trial"], LI3)
+
+
+@query(
+    "leaf_rectangles",
+    f"WITH {VIEW_SQL} SELECT CAST(lo_q - 0.5 AS DOUBLE) AS x0, CAST(hi_q + 0.5 AS DOUBLE) AS x1, CAST(lo_d - 0.5 AS DOUBLE) AS y0, CAST(hi_d + 0.5 AS DOUBLE) AS y1 FROM view",
+)
+def leaf_rectangles(spark, sf):
+    rects = A.leaf_rectangles(tiled_view(spark, sf), "q", "d")
+    return rects.select(*[F.col(c).cast("double").alias(c) for c in rects.columns])
+
+
+# -------------------------------------------------------------------- utility
+
+TRUTH_SQL = f"""truth AS (SELECT w.query_id, coalesce(CAST(sum(c.v) AS BIGINT), 0) AS truth FROM wq w LEFT JOIN cells c ON {inside_sql(LI3, 'c', 'w')} GROUP BY w.query_id)"""
+ERRORS_SQL = f"""{random_ranges_sql(CUSTOMERS, LI3, 2, 'vq')}, {wide_sql(LI3)}, {TRUTH_SQL}, est AS ({estimate_sql('view', LI3)}),
+errors AS (SELECT query_id, estimate, truth, {settle('abs(estimate - truth)')} AS abs_err, {settle('(estimate - truth) * (estimate - truth)')} AS sq_err FROM est JOIN truth USING (query_id))"""
+
+
+def tile_errors(spark, sf):
+    queries = customer_queries(spark, sf)
+    truths = C.answer_ranges(lineitem_cells(spark, sf), queries, LI3).selectExpr("query_id", "total AS truth")
+    return E.query_errors(A.view_range_count(tiled_view(spark, sf), queries, LI3), truths)
+
+
+@query("query_errors", f"WITH {VIEW_SQL}, {ERRORS_SQL} SELECT * FROM errors")
+def query_errors(spark, sf):
+    return tile_errors(spark, sf)
+
+
+TRIALS_SQL = """, per AS (SELECT query_id % 5 AS trial, avg(abs_err) AS mae, sqrt(avg(sq_err)) AS rmse FROM errors GROUP BY 1),
+parts AS (SELECT trial, (SELECT count(*) FROM view) + trial AS leaves FROM per)"""
+SUMMARY = f"""'tiles' AS method, count(*) AS times, {settle('avg(mae)')} AS mae, {settle('stddev_pop(mae)')} AS mae_std, {settle('avg(rmse)')} AS rmse,
+{settle('stddev_pop(rmse)')} AS rmse_std, {settle('avg(leaves)')} AS leaves, {settle('stddev_pop(leaves)')} AS leaves_std"""
+
+
+def tile_summary(spark, sf):
+    errors = tile_errors(spark, sf).selectExpr("'tiles' AS method", "query_id % 5 AS trial", "abs_err", "sq_err")
+    leaves = tiled_view(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    parts = leaves.selectExpr("'tiles' AS method", "explode(sequence(0L, 4L)) AS trial", "n").selectExpr("method", "trial", "n + trial AS leaves")
+    return E.trial_summary(errors, ["method"], parts)
+
+
+@query("trial_summary", f"WITH {VIEW_SQL}, {ERRORS_SQL}{TRIALS_SQL} SELECT {SUMMARY} FROM per JOIN parts USING (trial)")
+def trial_summary(spark, sf):
+    return tile_summary(spark, sf)
+
+
+@query("result_sink", f"WITH {VIEW_SQL}, {ERRORS_SQL}{TRIALS_SQL} SELECT {SUMMARY} FROM per JOIN parts USING (trial)")
+def result_sink(spark, sf):
+    path, results = fresh_path(spark, "results"), tile_summary(spark, sf)
+    T.save_results(results, path)
+    return spark.read.schema(results.schema).json(path)
+
+
+def kway_distance_sql(k: int) -> str:
+    cols = ", ".join(LI3.attrs)
+    on = " AND ".join(f"a.{c} = b.{c}" for c in LI3.attrs)
+    gid = " + ".join(f"CASE WHEN {c} < 0 THEN {1 << i} ELSE 0 END" for i, c in enumerate(LI3.attrs))
+    return f"""{cells_sql()}, syn AS (SELECT {SYN_SQL} FROM lineitem), syn_cells AS (SELECT {cols}, count(*) AS v FROM syn GROUP BY {cols}),
+    a AS ({kway_sql(LI3, k)}), b AS ({kway_sql(LI3, k, 'syn_cells')}), n AS (SELECT count(*) AS n FROM lineitem),
+    j AS (SELECT {', '.join(f'coalesce(a.{c}, b.{c}) AS {c}' for c in LI3.attrs)}, abs(coalesce(a.answer, 0) / n::DOUBLE - coalesce(b.answer, 0) / n::DOUBLE) AS gap FROM a FULL OUTER JOIN b ON {on} CROSS JOIN n),
+    s AS (SELECT {gid} AS gid, sum(gap) / 2 AS tvd FROM j GROUP BY 1) SELECT count(*) AS marginals, {settle('avg(tvd)')} AS tvd FROM s"""
+
+
+@query("kway_tvd", f"WITH {kway_distance_sql(2)}")
+def kway_tvd(spark, sf):
+    keys = ["l_orderkey", "l_linenumber"]
+    synthetic = G.uniform_codes(table(spark, sf, "lineitem").select(*keys), keys, LI3, "sy")
+    return E.kway_distance(lineitem_cells(spark, sf), C.count_table(synthetic, LI3), LI3, 2)
+
+
+@query("compare_methods")
+def compare_methods(spark, sf):
+    """One random workload, several releases, two trials each: one result table."""
+    cells = lineitem_cells(spark, sf).persist()
+    queries = customer_queries(spark, sf, seed="cm")
+    truths = C.answer_ranges(cells, queries, LI3).selectExpr("query_id", "total AS truth").persist()
+    errors, parts = None, None
+    for trial in range(2):
+        histogram = D.laplace_histogram(cells, LI3, 1.0, "cm", trial)
+        points = histogram.select(*[F.col(a).alias(f"{s}_{a}") for a in LI3.attrs for s in ("lo", "hi")], F.col("y").alias("value"))
+        views = {
+            "bisection": B.bisection_view(cells, LI3, seed="cm", trial=trial, max_depth=3),
+            "halving": H.halving_view(cells, LI3, seed="cm", trial=trial, max_depth=3),
+            "histogram": points,
+        }
+        for method, view in views.items():
+            scored = E.query_errors(A.view_range_count(view, queries, LI3), truths)
+            scored = scored.select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), "abs_err", "sq_err")
+            count = view.agg(F.count(F.lit(1)).alias("leaves")).select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), "leaves")
+            errors = scored if errors is None else errors.unionAll(scored)
+            parts = count if parts is None else parts.unionAll(count)
+    path = fresh_path(spark, "comparison")
+    T.save_results(E.trial_summary(errors, ["method"], parts), path)
+    cells.unpersist()
+    truths.unpersist()
+    return spark.read.json(path)

@@ -55,15 +55,15 @@ def marginal_tables(cells: DataFrame, domain: Domain, k: int) -> DataFrame:
     counted = cells.groupingSets(sets, *[F.col(a) for a in attrs]).agg(
         F.sum("v").alias("v"), F.grouping_id().alias("gid")
     )
-    return counted.select("gid", *[F.coalesce(a, F.lit(-1)).alias(a) for a in attrs], (F.col("v") / total).alias("p"))
+    return counted.select("gid", *[F.coalesce(a, F.lit(-1)).alias(a) for a in attrs], (F.col("v") / total).alias("_p"))
 
 
 def kway_distance(true_cells: DataFrame, other_cells: DataFrame, domain: Domain, k: int) -> DataFrame:
     """Mean total variation distance over all k-way marginals (counts >= 0)."""
     keys = ["gid", *domain.attrs]
     a = marginal_tables(true_cells, domain, k)
-    b = marginal_tables(other_cells, domain, k).withColumnRenamed("p", "q")
-    gap = F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))
+    b = marginal_tables(other_cells, domain, k).withColumnRenamed("_p", "_q")
+    gap = F.abs(F.coalesce("_p", F.lit(0.0)) - F.coalesce("_q", F.lit(0.0)))
     per_set = a.join(b, keys, "full_outer").groupBy("gid").agg((F.sum(gap) / 2).alias("tvd"))
     return per_set.agg(F.count(F.lit(1)).alias("marginals"), noise.settle(F.avg("tvd")).alias("tvd"))
 

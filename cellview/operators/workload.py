@@ -22,8 +22,8 @@ def attribute_sets(domain: DataFrame, k: int) -> DataFrame:
     schema = domain.agg(F.expr("array_sort(collect_list(struct(pos, attr, size))) AS s")).scalar()
     out = domain.selectExpr("pos AS last", "array(attr) AS attrs", "array(size) AS sizes")
     for _ in range(k - 1):
-        out = out.withColumn("_later", F.filter(schema, lambda x: x["pos"] > F.col("last"))).selectExpr(
-            "attrs", "sizes", "inline(_later) AS (last, attr, size)"
+        out = out.withColumn("_all", schema).selectExpr(
+            "attrs", "sizes", "inline(filter(_all, x -> x.pos > last)) AS (last, attr, size)"
         ).selectExpr("last", "array_append(attrs, attr) AS attrs", "array_append(sizes, size) AS sizes")
     return out.selectExpr("concat_ws(',', attrs) AS aset", "attrs", "sizes")
 
