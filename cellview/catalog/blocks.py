@@ -204,8 +204,8 @@ def labelled_blocks(spark, sf):
 
 @query(
     "cut_scores",
-    f"""WITH {cells_sql()}, {B4_SQL}, {LABELLED_SQL}, {brute_cuts_sql(LI3, 'b4', 'lc')}
-    SELECT block, attr, cut, total_l, total_r, score FROM scored""",
+    f"""WITH {cells_sql()}, {B4_SQL}, {LABELLED_SQL}, {brute_cuts_sql(LI3, 'b4', 'lc', '_b4')}
+    SELECT block, attr, cut, total_l, total_r, score FROM scored_b4""",
 )
 def cut_scores(spark, sf):
     from cellview.plans.bisection import score_cuts

@@ -237,7 +237,7 @@ def root_block(cells: DataFrame, domain: Domain) -> DataFrame:
     return total.select(*cols, "total")
 
 
-def candidate_cuts(frontier: DataFrame, domain: Domain) -> DataFrame:
+def candidate_cuts(frontier: DataFrame, domain: Domain, size: Column | None = None) -> DataFrame:
     """Every ``(block, pos, cut)``: left keeps codes up to ``cut``."""
     spans = [
         F.struct(
@@ -249,7 +249,9 @@ def candidate_cuts(frontier: DataFrame, domain: Domain) -> DataFrame:
         for i, a in enumerate(domain.attrs)
     ]
     return (
-        frontier.select("block", "depth", "total", domain.size_column().alias("size"), F.inline(F.array(*spans)))
+        frontier.select(
+            "block", "depth", "total", (domain.size_column() if size is None else size).alias("size"), F.inline(F.array(*spans))
+        )
         .filter("lo < hi")
         .withColumn("cut", F.expr("explode(sequence(lo, hi - 1))"))
     )

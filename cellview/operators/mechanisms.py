@@ -12,6 +12,13 @@ from cellview.operators.layout import running_sum
 SAMPLE_BINS = 1 << 16
 
 
+def best_per_group(df: DataFrame, group: list[str], value: str, order: list[str]) -> DataFrame:
+    """Row with the largest ``value`` per group; ties go to the smallest ``order``."""
+    rank = F.struct(F.col(value), *[(-F.col(c)).alias(f"_o{i}") for i, c in enumerate(order)])
+    payload = F.struct(*[c for c in df.columns if c not in group])
+    return df.groupBy(*group).agg(F.max_by(payload, rank).alias("_p")).select(*group, "_p.*")
+
+
 def exponential_mechanism(
     candidates: DataFrame,
     group: list[str],
@@ -31,10 +38,7 @@ def exponential_mechanism(
     noisy utility ``z``.
     """
     z = noise.utility(F.col(score), epsilon, sensitivity, *key, *[F.col(c) for c in group + identity])
-    drawn = candidates.withColumn("z", z)
-    rank = F.struct(F.col("z"), *[(-F.col(c)).alias(f"_o{i}") for i, c in enumerate(order or [])])
-    payload = F.struct(*[c for c in drawn.columns if c not in group])
-    return drawn.groupBy(*group).agg(F.max_by(payload, rank).alias("_p")).select(*group, "_p.*")
+    return best_per_group(candidates.withColumn("z", z), group, "z", order or [])
 
 
 def random_cut(frontier: DataFrame, domain: Domain, key: tuple) -> DataFrame:

@@ -1,10 +1,10 @@
 """Adaptive bisection view: private cuts until blocks look uniform.
 
 All open blocks of a tree level are processed together.  One level is two
-tables in the scratch folder: the picks (one row per open block with both
-children's statistics) and the cells that still lie in open children.  The
-deviations of the children are a by-product of scoring the cuts, so a level
-reads the cells twice and shuffles only histograms.
+job: it reads the cells once, shuffles only histograms and stores the picks,
+one row per open block with the statistics of both children, which are a
+by-product of scoring the cuts.  The cells that still lie in open blocks are
+stored anew every few levels.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from cellview.domain import Domain
 from cellview.functions import noise
 from cellview.operators import cells as C
-from cellview.operators.layout import attach
-from cellview.operators.mechanisms import exponential_mechanism, random_cut
+from cellview.operators.layout import BROADCAST_ROWS, attach
+from cellview.operators.mechanisms import best_per_group, random_cut
 from cellview.session import discard, fresh_path
 
 
@@ -79,30 +79,41 @@ def score_cuts(stats: DataFrame) -> DataFrame:
     return stats.withColumn("score", noise.settle(-(F.col("ae_l") + F.col("ae_r"))))
 
 
-def pick_cuts(histogram, frontier, domain: Domain, plan: BisectionPlan, depth: int, rows: int, seed, trial) -> DataFrame:
-    """One cut per open block, with the statistics of both sides."""
-    if depth <= plan.last_scored_depth(domain):
-        cuts = C.candidate_cuts(frontier, domain)
-        bound = rows * sum(domain.sizes.values())
-        stats = score_cuts(C.cut_statistics(histogram, cuts, bound))
-        sensitivity = F.lit(2.0) * (F.lit(2.0) - F.lit(2.0) / F.col("size"))
-        return exponential_mechanism(
-            stats, ["block"], ["attr", "cut"], "score", plan.epsilon_cut(domain), sensitivity,
-            (seed, "cut", trial), order=["pos", "cut"],
-        )
-    cuts = random_cut(frontier.withColumn("size", domain.size_column()), domain, (seed, "random-cut", trial))
-    return C.cut_statistics(histogram, cuts.select(*C.CUT), rows, all_cuts=False)
-
-
-def _judge(picks: DataFrame, plan: BisectionPlan, last: bool, seed, trial) -> DataFrame:
-    """Add ``open_l`` and ``open_r``; at the last depth every child closes."""
-    depth, flags = F.col("depth") + 1, []
-    for side, letter in (("l", "L"), ("r", "R")):
-        child = F.concat(F.col("block"), F.lit(letter))
-        test = keeps_open(F.col(f"ae_{side}"), F.col(f"size_{side}"), depth, plan, seed, "stop", trial, child)
-        flags.append((F.lit(False) if last else test).alias(f"open_{side}"))
-    return picks.select("*", *flags)
+class _Draws:
+    """Keyed columns of the level loop; the same for every level, built once."""
 
+    def __init__(self, domain: Domain, plan: BisectionPlan, seed, trial):
+        self.domain, self.plan, self.key = domain, plan, (seed, "random-cut", trial)
+        self.size = domain.size_column()
+        self.score = noise.settle(-(F.col("ae_l") + F.col("ae_r"))).alias("score")
+        sensitivity = F.expr("2.0D * (2.0D - 2.0D / size)")
+        self.utility = noise.utility(
+            F.col("score"), plan.epsilon_cut(domain), sensitivity, seed, "cut", trial, *[F.col(c) for c in ("block", "attr", "cut")]
+        )
+        depth = F.col("depth") + 1
+        self.stays = [
+            keeps_open(
+                F.col(f"ae_{side}"), F.col(f"size_{side}"), depth, plan,
+                seed, "stop", trial, F.concat(F.col("block"), F.lit(letter)),
+            ).alias(f"open_{side}")
+            for side, letter in (("l", "L"), ("r", "R"))
+        ]
+        self.closed = [F.lit(False).alias("open_l"), F.lit(False).alias("open_r")]
+
+    def picks(self, histogram, frontier, depth: int, rows: int, last: bool) -> DataFrame:
+        """One cut per open block, with both sides' statistics and stop tests."""
+        if depth <= self.plan.last_scored_depth(self.domain):
+            cuts = C.candidate_cuts(frontier, self.domain, self.size)
+            bound = rows * sum(self.domain.sizes.values())
+            stats = C.cut_statistics(histogram, cuts, bound).select("*", self.score)
+            chosen = best_per_group(stats.select("*", self.utility.alias("z")), ["block"], "z", ["pos", "cut"])
+        else:
+            cuts = random_cut(frontier.select("*", self.size.alias("size")), self.domain, self.key)
+            chosen = C.cut_statistics(histogram, cuts.select(*C.CUT), rows, all_cuts=False)
+        return chosen.select("*", *(self.closed if last else self.stays))
+
+
+RELABEL_LEVELS = 4
 
 CARRY = [
     ("total", "total_l", "total_r"),
@@ -129,15 +140,16 @@ def bisection_leaves(
     if domain.cells() < 2:
         raise ValueError("a domain of one cell cannot be cut")
     base = fresh_path(spark, "bisection")
-    counted = C.count_table_from_counts(cells, domain).withColumn("block", F.lit("0"))
-    counted.select("block", *domain.attrs, "v").write.parquet(f"{base}/cells0")
-    current = spark.read.parquet(f"{base}/cells0")
+    counted = C.count_table_from_counts(cells, domain).select(F.lit("0").alias("block"), *domain.attrs, "v")
+    counted.write.parquet(f"{base}/cells0")
+    stored_at = 0
+    current = spark.read.schema(counted.schema).parquet(f"{base}/cells0")
     frontier = C.root_block(current, domain)
-    depth, rows = 0, 1
+    draws, depth, rows = _Draws(domain, plan, seed, trial), 0, 1
     while True:
         last = max_depth is not None and depth + 1 >= max_depth
         histogram = C.code_histogram(current, frontier, domain).persist()
-        picks = _judge(pick_cuts(histogram, frontier, domain, plan, depth, rows, seed, trial), plan, last, seed, trial)
+        picks = draws.picks(histogram, frontier, depth, rows, last)
         picks = attach(picks, frontier.select("block", *domain.ranges()), ["block"], rows)
         seen = Observation(f"level{depth}")
         counted = picks.observe(seen, F.expr("coalesce(sum(int(open_l) + int(open_r)), 0) AS n"))
@@ -146,12 +158,18 @@ def bisection_leaves(
         still_open = seen.get["n"]
         if not still_open:
             break
-        stored = spark.read.schema(picks.schema).parquet(f"{base}/picks/level={depth:04d}")
-        C.relabel_cells(current, stored, domain, rows).write.parquet(f"{base}/cells{depth + 1}")
-        discard(spark, f"{base}/cells{depth}")
-        current = spark.read.schema(current.schema).parquet(f"{base}/cells{depth + 1}")
-        frontier = C.split_blocks(stored, domain, CARRY).filter("open").drop("ae", "size", "open")
-        depth, rows = depth + 1, still_open
+        level = spark.read.schema(picks.schema).parquet(f"{base}/picks/level={depth:04d}")
+        current = C.relabel_cells(current, level, domain, rows)
+        depth += 1
+        # a few levels of relabelling ride along with the scan as broadcast
+        # joins; after that, or once they would shuffle, the cells are stored
+        if depth - stored_at >= RELABEL_LEVELS or still_open > BROADCAST_ROWS:
+            current.write.parquet(f"{base}/cells{depth}")
+            current = spark.read.schema(current.schema).parquet(f"{base}/cells{depth}")
+            discard(spark, f"{base}/cells{stored_at}")
+            stored_at = depth
+        frontier = C.split_blocks(level, domain, CARRY).filter("open").drop("ae", "size", "open")
+        rows = still_open
     every = spark.read.parquet(f"{base}/picks")
     return C.split_blocks(every, domain, CARRY).filter(~F.col("open")).drop("open")
 

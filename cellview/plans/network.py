@@ -289,9 +289,10 @@ def ancestral_sample(
             lifted = [f"{levels[a].lift(a, lvl)} AS p_{a}" for a, lvl in f.parents]
             cells = math.prod(levels[a].sizes[lvl] for a, lvl in f.parents)
             out = attach(out.selectExpr("*", *lifted), mine.select(*on, F.col("cdf").alias("_cdf")), on, cells).drop(*on)
-        out = out.withColumn("_u", u).withColumn(
-            f.child, F.expr("int(least(size(filter(_cdf, c -> c <= _u)), size(_cdf) - 1))")
-        ).drop("_u", "_cdf")
+        # the outer lambda draws once per record, not once per code; the default
+        # tells Spark that codes are never null, so joins need no extra filter
+        place = "transform(array(_u), u -> least(size(filter(_cdf, c -> c <= u)), size(_cdf) - 1))[0]"
+        out = out.withColumn("_u", u).withColumn(f.child, F.expr(f"coalesce(int({place}), 0)")).drop("_u", "_cdf")
     return out.select(row_key, *attrs)
 
 
