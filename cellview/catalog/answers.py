@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellview.catalog.base import (
-    BOX_SQL, LI3, Q10_SQL, U, cells_sql, fixed_queries, inside_sql, laplace, lineitem_cells, query, random_ranges_sql, settle,
+    BOX_SQL, LI3, Q10_SQL, U, cells_sql, fixed_queries, inside_sql, lineitem_cells, query, random_ranges_sql, rounded, settle,
     size_sql, table, tiled_view, uniform_int, wide_sql,
 )
 from cellview.catalog.blocks import SYN_SQL
@@ -34,22 +34,22 @@ def customer_queries(spark, sf, k=2, seed="vq"):
 
 @query("view_range_count", f"WITH {VIEW_SQL}, {random_ranges_sql(CUSTOMERS, LI3, 2, 'vq')}, {wide_sql(LI3)} {estimate_sql('view', LI3)}")
 def view_range_count(spark, sf):
-    return A.view_range_count(tiled_view(spark, sf), customer_queries(spark, sf), LI3)
+    return rounded(A.view_range_count(tiled_view(spark, sf), customer_queries(spark, sf), LI3), "estimate")
 
 
 @query("view_range_count_fixed", f"WITH {VIEW_SQL}, {Q10_SQL}, {wide_sql(LI3)} {estimate_sql('view', LI3)}")
 def view_range_count_fixed(spark, sf):
-    return A.view_range_count(tiled_view(spark, sf), fixed_queries(spark), LI3)
+    return rounded(A.view_range_count(tiled_view(spark, sf), fixed_queries(spark), LI3), "estimate")
 
 
 @query(
     "view_marginal",
     f"""WITH {VIEW_SQL}, pt AS (SELECT CAST(range AS INTEGER) AS x FROM range(50))
-    SELECT a.x AS q, b.x AS d, {settle("sum(value * (" + size_sql(LI3) + ") / ((hi_q - lo_q + 1) * (hi_d - lo_d + 1)))")} AS y
+    SELECT a.x AS q, b.x AS d, {settle("sum(value * (" + size_sql(LI3) + ") / ((hi_q - lo_q + 1) * (hi_d - lo_d + 1)))", 3)} AS y
     FROM view JOIN pt a ON a.x BETWEEN lo_q AND hi_q JOIN pt b ON b.x BETWEEN lo_d AND hi_d GROUP BY a.x, b.x""",
 )
 def view_marginal(spark, sf):
-    return A.view_marginal(tiled_view(spark, sf), LI3, ["q", "d"])
+    return rounded(A.view_marginal(tiled_view(spark, sf), LI3, ["q", "d"]), "y")
 
 
 @query("histogram_marginal", f"WITH {histogram_sql('hm')} SELECT d, r, {settle('sum(y)')} AS y FROM hist GROUP BY d, r")
@@ -120,8 +120,8 @@ def leaf_rectangles(spark, sf):
 # -------------------------------------------------------------------- utility
 
 TRUTH_SQL = f"""truth AS (SELECT w.query_id, coalesce(CAST(sum(c.v) AS BIGINT), 0) AS truth FROM wq w LEFT JOIN cells c ON {inside_sql(LI3, 'c', 'w')} GROUP BY w.query_id)"""
-ERRORS_SQL = f"""{random_ranges_sql(CUSTOMERS, LI3, 2, 'vq')}, {wide_sql(LI3)}, {TRUTH_SQL}, est AS ({estimate_sql('view', LI3)}),
-errors AS (SELECT query_id, estimate, truth, {settle('abs(estimate - truth)')} AS abs_err, {settle('(estimate - truth) * (estimate - truth)')} AS sq_err FROM est JOIN truth USING (query_id))"""
+ERRORS_SQL = f"""{random_ranges_sql(CUSTOMERS, LI3, 2, 'vq')}, {wide_sql(LI3)}, {TRUTH_SQL}, est AS ({estimate_sql('view', LI3, digits=None)}),
+errors AS (SELECT query_id, estimate, truth, abs(estimate - truth) AS abs_err, (estimate - truth) * (estimate - truth) AS sq_err FROM est JOIN truth USING (query_id))"""
 
 
 def tile_errors(spark, sf):
@@ -130,9 +130,9 @@ def tile_errors(spark, sf):
     return E.query_errors(A.view_range_count(tiled_view(spark, sf), queries, LI3), truths)
 
 
-@query("query_errors", f"WITH {VIEW_SQL}, {ERRORS_SQL} SELECT * FROM errors")
+@query("query_errors", f"WITH {VIEW_SQL}, {ERRORS_SQL} SELECT query_id, {settle('estimate', 3)} AS estimate, truth, {settle('abs_err', 3)} AS abs_err, {settle('sq_err', 3)} AS sq_err FROM errors")
 def query_errors(spark, sf):
-    return tile_errors(spark, sf)
+    return rounded(tile_errors(spark, sf), "estimate", "abs_err", "sq_err")
 
 
 TRIALS_SQL = """, per AS (SELECT query_id % 5 AS trial, avg(abs_err) AS mae, sqrt(avg(sq_err)) AS rmse FROM errors GROUP BY 1),

@@ -157,6 +157,11 @@ def random_ranges_sql(ids: str, domain: Domain, k: int, seed: str, marginal: boo
 {name} AS (SELECT query_id, attr, lo, {hi} AS hi FROM {name}_start)"""
 
 
+def rounded(df: DataFrame, *columns: str, digits: int = 3) -> DataFrame:
+    """Round summed estimates, whose last digits depend on the order of addition."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 # ---------------------------------------------------- boxes that tile li (q,d)
 
 BOX_SQL = f"""boxes AS (SELECT (q // 7) * 7 AS lo_q, least((q // 7) * 7 + 6, 49) AS hi_q,

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cellview.catalog.base import (
-    BOX_SQL, LI3, LI5, Q10_SQL, U, cells_sql, fixed_queries, inside_sql, laplace, lineitem_cells, query, settle, size_sql,
+    BOX_SQL, LI3, LI5, Q10_SQL, U, cells_sql, fixed_queries, inside_sql, laplace, lineitem_cells, query, rounded, settle, size_sql,
     tiled_view, utility, wide_sql,
 )
 from cellview.catalog.blocks import brute_cuts_sql, grid_cte
@@ -93,18 +93,19 @@ def bisect_view(spark, sf):
     return small_bisection(spark, sf).select(*VIEW)
 
 
-def estimate_sql(source: str, domain, queries: str = "wq") -> str:
+def estimate_sql(source: str, domain, queries: str = "wq", digits: int | None = 3) -> str:
     """Brute-force range counts on the boxes of ``source``."""
     parts = " * ".join(
         f"greatest(least(w.hi_{a}, b.hi_{a}) - greatest(w.lo_{a}, b.lo_{a}) + 1, 0)::DOUBLE" for a in domain.attrs
     )
-    return f"SELECT w.query_id, {settle(f'coalesce(sum({parts} * b.value), 0)')} AS estimate FROM {queries} w CROSS JOIN {source} b GROUP BY w.query_id"
+    total = f"coalesce(sum({parts} * b.value), 0)"
+    return f"SELECT w.query_id, {total if digits is None else settle(total, digits)} AS estimate FROM {queries} w CROSS JOIN {source} b GROUP BY w.query_id"
 
 
 @query("bisect_view_answers", f"WITH {BISECTION}, {Q10_SQL}, {wide_sql(LI3)} {estimate_sql('view', LI3)}")
 def flagship(spark, sf):
     view = B.published(small_bisection(spark, sf), LI3)
-    return A.view_range_count(view, fixed_queries(spark), LI3)
+    return rounded(A.view_range_count(view, fixed_queries(spark), LI3), "estimate")
 
 
 @query("bisect_view_open")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellview.domain import Domain
 from cellview.functions import noise
 from cellview.operators import cells as C
+from cellview.operators.layout import attach
 from cellview.operators.mechanisms import shift_weights, weighted_sample
 
 
@@ -24,7 +25,7 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain) -> Dat
     attribute; a pair is counted in the first bin the two share.
     """
     wide = C.widen_queries(queries, domain)
-    masks = C.attribute_sets(wide)
+    masks, asked_rows = C.attribute_sets(wide)
     attrs, width = domain.attrs, C._bin_width(domain)
     bounds = domain.ranges()
     sets = [[F.col(f"{s}_{a}") for i, a in enumerate(attrs) if m >> i & 1 for s in ("lo", "hi")] for m in masks]
@@ -57,9 +58,10 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain) -> Dat
         used = F.col(f"b_lo_{a}").isNotNull()
         overlap = overlap & (~used | (cut > 0))
         share = share * F.when(used, cut / (F.col(f"b_hi_{a}") - F.col(f"b_lo_{a}") + F.lit(1))).otherwise(F.lit(1.0))
-    hits = boxes.join(asked, ["mask", "bin"]).filter(overlap).groupBy("query_id").agg(F.sum(share).alias("_s"))
+    pairs = attach(boxes, asked, ["mask", "bin"], asked_rows * (C.BINS + 1))
+    hits = pairs.filter(overlap).groupBy("query_id").agg(F.sum(share).alias("_s"))
     return wide.join(hits, "query_id", "left").select(
-        "query_id", noise.settle(F.coalesce("_s", F.lit(0.0))).alias("estimate")
+        "query_id", F.coalesce("_s", F.lit(0.0)).alias("estimate")
     )
 
 
@@ -76,7 +78,7 @@ def view_marginal(view: DataFrame, domain: Domain, attrs: list[str]) -> DataFram
     )
     for a in attrs:
         out = out.withColumn(a, F.expr(f"explode(sequence(lo_{a}, hi_{a}))"))
-    return out.groupBy(*attrs).agg(noise.settle(F.sum("_y")).alias("y"))
+    return out.groupBy(*attrs).agg(F.sum("_y").alias("y"))
 
 
 def histogram_marginal(histogram: DataFrame, attrs: list[str]) -> DataFrame:

@@ -98,16 +98,22 @@ def _lead(domain: Domain, side: str) -> Column:
     return out
 
 
-def _bin_width(domain: Domain, bins: int = 32) -> int:
-    return max(1, -(-max(domain.sizes.values()) // bins))
+BINS = 32
 
 
-def attribute_sets(wide: DataFrame, limit: int = 4096) -> list[int]:
-    """Distinct attribute masks of a workload: metadata, bounded by the schema."""
-    masks = [r.mask for r in wide.select("mask").distinct().limit(limit + 1).collect()]
-    if len(masks) > limit:
+def _bin_width(domain: Domain) -> int:
+    return max(1, -(-max(domain.sizes.values()) // BINS))
+
+
+def attribute_sets(wide: DataFrame, limit: int = 4096) -> tuple[list[int], int]:
+    """Distinct attribute masks of a workload and its number of queries.
+
+    The masks are metadata: there are no more than the schema allows.
+    """
+    found = wide.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
+    if len(found) > limit:
         raise ValueError(f"a workload over more than {limit} attribute sets must be answered in parts")
-    return sorted(masks)
+    return sorted(r.mask for r in found), sum(r.n for r in found)
 
 
 def answer_ranges(cells: DataFrame, queries: DataFrame, domain: Domain) -> DataFrame:
@@ -121,7 +127,7 @@ def answer_ranges(cells: DataFrame, queries: DataFrame, domain: Domain) -> DataF
     non-empty cells of the full table.
     """
     wide = widen_queries(queries, domain)
-    masks = attribute_sets(wide)
+    masks, asked_rows = attribute_sets(wide)
     attrs, width = domain.attrs, _bin_width(domain)
     sets = [[F.col(a) for i, a in enumerate(attrs) if m >> i & 1] for m in masks]
     # grouping_id() has a bit set for every column that is summed away
@@ -151,7 +157,7 @@ def answer_ranges(cells: DataFrame, queries: DataFrame, domain: Domain) -> DataF
     for a in attrs:
         inside = inside & (F.col(a).isNull() | F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}")))
     hits = (
-        parts.join(asked, ["mask", "bin"])
+        attach(parts, asked, ["mask", "bin"], asked_rows * (BINS + 1))
         .filter(inside)
         .groupBy("query_id")
         .agg(F.sum("v").alias("_v"), F.sum("n").alias("_n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellview.operators.layout import number_rows
+from cellview.operators.layout import attach, number_rows
 
 
 def keep_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,12 +80,17 @@ def value_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     return number_rows(values, [column], code).withColumn(code, F.col(code).cast("int"))
 
 
-def dense_code(df: DataFrame, column: str) -> DataFrame:
-    """Replace a column by the rank of its value.
+def replace_by_code(df: DataFrame, column: str, codes: DataFrame, code: str, rows: int | None = None) -> DataFrame:
+    """Swap a column's values for the codes of a dictionary ``(column, code)``.
 
-    The dictionary is a stored table, so its size is known: Spark broadcasts it
-    while it is small and shuffles otherwise, splitting hot values at run time.
+    Values the dictionary lacks become null.  The dictionary's size decides
+    between a broadcast and a shuffle that deals hot values over many tasks.
     """
-    codes = value_codes(df, column, "_code").withColumnRenamed(column, "_value")
-    joined = df.join(codes, F.col(column) == F.col("_value"), "left")
+    entries = codes.select(F.col(column), F.col(code).alias("_code"))
+    joined = attach(df, entries, [column], entries.count() if rows is None else rows, "left")
     return joined.select(*[F.col("_code").alias(c) if c == column else F.col(c) for c in df.columns])
+
+
+def dense_code(df: DataFrame, column: str) -> DataFrame:
+    """Replace a column by the rank of its value."""
+    return replace_by_code(df, column, value_codes(df, column, "_rank"), "_rank")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellview.domain import Domain
-from cellview.operators.clean import value_codes
+from cellview.operators.clean import replace_by_code, value_codes
 
 TEXT = {"string", "boolean"}
 WHOLE = {"byte", "short", "integer", "long"}
@@ -99,9 +99,8 @@ def apply_codes(df: DataFrame, fits: list[Fitted], source: DataFrame) -> DataFra
     for f in fits:
         c = F.col(f.attr)
         if f.kind == "category":
-            codes = value_codes(source, f.attr, f"_code_{f.attr}").withColumnRenamed(f.attr, f"_value_{f.attr}")
-            out = out.join(codes, c == F.col(f"_value_{f.attr}"), "left")
-            cols.append(F.col(f"_code_{f.attr}").alias(f.attr))
+            out = replace_by_code(out, f.attr, value_codes(source, f.attr, "_rank"), "_rank", f.size)
+            cols.append(c)
             continue
         code = offset_code(c, f.low) if f.kind == "offset" else width_code(c, f.low, f.high, f.size)
         cols.append(F.greatest(F.lit(0), F.least(code, F.lit(f.size - 1))).alias(f.attr))
@@ -148,23 +147,22 @@ def specialize_grid(code: Column, lvl: int) -> tuple[Column, Column]:
 # declared order and, per level, the segment that holds it.
 
 
+def _swap(df: DataFrame, column: str, taxonomy: DataFrame, lvl: int, old: str, new: str) -> DataFrame:
+    entries = taxonomy.filter(F.col("lvl") == lvl).select(F.col(old).alias(column), F.col(new).alias("_new"))
+    return replace_by_code(df, column, entries, "_new")
+
+
 def encode_taxonomy(df: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
     """Replace values by leaf codes; undeclared values become null."""
-    leaves = taxonomy.filter("lvl = 0").select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    joined = df.join(leaves, F.col(column) == F.col("_value"), "left")
-    return joined.select(*[F.col("_code").alias(c) if c == column else F.col(c) for c in df.columns])
+    return _swap(df, column, taxonomy, 0, "value", "code")
 
 
 def decode_taxonomy(df: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
-    leaves = taxonomy.filter("lvl = 0").select(F.col("code").alias("_code"), F.col("value").alias("_value"))
-    joined = df.join(leaves, F.col(column) == F.col("_code"), "left")
-    return joined.select(*[F.col("_value").alias(c) if c == column else F.col(c) for c in df.columns])
+    return _swap(df, column, taxonomy, 0, "code", "value")
 
 
 def generalize_taxonomy(df: DataFrame, column: str, lvl: int, taxonomy: DataFrame) -> DataFrame:
-    lifts = taxonomy.filter(F.col("lvl") == lvl).select(F.col("code").alias("_code"), F.col("segment").alias("_segment"))
-    joined = df.join(lifts, F.col(column) == F.col("_code"), "left")
-    return joined.select(*[F.col("_segment").alias(c) if c == column else F.col(c) for c in df.columns])
+    return _swap(df, column, taxonomy, lvl, "code", "segment")
 
 
 def specialize_taxonomy(taxonomy: DataFrame) -> DataFrame:

@@ -12,23 +12,34 @@ from pyspark.sql import functions as F
 from cellview.session import materialize
 
 BROADCAST_ROWS = 200_000
-SALTS = 32
+HOT_ROWS = 1_000_000
 HASH_BUCKETS = 1 << 20
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
     """Equi-join ``big`` to ``small``, of which at most ``rows`` rows exist.
 
-    A small table within the limit is broadcast.  A larger one is repeated once
-    per salt while ``big`` draws its salt from its own row, so that a single
-    hot key spreads over ``SALTS`` tasks.  ``how`` is ``inner``, ``left`` or
-    ``left_semi``.
+    A small table within the limit is broadcast and ``big`` does not move.
+    Beyond it both sides shuffle, and a key with more than ``HOT_ROWS`` rows in
+    ``big`` is dealt over several tasks: its rows draw a salt from their own
+    content, its partners in ``small`` are repeated once per salt.  Other keys
+    are not repeated.  There are at most ``rows(big) / HOT_ROWS`` hot keys, so
+    their list is small by construction.  ``how`` is ``inner`` or ``left``.
     """
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    hot = F.broadcast(
+        big.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > HOT_ROWS)
+        .select(*keys, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_deal"))
+    )
+    salt = F.pmod(F.xxhash64(*big.columns), F.coalesce("_deal", F.lit(1))).cast("int")
+    dealt = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_deal")
+    copies = small.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_deal", F.lit(1)) - F.lit(1)))
+    ).drop("_deal")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def running_sum(df: DataFrame, order_by: list[str], value: Column, name: str) -> DataFrame:
@@ -68,13 +79,13 @@ def mark_smallest(df: DataFrame, draw: Column, ties: list[str], wanted, name: st
     """Flag exactly the rows with the smallest uniform ``draw``.
 
     ``wanted`` maps the column of the total row count to the number of rows to
-    flag.  Rows are counted per slice of the unit interval; slices below the
-    boundary are flagged whole, and only the boundary slice (about one row in
-    ``HASH_BUCKETS``) is ranked.
+    flag.  A first pass counts rows per slice of the unit interval, a second one
+    ranks the boundary slice only (about one row in ``HASH_BUCKETS``) and finds
+    the last row to flag; both read just the key columns.  The result is then a
+    plain comparison per row.
     """
-    drawn = df.withColumn("_u", draw).withColumn(
-        "_slice", F.floor(F.col("_u") * F.lit(float(HASH_BUCKETS))).cast("int")
-    )
+    slice_of = F.floor(F.col("_u") * F.lit(float(HASH_BUCKETS))).cast("int")
+    drawn = df.withColumn("_u", draw).withColumn("_slice", slice_of)
     running = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     slices = (
@@ -88,12 +99,13 @@ def mark_smallest(df: DataFrame, draw: Column, ties: list[str], wanted, name: st
     left = slices.agg(
         F.coalesce(F.min_by(F.col("_want") - (F.col("_upto") - F.col("_n")), "_over"), F.lit(0)).alias("left")
     ).scalar()
-    drawn = drawn.withColumn("_edge", edge)
-    whole = drawn.filter(F.col("_slice") != F.col("_edge")).withColumn(name, F.col("_slice") < F.col("_edge"))
-    ranked = (
-        drawn.filter(F.col("_slice") == F.col("_edge"))
+    place = F.struct("_u", *ties)
+    last = (
+        drawn.filter(F.col("_slice") == edge)
         .withColumn("_rank", F.row_number().over(Window.partitionBy("_slice").orderBy("_u", *ties)))
-        .withColumn(name, F.col("_rank") <= left)
-        .drop("_rank")
+        .filter(F.col("_rank") == left)
+        .select(place.alias("last"))
+        .scalar()
     )
-    return whole.unionByName(ranked).drop("_u", "_slice", "_edge")
+    inside = (F.col("_slice") < edge) | ((F.col("_slice") == edge) & F.coalesce(place <= last, F.lit(False)))
+    return drawn.withColumn(name, inside).drop("_u", "_slice")

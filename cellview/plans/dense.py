@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellview.domain import Domain, flat_index, grid, require_dense
+from cellview.domain import Domain, flat_index, require_dense
 from cellview.functions import noise
 from cellview.operators import cells as C
 from cellview.session import materialize
@@ -28,21 +28,20 @@ def laplace_marginals(
     spark = cells.sparkSession
     scale = len(projections) / epsilon
     attrs = domain.attrs
-    sets = [[F.col(a) for a in p] for p in projections]
-    counted = cells.groupingSets(sets, *[F.col(a) for a in attrs]).agg(
-        F.sum("v").cast("bigint").alias("v"), F.grouping_id().alias("gid")
-    )
-    out = None
+    counted = cells.groupingSets(
+        [[F.col(a) for a in p] for p in projections], *[F.col(a) for a in attrs]
+    ).agg(F.sum("v").cast("bigint").alias("v"), F.grouping_id().alias("gid"))
+    grids, name, index = None, F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for p in projections:
-        part = domain.keep(p)
-        gid = sum(1 << (len(attrs) - 1 - i) for i, a in enumerate(attrs) if a not in p)
-        mine = counted.filter(F.col("gid") == gid).select(flat_index(part).alias("idx"), "v")
-        name = ",".join(p)
-        dense = (
-            grid(spark, part).select("idx").join(mine, "idx", "left")
-            .select(F.lit(name).alias("proj"), "idx", F.expr("coalesce(v, 0L) AS v"))
-        )
-        out = dense if out is None else out.unionAll(dense)
+        part, label = domain.keep(p), ",".join(p)
+        require_dense(part)
+        here = F.col("gid") == sum(1 << (len(attrs) - 1 - i) for i, a in enumerate(attrs) if a not in p)
+        name = F.when(here, F.lit(label)).otherwise(name)
+        index = F.when(here, flat_index(part)).otherwise(index)
+        cells_of = spark.range(part.cells()).select(F.lit(label).alias("proj"), F.col("id").alias("idx"))
+        grids = cells_of if grids is None else grids.unionAll(cells_of)
+    sums = counted.select(name.alias("proj"), index.alias("idx"), "v")
+    out = grids.join(sums, ["proj", "idx"], "left").select("proj", "idx", F.expr("coalesce(v, 0L) AS v"))
     draw = noise.laplace(scale, seed, "marginal", trial, F.col("proj"), F.col("idx"))
     return out.withColumn("y", noise.settle(F.col("v") + draw))
 

@@ -50,8 +50,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+_created: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _created.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +66,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; frames that read them end."""
+    for path in _created.pop(spark.sparkContext.applicationId, []):
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing reads any more."""
     root = scratch_root(spark)
