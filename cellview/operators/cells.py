@@ -8,7 +8,9 @@ The sum of absolute deviations of a block from its mean ``m`` equals
 ``2 * sum(v - m)`` over the cells with ``v > m``: positive and negative parts
 cancel, and an empty cell is never above a mean of counts.  Deviations are
 therefore computed from non-empty cells only, and from a histogram of their
-values, so no task ever receives all cells of one block.
+values, so no task ever receives all cells of one block.  Only whole numbers
+are summed (counts, and cells above the mean), which makes the results
+independent of partitioning to the last bit.
 """
 
 from __future__ import annotations
@@ -219,17 +221,18 @@ def block_deviation(histogram: DataFrame, blocks: DataFrame, domain: Domain) ->
     of twice the number of records, never the cells themselves.
     """
     sized = blocks.select("block", domain.size_column().alias("size"))
-    joined = sized.join(histogram, "block", "left")
-    mean = F.coalesce(F.sum(F.col("v") * F.col("n")).over(Window.partitionBy("block")), F.lit(0)) / F.col("size")
+    totals = Window.partitionBy("block")
     return (
-        joined.withColumn("mean", mean)
-        .groupBy("block", "size", "mean")
+        sized.join(histogram, "block", "left")
+        .select("block", "size", "v", "n", F.coalesce(F.sum(F.expr("v * n")).over(totals), F.lit(0)).alias("total"))
+        .groupBy("block", "size", "total")
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("nonempty"),
-            F.coalesce(F.sum(F.col("v") * F.col("n")), F.lit(0)).cast("bigint").alias("total"),
-            F.coalesce(
-                F.sum(F.lit(2.0) * F.greatest(F.col("v") - F.col("mean"), F.lit(0.0)) * F.col("n")), F.lit(0.0)
-            ).alias("ae"),
+            F.expr("coalesce(sum(n), 0L) AS nonempty"),
+            F.expr("coalesce(sum(if(v > total / size, v * n, 0)), 0L) AS _sum"),
+            F.expr("coalesce(sum(if(v > total / size, n, 0)), 0L) AS _num"),
+        )
+        .selectExpr(
+            "block", "size", "nonempty", "total", "total / size AS mean", "2.0D * (_sum - _num * (total / size)) AS ae"
         )
     )
 
@@ -316,16 +319,21 @@ def cut_statistics(histogram: DataFrame, cuts: DataFrame, rows: int, all_cuts: b
             .agg(F.expr("sum(if(code <= cut, v * n, 0)) AS total_l"))
         )
     sided = sided.selectExpr(*CUT, *SIDES)
-    kept = [c for c in sided.columns]
-    side = F.expr("if(code <= cut, total_l / size_l, total_r / size_r)")
+    # whole numbers are summed, so the result does not depend on row order
+    above = "v > if(code <= cut, total_l / size_l, total_r / size_r)"
     return (
         attach(histogram, sided, ["block", "pos"], rows)
-        .select(*kept, "code", F.expr("n * 2.0D") * F.greatest(F.col("v") - side, F.lit(0.0)).alias("dev"))
-        .toDF(*kept, "code", "dev")
-        .groupBy(*kept)
+        .groupBy(*sided.columns)
         .agg(
-            F.expr("sum(if(code <= cut, dev, 0.0D)) AS ae_l"),
-            F.expr("sum(if(code <= cut, 0.0D, dev)) AS ae_r"),
+            F.expr(f"sum(if(code <= cut and {above}, v * n, 0)) AS sum_l"),
+            F.expr(f"sum(if(code <= cut and {above}, n, 0)) AS num_l"),
+            F.expr(f"sum(if(code > cut and {above}, v * n, 0)) AS sum_r"),
+            F.expr(f"sum(if(code > cut and {above}, n, 0)) AS num_r"),
+        )
+        .selectExpr(
+            *sided.columns,
+            "2.0D * (sum_l - num_l * (total_l / size_l)) AS ae_l",
+            "2.0D * (sum_r - num_r * (total_r / size_r)) AS ae_r",
         )
     )
 

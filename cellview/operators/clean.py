@@ -51,7 +51,9 @@ def filter_sentinel(df: DataFrame, columns: list[str], sentinel: str = "?") -> D
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a zone-less timestamp, read as UTC."""
-    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz")).cast("bigint")
+    plain = ts.cast("timestamp_ntz")
+    day = F.unix_date(plain.cast("date")).cast("bigint") * F.lit(86400)
+    return day + F.hour(plain) * F.lit(3600) + F.minute(plain) * F.lit(60) + F.second(plain)
 
 
 def parse_epoch(text: Column, form: str) -> Column:

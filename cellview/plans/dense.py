@@ -68,11 +68,12 @@ def interval_costs(cells: DataFrame, domain: Domain, epsilon: float, ratio: floa
         "v", f"explode(sequence(1, {levels})) AS up", "leaf"
     ) if levels else cells.select(F.lit(1).alias("leaf"), "v").selectExpr("v", "0 AS up", "leaf").limit(0)
     histogram = spread.groupBy(F.expr("shiftright(leaf, up) AS h"), "up", "v").agg(F.count(F.lit(1)).alias("n"))
-    mean = F.sum(F.col("v") * F.col("n")).over(Window.partitionBy("h")) / F.pow(F.lit(2.0), F.col("up"))
     deviation = (
-        histogram.withColumn("m", mean)
-        .groupBy("h")
-        .agg(F.sum(F.lit(2.0) * F.greatest(F.col("v") - F.col("m"), F.lit(0.0)) * F.col("n")).alias("dev"))
+        histogram.select("h", "up", "v", "n", F.sum(F.expr("v * n")).over(Window.partitionBy("h")).alias("total"))
+        .selectExpr("h", "v", "n", "total / pow(2.0D, up) AS m")
+        .groupBy("h", "m")
+        .agg(F.expr("sum(if(v > m, v * n, 0)) AS _sum"), F.expr("sum(if(v > m, n, 0)) AS _num"))
+        .selectExpr("h", "2.0D * (_sum - _num * m) AS dev")
     )
     nodes = spark.range(1, 2 * width).withColumnRenamed("id", "h")
     inner = F.col("h") < F.lit(width)
