@@ -136,7 +136,12 @@ def leveled_marginals(cells: DataFrame, candidates: DataFrame, levels: Levels) -
 
 
 def _with_margins(joint: DataFrame, levels: Levels, rows: int) -> DataFrame:
-    """Joint counts with the parents' and the child's own totals."""
+    """Joint counts with the parents' and the child's own totals.
+
+    The joint counts are stored first: they are read three times, and counting
+    them again would scan the cells each time.
+    """
+    joint = materialize(joint, "joint")
     parents = ["cand", *[f"p_{a}" for a in levels]]
     by_parent = joint.groupBy(*parents).agg(F.sum("n").alias("np"))
     by_child = joint.groupBy("cand", "x").agg(F.sum("n").alias("nx"))
@@ -207,15 +212,13 @@ def learn_structure(
         else:
             options = materialize(options, "candidates")
             rows = options.count() * max(h.sizes[0] for h in levels.values())
-            joint = leveled_marginals(cells, options, levels).persist()
+            joint = leveled_marginals(cells, options, levels)
             rate = dependence_scores if score == "l1" else information_scores
             scored = rate(joint, levels, total, rows).join(options.drop("child"), "cand")
             share, sens = 0.5 * epsilon / (d - 1), sensitivity
         chosen = exponential_mechanism(
             scored.withColumn("step", F.lit(step)), ["step"], ["cand"], "score", share, sens, (seed, "structure", trial)
         ).collect()[0]
-        if step:
-            joint.unpersist()
         parents = tuple((a, chosen[f"lv_{a}"]) for a in attrs if chosen[f"lv_{a}"] >= 0)
         model.append(Family(chosen["child"], parents))
     return model
