@@ -450,7 +450,15 @@ def gen_sparse_cells(spark, sf):
     return G.sparse_cells(table(spark, sf, "events").select("event_id"), ["event_id"], TEN, 1000, 0.001, "e")
 
 
-@query("gen_cells_random")
+@query(
+    "gen_cells_random",
+    f"""WITH {LI_SQL}, m AS (SELECT count(*) AS n FROM (SELECT DISTINCT q, d, r, t, s FROM li)),
+    k AS (SELECT n, CAST(floor(-1.5::DOUBLE * 29700 * ln(greatest(1 - n / 29700::DOUBLE, 0.5::DOUBLE / 29700))) AS BIGINT) + 64 AS tries FROM m),
+    draws AS (SELECT range AS id, {', '.join(f"{uniform_int('0', str(n), chr(39) + 'c' + chr(39), chr(39) + 'cell' + chr(39), chr(39) + a + chr(39), 'range')} AS {a}" for a, n in LI5.sizes.items())}
+      FROM range((SELECT tries FROM k))),
+    cells AS (SELECT q, d, r, t, s, row_number() OVER (ORDER BY min(id)) AS rn FROM draws GROUP BY q, d, r, t, s)
+    SELECT q, d, r, t, s FROM cells CROSS JOIN m WHERE rn <= n""",
+)
 def gen_cells_random(spark, sf):
     """As many distinct cells of the coded lineitem domain as it really has."""
     n = lineitem_codes(spark, sf).select(*LI5.attrs).distinct().count()

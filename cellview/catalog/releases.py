@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellview.catalog.base import (
     BOX_SQL, LI3, LI5, Q10_SQL, U, cells_sql, fixed_queries, inside_sql, laplace, lineitem_cells, query, rounded, settle, size_sql,
-    tiled_view, utility, wide_sql,
+    tiled_view, uniform_int, utility, wide_sql,
 )
 from cellview.catalog.blocks import brute_cuts_sql, grid_cte
 from cellview.functions import noise
@@ -45,6 +45,20 @@ def bisection_sql(domain, depth: int, seed: str, trial: int = 0) -> str:
         sens = "2::DOUBLE * (2::DOUBLE - 2::DOUBLE / size)"
         z = utility("score", PLAN.epsilon_cut(domain), sens, f"'{seed}'", "'cut'", str(trial), "block", "attr", "cut")
         last = i + 1 == depth
+        if i <= PLAN.last_scored_depth(domain):
+            pick = [
+                f"""best{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY z DESC, pos, cut) AS rn
+                  FROM (SELECT *, {z} AS z FROM scored_{i})) WHERE rn = 1)"""
+            ]
+        else:
+            spans = ", ".join(f"{{'attr': '{a}', 'lo': lo_{a}, 'hi': hi_{a}}}" for a in domain.attrs)
+            where, cut = ((f"'{seed}'", "'random-cut'", str(trial), "block", part) for part in ("'attr'", "'cut'"))
+            pick = [
+                f"spans{i} AS (SELECT block, list_filter([{spans}], lambda x: x.lo < x.hi) AS spans FROM f{i})",
+                f"turn{i} AS (SELECT block, spans[1 + {uniform_int('0', 'len(spans)', *where)}] AS e FROM spans{i})",
+                f"chosen{i} AS (SELECT block, e.attr AS attr, {uniform_int('e.lo', 'e.hi', *cut)} AS cut FROM turn{i})",
+                f"best{i} AS (SELECT s.* FROM scored_{i} s JOIN chosen{i} USING (block, attr, cut))",
+            ]
         opens = [
             "FALSE" if last else stop_sql(f"ae_{s}", f"size_{s}", "depth + 1", f"block || '{s.upper()}'", seed, trial) for s in "lr"
         ]
@@ -64,8 +78,8 @@ def bisection_sql(domain, depth: int, seed: str, trial: int = 0) -> str:
             )
         out += [
             brute_cuts_sql(domain, f"f{i}", f"c{i}", f"_{i}"),
-            f"""p{i} AS MATERIALIZED (SELECT *, {opens[0]} AS open_l, {opens[1]} AS open_r FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY z DESC, pos, cut) AS rn
-              FROM (SELECT *, {z} AS z FROM scored_{i})) WHERE rn = 1)""",
+            *pick,
+            f"p{i} AS MATERIALIZED (SELECT *, {opens[0]} AS open_l, {opens[1]} AS open_r FROM best{i})",
             f"k{i} AS MATERIALIZED ({' UNION ALL '.join(kids)})",
             f"f{i + 1} AS (SELECT block, depth, {ranges} FROM k{i} WHERE open)",
             f"c{i + 1} AS MATERIALIZED (SELECT f.block, {', '.join('c.' + a for a in domain.attrs)}, c.v FROM cells c JOIN f{i + 1} f ON {inside_sql(domain, 'c', 'f')})",
@@ -108,10 +122,18 @@ def flagship(spark, sf):
     return rounded(A.view_range_count(view, fixed_queries(spark), LI3), "estimate")
 
 
-@query("bisect_view_open")
+# deeper than these trees grow, so that every leaf closes by its own test
+OPEN_DEPTH = 26
+
+
+@query(
+    "bisect_view_open",
+    f"""WITH {cells_sql()}, {bisection_sql(LI3, OPEN_DEPTH, 'bo')}, {released_sql(1 / PLAN.epsilon_leaf, "'bo'", "'leaf'", '0')}
+    SELECT {', '.join(VIEW)} FROM view""",
+)
 def bisect_view_open(spark, sf):
     """The whole tree: levels until every block is closed."""
-    return B.bisection_view(lineitem_cells(spark, sf), LI3, PLAN, seed="bo").select(*VIEW)
+    return B.bisection_view(lineitem_cells(spark, sf), LI3, PLAN, seed="bo", max_depth=OPEN_DEPTH).select(*VIEW)
 
 
 @query(
@@ -201,7 +223,11 @@ def tree_view_round_robin(spark, sf):
     return H.halving_view(lineitem_cells(spark, sf), LI3, 1.0, seed="tr", cut_max=2, max_depth=5).select(*VIEW)
 
 
-@query("tree_view_open")
+@query(
+    "tree_view_open",
+    # fifty codes halve at most six times, so depth six is the whole tree
+    f"""WITH {cells_sql()}, {tree_sql(LI3, 6, 1.0, 'to')}, {released_sql(2.0, "'to'", "'tree-leaf'", '0')} SELECT {', '.join(VIEW)} FROM view""",
+)
 def tree_view_open(spark, sf):
     """The whole tree: levels until no node splits."""
     return H.halving_view(lineitem_cells(spark, sf), LI3, 1.0, seed="to").select(*VIEW)

@@ -107,6 +107,12 @@ def sequential_cells(spark, domain: Domain, n: int) -> DataFrame:
     return out
 
 
+def first_tries(n: int, total: int) -> int:
+    """Draws that most likely hold ``n`` distinct of ``total`` equal cells."""
+    missing = max(1.0 - n / total, 0.5 / total)
+    return int(-1.5 * total * math.log(missing)) + 64
+
+
 def random_cells(spark, domain: Domain, n: int, seed: str) -> DataFrame:
     """Exactly ``n`` distinct uniform cells.
 
@@ -117,9 +123,7 @@ def random_cells(spark, domain: Domain, n: int, seed: str) -> DataFrame:
 
     if n > domain.cells():
         raise ValueError("more cells than the domain has")
-    filled, total = n / domain.cells(), domain.cells()
-    expected = n if filled < 0.5 else int(-total * math.log(max(1 - filled, 0.5 / total))) + 1
-    tries = int(1.2 * max(expected, n / max(1e-9, 1 - filled / 2) if filled < 0.5 else expected)) + 64
+    tries = first_tries(n, domain.cells())
     while True:
         drawn = spark.range(tries).select(
             "id", *[noise.uniform_int(0, s, seed, "cell", a, F.col("id")).alias(a) for a, s in domain.sizes.items()]
