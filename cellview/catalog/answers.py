@@ -9,7 +9,7 @@ from cellview.catalog.base import (
     size_sql, table, tiled_view, uniform_int, wide_sql,
 )
 from cellview.catalog.blocks import SYN_SQL
-from cellview.catalog.releases import estimate_sql, histogram_sql, marginals_sql
+from cellview.catalog.releases import PLAN, bisection_sql, estimate_sql, histogram_sql, marginals_sql, released_sql, tree_sql
 from cellview.catalog.workloads import marginals_sql as kway_sql
 from cellview.functions import noise
 from cellview.operators import answer as A
@@ -177,7 +177,32 @@ def kway_tvd(spark, sf):
     return E.kway_distance(lineitem_cells(spark, sf), C.count_table(synthetic, LI3), LI3, 2)
 
 
-@query("compare_methods")
+def comparison_sql() -> str:
+    """The same three releases, two trials each, on one random workload."""
+    ranges, arms = ", ".join(LI3.ranges()), []
+    points = ", ".join(f"{a} AS lo_{a}, {a} AS hi_{a}" for a in LI3.attrs)
+    for trial in range(2):
+        leaf = released_sql(1 / PLAN.epsilon_leaf, "'cm'", "'leaf'", str(trial))
+        tree = released_sql(2.0, "'cm'", "'tree-leaf'", str(trial))
+        for method, body, cols in (
+            ("bisection", f"{cells_sql()}, {bisection_sql(LI3, 3, 'cm', trial)}, {leaf}", f"{ranges}, value FROM view"),
+            ("halving", f"{cells_sql()}, {tree_sql(LI3, 3, 1.0, 'cm', trial=trial)}, {tree}", f"{ranges}, value FROM view"),
+            ("histogram", histogram_sql("cm", trial), f"{points}, y AS value FROM hist"),
+        ):
+            arms.append(f"SELECT * FROM (WITH {body} SELECT '{method}' AS method, {trial} AS trial, {cols})")
+    parts = " * ".join(
+        f"greatest(least(w.hi_{a}, b.hi_{a}) - greatest(w.lo_{a}, b.lo_{a}) + 1, 0)::DOUBLE" for a in LI3.attrs
+    )
+    return f"""WITH {cells_sql()}, {random_ranges_sql(CUSTOMERS, LI3, 2, 'cm')}, {wide_sql(LI3)}, {TRUTH_SQL},
+    views AS MATERIALIZED ({' UNION ALL '.join(arms)}),
+    est AS (SELECT method, trial, query_id, sum({parts} * b.value) AS estimate FROM wq w CROSS JOIN views b GROUP BY ALL),
+    gaps AS (SELECT method, trial, estimate - truth AS gap FROM est JOIN truth USING (query_id)),
+    per AS (SELECT method, trial, avg(abs(gap)) AS mae, sqrt(avg(gap * gap)) AS rmse FROM gaps GROUP BY method, trial),
+    parts AS (SELECT method, trial, count(*) AS leaves FROM views GROUP BY method, trial)
+    SELECT method, {SUMMARY.replace("'tiles' AS method, ", "")} FROM per JOIN parts USING (method, trial) GROUP BY method"""
+
+
+@query("compare_methods", comparison_sql())
 def compare_methods(spark, sf):
     """One random workload, several releases, two trials each: one result table."""
     cells = lineitem_cells(spark, sf).persist()

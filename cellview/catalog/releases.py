@@ -184,7 +184,7 @@ def halves_sql(domain, source: str, targets: set[int]) -> str:
     return f"SELECT block || '/' || {' || '.join(digits)} AS block, depth + 1 AS depth, {', '.join(cols)} FROM {source} {' '.join(joins)}"
 
 
-def tree_sql(domain, depth: int, epsilon: float, seed: str, cut_max=None) -> str:
+def tree_sql(domain, depth: int, epsilon: float, seed: str, cut_max=None, trial: int = 0) -> str:
     """CTE ``leaves``: the tree loop unrolled."""
     fanout = 2 ** len(H.rotating_targets(domain, cut_max, 0))
     scale = H.tree_scale(fanout, epsilon)
@@ -194,7 +194,7 @@ def tree_sql(domain, depth: int, epsilon: float, seed: str, cut_max=None) -> str
     out = [f"n0 AS (SELECT '0' AS block, 0 AS depth, {start})"]
     for i in range(depth + 1):
         biased = settle(f"greatest(total - {discount * i!r}::DOUBLE, {-discount!r}::DOUBLE)")
-        draw = laplace(scale, f"'{seed}'", "'tree'", "0", "block")
+        draw = laplace(scale, f"'{seed}'", "'tree'", str(trial), "block")
         test = "FALSE" if i == depth else f"{biased} + {draw} > 0 AND size > 1"
         out += [
             f"""t{i} AS (SELECT n.block, n.depth, {', '.join('n.' + c for c in domain.ranges())}, coalesce(CAST(sum(v) AS BIGINT), 0) AS total, any_value({size_sql(domain, 'n')}) AS size
@@ -262,9 +262,9 @@ def vector_sql(domain) -> str:
     return f"{cells_sql(domain)}, {grid_cte(domain)}, vec AS (SELECT idx, {cols}, coalesce(v, 0) AS v FROM grid LEFT JOIN cells USING ({cols}))"
 
 
-def histogram_sql(seed: str) -> str:
+def histogram_sql(seed: str, trial: int = 0) -> str:
     """CTE ``hist``: the noisy dense histogram of (q, d, r)."""
-    draw = laplace(1.0, f"'{seed}'", "'histogram'", "0", "idx")
+    draw = laplace(1.0, f"'{seed}'", "'histogram'", str(trial), "idx")
     return f"{vector_sql(LI3)}, hist AS (SELECT idx, q, d, r, v, {settle(f'v + {draw}')} AS y FROM vec)"
 
 
