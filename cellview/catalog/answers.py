@@ -205,26 +205,21 @@ def comparison_sql() -> str:
 @query("compare_methods", comparison_sql())
 def compare_methods(spark, sf):
     """One random workload, several releases, two trials each: one result table."""
-    cells = lineitem_cells(spark, sf).persist()
+    cells = lineitem_cells(spark, sf)
     queries = customer_queries(spark, sf, seed="cm")
-    truths = C.answer_ranges(cells, queries, LI3).selectExpr("query_id", "total AS truth").persist()
-    errors, parts = None, None
+    truths = C.answer_ranges(cells, queries, LI3).selectExpr("query_id", "total AS truth")
+    points = [F.col(a).alias(f"{s}_{a}") for a in LI3.attrs for s in ("lo", "hi")]
+    views = None
     for trial in range(2):
-        histogram = D.laplace_histogram(cells, LI3, 1.0, "cm", trial)
-        points = histogram.select(*[F.col(a).alias(f"{s}_{a}") for a in LI3.attrs for s in ("lo", "hi")], F.col("y").alias("value"))
-        views = {
+        releases = {
             "bisection": B.bisection_view(cells, LI3, seed="cm", trial=trial, max_depth=3),
             "halving": H.halving_view(cells, LI3, seed="cm", trial=trial, max_depth=3),
-            "histogram": points,
+            "histogram": D.laplace_histogram(cells, LI3, 1.0, "cm", trial).select(*points, F.col("y").alias("value")),
         }
-        for method, view in views.items():
-            scored = E.query_errors(A.view_range_count(view, queries, LI3), truths)
-            scored = scored.select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), "abs_err", "sq_err")
-            count = view.agg(F.count(F.lit(1)).alias("leaves")).select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), "leaves")
-            errors = scored if errors is None else errors.unionAll(scored)
-            parts = count if parts is None else parts.unionAll(count)
+        for method, view in releases.items():
+            tagged = view.select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), *LI3.ranges(), "value")
+            views = tagged if views is None else views.unionAll(tagged)
+    results = E.compare_views(views, queries, truths, LI3)
     path = fresh_path(spark, "comparison")
-    T.save_results(E.trial_summary(errors, ["method"], parts), path)
-    cells.unpersist()
-    truths.unpersist()
-    return spark.read.json(path)
+    T.save_results(results, path)
+    return spark.read.schema(results.schema).json(path)

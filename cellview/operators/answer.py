@@ -16,9 +16,12 @@ from cellview.operators.layout import attach
 from cellview.operators.mechanisms import shift_weights, weighted_sample
 
 
-def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain) -> DataFrame:
+def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain, by: list[str] = ()) -> DataFrame:
     """Estimated count of every range query.
 
+    ``by`` names columns that tell several views in one table apart (method,
+    trial); all of them are answered in one job.
+
     Per attribute set of the workload, boxes with the same projection are summed
     first (grouping sets over their bounds).  A projected box then meets the
     queries of its set that touch one of its coarse bins on the set's first
@@ -28,10 +31,11 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain) -> Dat
     masks, asked_rows = C.attribute_sets(wide)
     attrs, width = domain.attrs, C._bin_width(domain)
     bounds = domain.ranges()
-    sets = [[F.col(f"{s}_{a}") for i, a in enumerate(attrs) if m >> i & 1 for s in ("lo", "hi")] for m in masks]
+    tags = [F.col(c) for c in by]
+    sets = [[*tags, *[F.col(f"{s}_{a}") for i, a in enumerate(attrs) if m >> i & 1 for s in ("lo", "hi")]] for m in masks]
     boxes = (
         view.withColumn("_tot", F.col("value") * domain.size_column())
-        .groupingSets(sets, *[F.col(c) for c in bounds])
+        .groupingSets(sets, *tags, *[F.col(c) for c in bounds])
         .agg(F.sum("_tot").alias("_tot"), F.grouping_id().alias("_gid"))
     )
     mask = " + ".join(
@@ -41,7 +45,7 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain) -> Dat
     last = "coalesce(" + ", ".join(f"hi_{a}" for a in attrs) + ", 0)"
     renamed = [f"lo_{a} AS b_lo_{a}" for a in attrs] + [f"hi_{a} AS b_hi_{a}" for a in attrs]
     boxes = boxes.selectExpr(
-        f"{mask} AS mask", *renamed, "_tot", f"int({first} div {width}) AS _b0", f"int({last} div {width}) AS _b1"
+        *by, f"{mask} AS mask", *renamed, "_tot", f"int({first} div {width}) AS _b0", f"int({last} div {width}) AS _b1"
     ).selectExpr("*", "explode(sequence(_b0, _b1)) AS bin")
     asked = (
         wide.filter(C._nonempty(domain))
@@ -59,9 +63,15 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain) -> Dat
         overlap = overlap & (~used | (cut > 0))
         share = share * F.when(used, cut / (F.col(f"b_hi_{a}") - F.col(f"b_lo_{a}") + F.lit(1))).otherwise(F.lit(1.0))
     pairs = attach(boxes, asked, ["mask", "bin"], asked_rows * (C.BINS + 1))
-    hits = pairs.filter(overlap).groupBy("query_id").agg(F.sum(share).alias("_s"))
-    return wide.join(hits, "query_id", "left").select(
-        "query_id", F.coalesce("_s", F.lit(0.0)).alias("estimate")
+    hits = pairs.filter(overlap).groupBy(*by, "query_id").agg(F.sum(share).alias("_s"))
+    asked_of = wide.select("query_id")
+    if by:
+        # the list of views is one array value, so that unanswered queries show
+        # up once per view
+        listed = view.agg(F.collect_set(F.struct(*by)).alias("l")).scalar()
+        asked_of = asked_of.withColumn("_views", listed).select("query_id", F.inline("_views"))
+    return asked_of.join(hits, [*by, "query_id"], "left").select(
+        *by, "query_id", F.coalesce("_s", F.lit(0.0)).alias("estimate")
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cellview.domain import Domain
 from cellview.functions import noise
+from cellview.operators.answer import view_range_count
+from cellview.session import materialize
 
 
 def query_errors(estimates: DataFrame, truths: DataFrame) -> DataFrame:
@@ -35,6 +37,18 @@ def trial_summary(errors: DataFrame, by: list[str], partitions: DataFrame | None
     return per_trial.groupBy(*by).agg(*aggs)
 
 
+def compare_views(views: DataFrame, queries: DataFrame, truths: DataFrame, domain: Domain) -> DataFrame:
+    """One result row per method from views tagged ``method`` and ``trial``.
+
+    All methods and trials answer the workload in one job.
+    """
+    tag = ["method", "trial"]
+    stored = materialize(views.select(*tag, *domain.ranges(), "value"), "views")
+    errors = query_errors(view_range_count(stored, queries, domain, tag), truths)
+    leaves = stored.groupBy(*tag).agg(F.count(F.lit(1)).alias("leaves"))
+    return trial_summary(errors, ["method"], leaves)
+
+
 def analytic_rmse(wide_queries: DataFrame, domain: Domain, epsilon: float, by: list[str]) -> DataFrame:
     """Expected RMSE of the Laplace histogram: variance 2/eps^2 per cell read."""
     per_cell = F.lit(2.0 / epsilon**2)
