@@ -193,9 +193,8 @@ def clip_ranges(conditions: DataFrame) -> DataFrame:
 def label_cells(cells: DataFrame, blocks: DataFrame, domain: Domain, rows: int) -> DataFrame:
     """Give every cell the blocks that contain it (range join on a coarse bin).
 
-    The bin is taken on the attribute that the blocks cut, on average, most
-    finely only in the sense of declared order: the widest attribute.  A block
-    is listed once per bin it touches, a cell has one bin, so no pair repeats.
+    Bins are slices of the widest attribute.  A block is listed once per bin it
+    touches, a cell has one bin, so no pair repeats.
     """
     lead = max(domain.attrs, key=lambda a: domain[a])
     width = max(1, -(-domain[lead] // 64))

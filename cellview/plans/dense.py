@@ -131,14 +131,18 @@ def bucket_totals(cells: DataFrame, buckets: DataFrame, domain: Domain) -> DataF
     return buckets.join(sums, "h", "left").selectExpr("h", "first", "last", "coalesce(s, 0L) AS total")
 
 
+PIECE = 1 << 16
+
+
 def bucket_release(
     cells: DataFrame, buckets: DataFrame, domain: Domain, epsilon: float, ratio: float = 0.5, seed: str = "seed", trial: int = 0
 ) -> DataFrame:
     """Per cell: bucket mean plus the bucket's one noise draw over its length."""
     draw = noise.laplace(1.0 / ((1.0 - ratio) * epsilon), seed, "bucket", trial, F.col("first"))
     length = F.expr("last - first + 1")
-    return (
-        bucket_totals(cells, buckets, domain)
-        .select("first", "last", (F.col("total") / length + draw / length).alias("y"))
-        .selectExpr("explode(sequence(first, last)) AS idx", "y")
+    released = bucket_totals(cells, buckets, domain).select(
+        "first", "last", (F.col("total") / length + draw / length).alias("y")
     )
+    # one bucket may hold most of the vector: list it in pieces, spread the pieces
+    pieces = released.selectExpr("y", "last", f"explode(sequence(first, last, {PIECE}L)) AS start").repartition("start")
+    return pieces.selectExpr(f"explode(sequence(start, least(start + {PIECE - 1}, last))) AS idx", "y")
