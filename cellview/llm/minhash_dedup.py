@@ -9,7 +9,8 @@
    only the rarest postings are merged (prefix): two documents that agree in
    ``matches`` coordinates meet in one of them.
 3. Full sets are read for the remaining documents.  A document whose shingles
-   occur elsewhere too rarely to reach the similarity is skipped, exactly.
+   occur elsewhere too rarely to reach the similarity is skipped, exactly; parity
+   bitmaps of the sets bar pairs that differ too much before they are made.
 4. A star round pairs the members of a posting list with the list's most shared
    member; a second round pairs members that are still in different components.
    Pairs that collide in ``matches`` coordinates are confirmed on full sets.
@@ -95,16 +96,29 @@ def sketches(docs: DataFrame, plan: NearDedup) -> DataFrame:
     )
 
 
+PARITY_WORDS = 8
+_PARITY = [f"b{i}" for i in range(PARITY_WORDS)]
+
+
 def full_sets(docs: DataFrame, plan: NearDedup) -> DataFrame:
-    """doc_id and its sorted shingle hashes."""
+    """doc_id, its sorted shingle hashes and a parity bitmap of them.
+
+    Each shingle flips one of 512 bits.  Bits in which two bitmaps differ are at most as
+    many as shingles that only one document has, so they bound the similarity exactly.
+    """
 
     def run(batches):
         for batch in batches:
             for first, last, h, bounds, _ in _sets(plan, batch):
                 flat = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], flat], names=["rep", "shingles"])
+                parity = np.zeros((last - first, PARITY_WORDS), dtype=np.uint64)
+                slot = W.mix(h + np.uint64(3))
+                at = np.repeat(np.arange(last - first), np.diff(bounds)), ((slot >> np.uint64(6)) % np.uint64(PARITY_WORDS)).astype(np.int64)
+                np.bitwise_xor.at(parity, at, np.uint64(1) << (slot & np.uint64(63)))
+                words = [pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(PARITY_WORDS)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], flat, *words], names=["rep", "shingles", *_PARITY])
 
-    return docs.mapInArrow(run, "rep bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "rep bigint, shingles array<bigint>, " + ", ".join(f"{b} bigint" for b in _PARITY))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, plan: NearDedup) -> DataFrame:
@@ -152,25 +166,27 @@ def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame
     elsewhere = single.groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
     lonely = elsewhere.groupBy("rep").agg(F.count(F.lit(1)).alias("lonely"))
     bounds = (
-        sets.select("rep", F.size("shingles").alias("n")).join(lonely, "rep", "left")
-        .select("rep", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("u"))
+        sets.select("rep", F.size("shingles").alias("n"), *_PARITY).join(lonely, "rep", "left")
+        .select("rep", "n", *_PARITY, (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("u"))
         .where(F.lit(100) * F.col("u") >= F.lit(plan.percent) * F.col("n"))
     )
     # partner sizes that a document can reach the similarity with
     p = plan.percent
     lists = store(
-        merged.join(bounds, "rep").select("rep", "n", "u", F.explode("p").alias("p"))
-        .select("rep", F.col("p.key").alias("key"), "n", "u")
+        merged.join(bounds, "rep").select("rep", "n", "u", *_PARITY, F.explode("p").alias("p"))
+        .select("rep", F.col("p.key").alias("key"), "n", "u", *_PARITY)
         .withColumn("low", F.expr(f"ceil({p} * n / 100)"))
         .withColumn("high", F.expr(f"floor(((100 + {p}) * u - {p} * n) / {p})")),
         "lists",
     )
     reach = "least(u, u_) * 100 >= {p} * (n + n_ - least(u, u_)) AND n_ BETWEEN low AND high".format(p=p)
+    differ = " + ".join(f"bit_count({b} ^ {b}_)" for b in _PARITY)
+    reach += f" AND {100 + p} * ({differ}) <= {100 - p} * (n + n_)"
 
     # ---- star round: each list's most shared member against the others
     pivots = lists.groupBy("key").agg(
-        F.max(F.struct((F.col("u") / F.col("n")).alias("share"), (-F.col("rep")).alias("rep"), "n", "u")).alias("x"), F.count(F.lit(1)).alias("c")
-    ).where("c > 1").select("key", (-F.col("x.rep")).alias("rep_"), F.col("x.n").alias("n_"), F.col("x.u").alias("u_"))
+        F.max(F.struct((F.col("u") / F.col("n")).alias("share"), (-F.col("rep")).alias("rep"), "n", "u", *_PARITY)).alias("x"), F.count(F.lit(1)).alias("c")
+    ).where("c > 1").select("key", (-F.col("x.rep")).alias("rep_"), F.col("x.n").alias("n_"), F.col("x.u").alias("u_"), *[F.col(f"x.{b}").alias(f"{b}_") for b in _PARITY])
     starred = (
         lists.join(pivots, "key").where(f"rep <> rep_ AND {reach}")
         .select(F.least("rep", "rep_").alias("a"), F.greatest("rep", "rep_").alias("b")).distinct()
@@ -188,7 +204,7 @@ def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame
         F.max(F.struct("c", "own")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least"), F.max("most").alias("most")
     ).where("parts > 1").select("key", F.col("top.own").alias("main"), "least", "most")
     able = placed.join(mixed, "key").where("high >= least AND low <= most")
-    other = able.select("key", *[F.col(c).alias(f"{c}_") for c in ("rep", "n", "u", "own", "low", "high")])
+    other = able.select("key", *[F.col(c).alias(f"{c}_") for c in ("rep", "n", "u", "own", "low", "high", *_PARITY)])
     apart = (
         able.where("own <> main").join(other, "key")
         .where(f"own <> own_ AND {reach} AND n BETWEEN low_ AND high_")
