@@ -221,3 +221,14 @@ def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def deduplicated(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame:
+    """``docs`` without near copies: of each group the rows with the smallest doc_id stay, once.
+
+    Rows that share the kept doc_id come down to one; rows with a null doc_id stay.
+    """
+    kept = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias("kept_id")).where("kept_id IS NOT NULL").distinct()
+    rows = docs.withColumn("kept_id", F.col("doc_id").cast("bigint"))
+    named = rows.join(kept, "kept_id", "left_semi").drop("kept_id").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))

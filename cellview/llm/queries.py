@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellview.llm import decontaminate, mixing
-from cellview.llm.common import table
+from cellview.llm import decontaminate, licenses, mixing
+from cellview.llm.common import fold_of, table
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,56 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm import class_lm
+
+    docs = table(spark, sf_dir, "documents")
+    return class_lm.score(docs, *class_lm.fit(docs))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm import toxicity
+
+    plan = toxicity.Ftrl()
+    judged = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), plan)
+    return judged.withColumn("held_out", fold_of("doc_id", plan.folds) == plan.held_out)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm import language
+
+    plan = language.Discrimination()
+    found = language.identify(table(spark, sf_dir, "documents"), plan)
+    return found.withColumn("held_out", fold_of("doc_id", plan.folds) == plan.held_out)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    f.__name__: f for f in (op2_embedding_dedup, op3_decontaminate, op8_mixing, op10_minhash_dedup)
+    f.__name__: f
+    for f in (
+        op1_class_lm, op2_embedding_dedup, op3_decontaminate, op4_secrets, op5_html_text, op6_licenses, op7_toxicity, op8_mixing, op9_language,
+        op10_minhash_dedup, pipeline,
+    )
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.oracle_sql(), "op8_mixing": mixing.oracle_sql()}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op8_mixing": mixing.oracle_sql()}
