@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of 1,000 rows unless the session sets a size itself.
+
+    Ten thousand documents, Spark's own size, are tens of MB per copy of a batch.
+    """
+    if df.sparkSession.conf.get(BATCH) == "10000":
+        df.sparkSession.conf.set(BATCH, "1000")
+    return df
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

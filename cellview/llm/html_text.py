@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellview.llm.common import text_batches
+
 # fixed values: element names
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -319,4 +321,4 @@ def extract(pages: DataFrame, plan: TreeModel = TreeModel(), model: dict | None
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names
             )
 
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html_")).mapInArrow(run, schema)
+    return text_batches(pages).select("page_id", "url", F.col("html").cast("string").alias("html_")).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellview.llm import words as W
-from cellview.llm.common import fold_of, store
+from cellview.llm.common import fold_of, store, text_batches
 
 # fixed values: language families by ISO 639-1 code
 FAMILIES = {
@@ -106,7 +106,7 @@ def _features(docs: DataFrame, plan: Discrimination) -> DataFrame:
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keep) * plan.dims + 1, plan.dims, dtype=np.int32)), pa.array(x[keep].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("lang")[first:last].take(pa.array(keep)), vectors], names=["lang", "x"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, x array<float>")
+    return text_batches(docs).select("lang", "text").mapInArrow(run, "lang string, x array<float>")
 
 
 def _train(plan: Discrimination):
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: dict, plan: Discrimination, keep: list[str])
                 kept = [batch.column(c)[first:last] for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
+    return text_batches(docs).select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, plan: Discrimination = Discrimination(), keep: list[str] | None = None) -> DataFrame:

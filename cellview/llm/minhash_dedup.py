@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellview.llm import words as W
-from cellview.llm.common import components, store
+from cellview.llm.common import components, store, text_batches
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, plan: NearDedup) -> DataFrame:
                     names=["doc_id", "n", "fa", "fb", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return text_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id bigint, n bigint, fa bigint, fb bigint, sig array<int>"
     )
 
@@ -118,7 +118,7 @@ def full_sets(docs: DataFrame, plan: NearDedup) -> DataFrame:
                 words = [pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(PARITY_WORDS)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], flat, *words], names=["rep", "shingles", *_PARITY])
 
-    return docs.mapInArrow(run, "rep bigint, shingles array<bigint>, " + ", ".join(f"{b} bigint" for b in _PARITY))
+    return text_batches(docs).mapInArrow(run, "rep bigint, shingles array<bigint>, " + ", ".join(f"{b} bigint" for b in _PARITY))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, plan: NearDedup) -> DataFrame:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellview.llm.common import text_batches
+
 KINDS = ("assign", "access", "hex")
 # fixed values: the patterns of the three kinds
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -208,7 +210,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, plan: Unwrapping = Unwr
             if made:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=schema.names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
+    return text_batches(docs).select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
 
 
 def without_secrets(docs: DataFrame, plan: Unwrapping = Unwrapping()) -> DataFrame:

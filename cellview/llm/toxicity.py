@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellview.llm import words as W
-from cellview.llm.common import fold_of, store
+from cellview.llm.common import fold_of, store, text_batches
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], plan: Ftrl, keep: li
                 kept = [batch.column(c)[first:last] for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
+    return text_batches(docs).select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, plan: Ftrl = Ftrl(), keep: list[str] | None = None) -> DataFrame:
