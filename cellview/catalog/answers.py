@@ -9,7 +9,7 @@ from cellview.catalog.base import (
     size_sql, table, tiled_view, uniform_int, wide_sql,
 )
 from cellview.catalog.blocks import SYN_SQL
-from cellview.catalog.releases import PLAN, bisection_sql, estimate_sql, histogram_sql, marginals_sql, released_sql, tree_sql
+from cellview.catalog.releases import PLAN, SQL_DEPTH, bisection_sql, estimate_sql, histogram_sql, marginals_sql, released_sql, tree_sql
 from cellview.catalog.workloads import marginals_sql as kway_sql
 from cellview.functions import noise
 from cellview.operators import answer as A
@@ -185,8 +185,8 @@ def comparison_sql() -> str:
         leaf = released_sql(1 / PLAN.epsilon_leaf, "'cm'", "'leaf'", str(trial))
         tree = released_sql(2.0, "'cm'", "'tree-leaf'", str(trial))
         for method, body, cols in (
-            ("bisection", f"{cells_sql()}, {bisection_sql(LI3, 3, 'cm', trial)}, {leaf}", f"{ranges}, value FROM view"),
-            ("halving", f"{cells_sql()}, {tree_sql(LI3, 3, 1.0, 'cm', trial=trial)}, {tree}", f"{ranges}, value FROM view"),
+            ("bisection", f"{cells_sql()}, {bisection_sql(LI3, SQL_DEPTH, 'cm', trial)}, {leaf}", f"{ranges}, value FROM view"),
+            ("halving", f"{cells_sql()}, {tree_sql(LI3, 6, 1.0, 'cm', trial=trial)}, {tree}", f"{ranges}, value FROM view"),
             ("histogram", histogram_sql("cm", trial), f"{points}, y AS value FROM hist"),
         ):
             arms.append(f"SELECT * FROM (WITH {body} SELECT '{method}' AS method, {trial} AS trial, {cols})")
@@ -212,8 +212,8 @@ def compare_methods(spark, sf):
     views = None
     for trial in range(2):
         releases = {
-            "bisection": B.bisection_view(cells, LI3, seed="cm", trial=trial, max_depth=3),
-            "halving": H.halving_view(cells, LI3, seed="cm", trial=trial, max_depth=3),
+            "bisection": B.bisection_view(cells, LI3, seed="cm", trial=trial),
+            "halving": H.halving_view(cells, LI3, seed="cm", trial=trial),
             "histogram": D.laplace_histogram(cells, LI3, 1.0, "cm", trial).select(*points, F.col("y").alias("value")),
         }
         for method, view in releases.items():

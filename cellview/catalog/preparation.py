@@ -60,14 +60,14 @@ def write_dataset(spark, sf):
 
 @query(
     "export_libsvm",
-    f"""WITH {LI_SQL} SELECT (CASE WHEN s IN (1) THEN '+1' ELSE '-1' END) || ' 1:' || printf('%.6f', (least(q, 15) + 0.5::DOUBLE) / 16)
+    f"""WITH {LI_SQL} SELECT (CASE WHEN s IN (1) THEN '+1' ELSE '-1' END) || ' 1:' || printf('%.6f', (q + 0.5::DOUBLE) / 3.125::DOUBLE / 16)
     || ' ' || (d + 2) || ':1 ' || (r + 13) || ':1' AS value FROM li""",
 )
 def export_libsvm(spark, sf):
     levels = {"q": Hierarchy.numeric(4), "d": Hierarchy.flat(11), "r": Hierarchy.flat(3), "s": Hierarchy.flat(2)}
     path = fresh_path(spark, "libsvm")
-    codes = lineitem_codes(spark, sf).withColumn("q", F.least("q", F.lit(15)))
-    T.export_libsvm(codes.select("q", "d", "r", "s"), levels, "s", [1], path)
+    codes = lineitem_codes(spark, sf)
+    T.export_libsvm(codes.select("q", "d", "r", "s"), levels, "s", [1], path, raw={"q": (-0.5, 49.5)})
     return spark.read.text(path)
 
 

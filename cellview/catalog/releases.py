@@ -21,7 +21,9 @@ from cellview.session import fresh_path
 from cellview.sources import tables as T
 
 PLAN = B.BisectionPlan()
-DEPTH = 4
+# levels that the SQL is unrolled to; the Spark side has no such bound, so a tree that
+# grows deeper shows as a difference
+SQL_DEPTH = 26
 
 
 # ------------------------------------------------------------ bisection in SQL
@@ -95,16 +97,16 @@ def released_sql(scale: float, *key: str) -> str:
 
 
 VIEW = ["block", "depth", *LI3.ranges(), "total", "size", "noise", "value"]
-BISECTION = f"{cells_sql()}, {bisection_sql(LI3, DEPTH, 'bv')}, {released_sql(1 / PLAN.epsilon_leaf, chr(39) + 'bv' + chr(39), chr(39) + 'leaf' + chr(39), '0')}"
+BISECTION = f"{cells_sql()}, {bisection_sql(LI3, SQL_DEPTH, 'bv')}, {released_sql(1 / PLAN.epsilon_leaf, chr(39) + 'bv' + chr(39), chr(39) + 'leaf' + chr(39), '0')}"
 
 
-def small_bisection(spark, sf):
-    return B.bisection_view(lineitem_cells(spark, sf), LI3, PLAN, seed="bv", max_depth=DEPTH)
+def whole_bisection(spark, sf):
+    return B.bisection_view(lineitem_cells(spark, sf), LI3, PLAN, seed="bv")
 
 
 @query("bisect_view", f"WITH {BISECTION} SELECT {', '.join(VIEW)} FROM view")
 def bisect_view(spark, sf):
-    return small_bisection(spark, sf).select(*VIEW)
+    return whole_bisection(spark, sf).select(*VIEW)
 
 
 def estimate_sql(source: str, domain, queries: str = "wq", digits: int | None = 3) -> str:
@@ -118,22 +120,18 @@ def estimate_sql(source: str, domain, queries: str = "wq", digits: int | None =
 
 @query("bisect_view_answers", f"WITH {BISECTION}, {Q10_SQL}, {wide_sql(LI3)} {estimate_sql('view', LI3)}")
 def flagship(spark, sf):
-    view = B.published(small_bisection(spark, sf), LI3)
+    view = B.published(whole_bisection(spark, sf), LI3)
     return rounded(A.view_range_count(view, fixed_queries(spark), LI3), "estimate")
 
 
-# deeper than these trees grow, so that every leaf closes by its own test
-OPEN_DEPTH = 26
-
-
 @query(
     "bisect_view_open",
-    f"""WITH {cells_sql()}, {bisection_sql(LI3, OPEN_DEPTH, 'bo')}, {released_sql(1 / PLAN.epsilon_leaf, "'bo'", "'leaf'", '0')}
+    f"""WITH {cells_sql()}, {bisection_sql(LI3, SQL_DEPTH, 'bo')}, {released_sql(1 / PLAN.epsilon_leaf, "'bo'", "'leaf'", '0')}
     SELECT {', '.join(VIEW)} FROM view""",
 )
 def bisect_view_open(spark, sf):
     """The whole tree: levels until every block is closed."""
-    return B.bisection_view(lineitem_cells(spark, sf), LI3, PLAN, seed="bo", max_depth=OPEN_DEPTH).select(*VIEW)
+    return B.bisection_view(lineitem_cells(spark, sf), LI3, PLAN, seed="bo").select(*VIEW)
 
 
 @query(
@@ -209,18 +207,18 @@ def tree_sql(domain, depth: int, epsilon: float, seed: str, cut_max=None, trial:
 
 @query(
     "tree_view",
-    f"""WITH {cells_sql()}, {tree_sql(LI3, 3, 1.0, 'tv')}, {released_sql(2.0, "'tv'", "'tree-leaf'", '0')} SELECT {', '.join(VIEW)} FROM view""",
+    f"""WITH {cells_sql()}, {tree_sql(LI3, 6, 1.0, 'tv')}, {released_sql(2.0, "'tv'", "'tree-leaf'", '0')} SELECT {', '.join(VIEW)} FROM view""",
 )
 def tree_view(spark, sf):
-    return H.halving_view(lineitem_cells(spark, sf), LI3, 1.0, seed="tv", max_depth=3).select(*VIEW)
+    return H.halving_view(lineitem_cells(spark, sf), LI3, 1.0, seed="tv").select(*VIEW)
 
 
 @query(
     "tree_view_round_robin",
-    f"""WITH {cells_sql()}, {tree_sql(LI3, 5, 1.0, 'tr', 2)}, {released_sql(2.0, "'tr'", "'tree-leaf'", '0')} SELECT {', '.join(VIEW)} FROM view""",
+    f"""WITH {cells_sql()}, {tree_sql(LI3, 12, 1.0, 'tr', 2)}, {released_sql(2.0, "'tr'", "'tree-leaf'", '0')} SELECT {', '.join(VIEW)} FROM view""",
 )
 def tree_view_round_robin(spark, sf):
-    return H.halving_view(lineitem_cells(spark, sf), LI3, 1.0, seed="tr", cut_max=2, max_depth=5).select(*VIEW)
+    return H.halving_view(lineitem_cells(spark, sf), LI3, 1.0, seed="tr", cut_max=2).select(*VIEW)
 
 
 @query(

@@ -124,10 +124,12 @@ LEAF_OVERHEAD, CELL_BYTES, TENSOR_HEADER = 16, 4, 96  # fixed values: bytes
 
 
 def readable_size(size: str) -> str:
-    """SQL expression of a byte count with a unit, two decimals."""
-    power = f"int(floor(log(1024D, {size})))"
-    unit = f"element_at(array('B', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB', 'ZB', 'YB'), {power} + 1)"
-    return f"if({size} = 0, '0B', concat(format_string('%.2f', {size} / pow(1024D, {power})), ' ', {unit}))"
+    """SQL text of a byte count: the largest unit that leaves at least one, two decimals."""
+    arms = " ".join(
+        f"WHEN {size} >= {1 << (10 * k)} THEN concat(format_string('%.2f', {size} / {float(1 << (10 * k))!r}D), ' {name}')"
+        for k, name in ((6, "EB"), (5, "PB"), (4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"), (0, "B"))
+    )
+    return f"CASE {arms} ELSE '0B' END"
 
 
 def view_size(views: DataFrame, by: list[str], domain: Domain) -> DataFrame:

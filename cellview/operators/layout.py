@@ -21,8 +21,8 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int, how: st
 
     A small table within the limit is broadcast and ``big`` does not move.
     Beyond it both sides shuffle, and a key with more than ``HOT_ROWS`` rows in
-    ``big`` is dealt over several tasks: its rows draw a salt from their own
-    content, its partners in ``small`` are repeated once per salt.  Other keys
+    ``big`` is dealt over several tasks: its rows draw a salt from their
+    content and task, its partners in ``small`` are repeated once per salt.  Other keys
     are not repeated.  There are at most ``rows(big) / HOT_ROWS`` hot keys, so
     their list is small by construction.  ``how`` is ``inner`` or ``left``.
     """
@@ -34,7 +34,8 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int, how: st
         .filter(F.col("_n") > HOT_ROWS)
         .select(*keys, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_deal"))
     )
-    salt = F.pmod(F.xxhash64(*big.columns), F.coalesce("_deal", F.lit(1))).cast("int")
+    # the task number parts equal rows, which share a hash; both are the same in a retry
+    salt = F.pmod(F.xxhash64(*big.columns) + F.spark_partition_id(), F.coalesce("_deal", F.lit(1))).cast("int")
     dealt = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_deal")
     copies = small.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_deal", F.lit(1)) - F.lit(1)))

@@ -60,13 +60,13 @@ class Hierarchy:
 Levels = dict[str, Hierarchy]
 
 
-def joint_bound(n: int, d: int, epsilon: float, theta: float, work: float = 2e12) -> float:
-    """Cells a family may have; halved while scoring all subsets costs too much."""
+def joint_bound(n: int, d: int, epsilon: float, theta: float, work: float | None = None) -> float:
+    """Cells a family may have; with ``work`` given, halved while rows times subsets exceed it."""
     bound = epsilon * n / (4.0 * d * theta)
     if bound <= 0:
         return 0.0
     k = int(math.log2(bound)) if bound >= 1 else 0
-    while k > 0 and n * math.comb(d, k) > work:
+    while work is not None and k > 0 and n * math.comb(d, k) > work:
         k, bound = k - 1, bound / 2
     return bound
 

@@ -59,9 +59,10 @@ def write_dataset(
 
 
 def save_view(view: DataFrame, root: str, method: str, epsilon: float, trial: int) -> None:
-    """Append one release; reading back by method, epsilon and trial prunes."""
+    """Store one release in its own partition, in place of an earlier run's; reading back by
+    method, epsilon and trial prunes."""
     tagged = view.withColumn("method", F.lit(method)).withColumn("eps", F.lit(float(epsilon))).withColumn("trial", F.lit(trial))
-    tagged.write.mode("append").partitionBy("method", "eps", "trial").parquet(root)
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "eps", "trial").parquet(root)
 
 
 def load_views(spark: SparkSession, root: str, method: str | None = None, epsilon: float | None = None, trial: int | None = None) -> DataFrame:
@@ -72,8 +73,8 @@ def load_views(spark: SparkSession, root: str, method: str | None = None, epsilo
     return df
 
 
-def save_results(results: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON record per workload, method and epsilon."""
+def save_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON record per workload, method and epsilon; a rerun replaces its results."""
     results.write.mode(mode).json(path)
 
 

@@ -188,7 +188,8 @@ def test_parent_sets_are_the_maximal_ones(spark, bound):
 def test_joint_bound_is_halved_when_scoring_is_too_costly():
     assert N.joint_bound(1000, 5, 1.0, 4.0) == pytest.approx(12.5)
     n = 10**9
-    reduced = N.joint_bound(n, 40, 1.0, 4.0)
+    assert N.joint_bound(n, 40, 1.0, 4.0) == pytest.approx(n / 640)
+    reduced = N.joint_bound(n, 40, 1.0, 4.0, work=2e12)
     k = int(math.log2(reduced))
     assert reduced < n / 640 and n * math.comb(40, k) <= 2e12
 
