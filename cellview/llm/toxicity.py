@@ -98,10 +98,8 @@ def learn(labelled: DataFrame, plan: Ftrl = Ftrl()) -> tuple[np.ndarray, float]:
         w = weights(every) * value[every]
         return pd.DataFrame({"i": every[w != 0], "w": w[w != 0]})
 
-    total = labelled.count()
-    shards = max(1, -(-min(total, plan.sample) // plan.shard_rows))
-    drawn = labelled.where(F.pmod("draw", F.lit(1 << 30)) < float(1 << 30) * plan.sample / max(total, 1))
-    fitted = drawn.withColumn("shard", F.pmod(F.shiftright("draw", 32), F.lit(shards))).groupBy("shard").applyInPandas(fit, "i int, w double")
+    shards = max(1, -(-labelled.count() // plan.shard_rows))
+    fitted = labelled.withColumn("shard", F.pmod(F.shiftright("draw", 32), F.lit(shards))).groupBy("shard").applyInPandas(fit, "i int, w double")
     w = np.zeros((1 << plan.bits) + 1)
     for r in fitted.groupBy("i").agg((F.sum("w") / shards).alias("w")).toPandas().itertuples():
         w[r.i] = r.w
@@ -129,7 +127,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], plan: Ftrl, keep: li
 
 def judge(docs: DataFrame, labels: DataFrame, plan: Ftrl = Ftrl(), keep: list[str] | None = None) -> DataFrame:
     """Learn from labelled documents that are not held out, then score every document."""
-    marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(fold_of("doc_id", plan.folds) != plan.held_out).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    labelled = rows.join(marks, "doc_id").select("text", "toxic", F.xxhash64(F.lit("draw"), "doc_id").alias("draw"))
-    return score(docs, learn(store(labelled, "labelled"), plan), plan, keep or ["doc_id"])
+    marks = (
+        labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold_of("doc_id", plan.folds) != plan.held_out)
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64(F.lit("draw"), "doc_id"))
+    )
+    drawn = marks.where(F.pmod("draw", F.lit(1 << 30)) < float(1 << 30) * plan.sample / max(marks.count(), 1))
+    # about ``sample`` rows of three numbers, so the texts stay where they are
+    labelled = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    return score(docs, learn(store(labelled.select("text", "toxic", "draw"), "labelled"), plan), plan, keep or ["doc_id"])
