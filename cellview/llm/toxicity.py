@@ -103,6 +103,8 @@ def learn(labelled: DataFrame, plan: Ftrl = Ftrl()) -> tuple[np.ndarray, float]:
     w = np.zeros((1 << plan.bits) + 1)
     for r in fitted.groupBy("i").agg((F.sum("w") / shards).alias("w")).toPandas().itertuples():
         w[r.i] = r.w
+    if not w.any():
+        w[-1] = -1e-6  # nothing learnt: nothing is called toxic
     return w[:-1].astype(np.float32), float(w[-1])
 
 
