@@ -5,8 +5,10 @@ paragraphs and the whole text.  A unit is lower-cased, cut into words of letters
 digits and turned into its set of word bigrams.  A template can only reach the threshold
 t against sets of t / (2 - t) to (2 - t) / t times its own size; units outside the
 bounds of all templates are dropped before their bigrams are listed, and the bounds
-of each template hold in the join.  Templates are a fixed, small table (broadcast);
-units meet a template only through a shared bigram.
+of each template hold in the join.  A match also shares t / (2 - t) of the template's
+bigrams, so words that touch more than the rest of them are watched for: a text or unit
+without any watched word cannot match and is not cut up further.  Templates are a fixed,
+small table (broadcast); units meet a template only through a shared bigram.
 
 Results: per document and license the best unit's Dice coefficient.  A license with
 several templates counts once.  Defined results: null and empty texts match nothing; rows with
@@ -78,15 +80,21 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
 
+# fixed values: English function words, watched for only where no other word is left
+COMMON = frozenset("a an and any as at be by for from in into is it of on or that the this to under with you".split())
+
 
 @dataclass(frozen=True)
 class DiceScan:
     percent: int = 80
 
 
-def _bigrams(text):
-    """Distinct word bigrams of a text, words joined by a blank."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def _words(text):
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _bigrams(words):
+    """Distinct bigrams of a list of words, the two joined by a blank."""
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(pairs)
 
@@ -95,25 +103,41 @@ def templates(spark: SparkSession, extra: list[tuple[str, str]] = ()) -> DataFra
     """(template, license, bigrams, size)."""
     rows = [(k, name, text) for k, (name, text) in enumerate([*TEMPLATES, *extra])]
     return spark.createDataFrame(rows, "template int, license string, text string").select(
-        "template", "license", _bigrams(F.col("text")).alias("bigrams")
+        "template", "license", _bigrams(_words(F.col("text"))).alias("bigrams")
     ).withColumn("size", F.size("bigrams"))
 
 
+def watched_words(known: list, plan: DiceScan) -> list[str]:
+    """Words of which every match of a template has at least one; rare words, which are long, first."""
+    watched: set[str] = set()
+    for r in known:
+        needed = -(-r.size * plan.percent // (200 - plan.percent))  # bigrams that any match shares
+        pairs = [set(b.split(" ")) for b in r.bigrams]
+        for w in sorted(set().union(*pairs), key=lambda w: (w not in watched, w in COMMON, -len(w), w)):
+            if sum(not pair & watched for pair in pairs) < needed:
+                break
+            watched.add(w)
+    return sorted(watched)
+
+
 def scan(docs: DataFrame, known: DataFrame, plan: DiceScan = DiceScan()) -> DataFrame:
     """One row per document and license found: doc_id, license, dice."""
     p = plan.percent
     fits = f"n * {200 - p} >= size * {p} AND n * {p} <= size * {200 - p}"
-    bounds = known.agg(F.min("size").alias("low"), F.max("size").alias("high")).first()
+    rows = known.where("size > 0").orderBy("template").collect()
+    low = min((r.size for r in rows), default=0) * p
+    high = max((r.size for r in rows), default=0) * (200 - p)
+    watched = F.array(*[F.lit(w) for w in watched_words(rows, plan)]).cast("array<string>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n")
     sentences = F.flatten(F.transform(lines, lambda s: F.split(s, r"(?<=[.!?])[ \t]+")))
     units = F.array_distinct(F.concat(lines, sentences, F.split(text, r"\n[ \t]*\n"), F.array(text)))
-    each = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(units).alias("unit", "u"))
-    # a unit of n characters has at most n / 2 words; the rest is bounded by its bigrams
-    each = each.where(F.length("u") >= 4).select("doc_id", "row", "unit", _bigrams(F.col("u")).alias("b"))
-    each = each.withColumn("n", F.size("b")).where(
-        (F.col("n") * (200 - p) >= F.lit(bounds.low * p)) & (F.col("n") * p <= F.lit(bounds.high * (200 - p)))
-    )
+    hopeful = docs.select("doc_id", "text").where(F.arrays_overlap(_words(text), watched))
+    each = hopeful.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(units).alias("unit", "u"))
+    each = each.select("doc_id", "row", "unit", _words(F.col("u")).alias("w")).where(F.arrays_overlap("w", watched))
+    # a unit has at least as many bigrams as distinct words, less one
+    each = each.where((F.size(F.array_distinct("w")) - 1) * p <= high).select("doc_id", "row", "unit", _bigrams(F.col("w")).alias("b"))
+    each = each.withColumn("n", F.size("b")).where((F.col("n") * (200 - p) >= low) & (F.col("n") * p <= high))
     listed = each.select("doc_id", "row", "unit", "n", F.explode("b").alias("bigram"))
     wanted = known.select("template", "license", "size", F.explode("bigrams").alias("bigram"))
     shared = (
