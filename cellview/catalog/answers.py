@@ -69,9 +69,9 @@ def sample_sql(weight: str, source: str = "view") -> str:
         for a in LI3.attrs
     )
     order = ", ".join(LI3.ranges())
-    return f"""w AS (SELECT *, {weight} AS w FROM {source}), cum AS (SELECT *, sum(w) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS hi FROM w),
-    t AS (SELECT max(hi) AS total FROM cum), dr AS (SELECT o_orderkey, {U("'vs'", "'box'", 'o_orderkey')} AS u FROM orders)
-    SELECT o_orderkey, {points} FROM dr CROSS JOIN t JOIN cum ON w > 0 AND u >= (hi - w) / total AND u < hi / total"""
+    return f"""w AS (SELECT *, {weight} AS w FROM {source}), ends AS (SELECT *, sum(w) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS hi FROM w),
+    cum AS (SELECT *, lag(hi, 1, 0) OVER (ORDER BY {order}) AS before FROM ends), t AS (SELECT max(hi) AS total FROM cum), dr AS (SELECT o_orderkey, {U("'vs'", "'box'", 'o_orderkey')} AS u FROM orders)
+    SELECT o_orderkey, {points} FROM dr CROSS JOIN t JOIN cum ON w > 0 AND u >= before / total AND u < hi / total"""
 
 
 @query("view_sample", f"WITH {VIEW_SQL}, {sample_sql(f'greatest({settle(f'value * ({size_sql(LI3)})')}, 0)')}")

@@ -283,9 +283,10 @@ def random_cut(spark, sf):
 @query(
     "weighted_sample",
     f"""WITH w AS (SELECT c_custkey, greatest(c_acctbal, 0) AS w FROM customer),
-    cum AS (SELECT c_custkey, w, sum(w) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS hi FROM w), t AS (SELECT max(hi) AS total FROM cum),
+    ends AS (SELECT c_custkey, w, sum(w) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS hi FROM w),
+    cum AS (SELECT *, lag(hi, 1, 0) OVER (ORDER BY c_custkey) AS lo FROM ends), t AS (SELECT max(hi) AS total FROM cum),
     d AS (SELECT o_orderkey, {U("'ws'", 'o_orderkey')} AS u FROM orders)
-    SELECT o_orderkey, c_custkey FROM d CROSS JOIN t JOIN cum ON u >= (hi - w) / total AND u < hi / total AND w > 0""",
+    SELECT o_orderkey, c_custkey FROM d CROSS JOIN t JOIN cum ON u >= lo / total AND u < hi / total AND w > 0""",
 )
 def weighted_sample(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellview.domain import Domain
 from cellview.functions import noise
 from cellview.operators.layout import running_sum
-
-SAMPLE_BINS = 1 << 16
+from cellview.session import materialize
 
 
 def best_per_group(df: DataFrame, group: list[str], value: str, order: list[str]) -> DataFrame:
@@ -86,30 +85,31 @@ def shift_weights(weights: DataFrame, weight: str, name: str) -> DataFrame:
 def weighted_sample(weights: DataFrame, order_by: list[str], weight: str, draws: DataFrame, u: Column) -> DataFrame:
     """One item per row of ``draws``, with replacement, by clamped weight.
 
-    Items become intervals of the cumulative weight; draws land in an interval
-    by an equi-join on a bin of the unit interval.  Draws are uniform, so bins
-    are even whatever the weights are.
+    Items stand at the end of their interval of the cumulative weight, draws at
+    their own number, both range-partitioned by that place: a draw takes the next
+    item after it.  An interval begins where the one before it ends, so every
+    draw takes exactly one item.  One row per partition carries the first item
+    over to the partitions before it.
     """
     placed = running_sum(clamp_weights(weights, weight), order_by, F.col("_w"), "_hi").filter(F.col("_w") > 0)
     total = placed.agg(F.max("_hi").alias("t")).scalar()
-    bins = F.lit(float(SAMPLE_BINS))
-    intervals = (
-        placed.withColumn("_b", (F.col("_hi") / total))
-        .withColumn("_a", (F.col("_hi") - F.col("_w")) / total)
-        .withColumn(
-            "_bin",
-            F.explode(
-                F.sequence(
-                    F.floor(F.greatest(F.col("_a") - F.lit(1e-9), F.lit(0.0)) * bins),
-                    F.floor(F.least(F.col("_b") + F.lit(1e-9), F.lit(1.0)) * bins),
-                )
-            ),
-        )
-        .select("_bin", "_a", "_b", *[F.col(c) for c in weights.columns])
+    items = placed.select((F.col("_hi") / total).alias("_at"), F.struct(*weights.columns).alias("_item"))
+    thrown = draws.select(u.alias("_at"), F.struct(*draws.columns).alias("_draw"))
+    marks = materialize(
+        items.unionByName(thrown, allowMissingColumns=True).repartitionByRange("_at").withColumn("_part", F.spark_partition_id()),
+        "marks",
+    )
+    keys = [F.col("_item")[c] for c in order_by]
+    # backwards; a draw at the very end of an interval belongs to the next one
+    back = Window.partitionBy("_part").orderBy(F.desc("_at"), F.col("_item").isNotNull(), *[k.desc() for k in keys])
+    taken = F.last("_item", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.min_by("_item", F.when(F.col("_item").isNotNull(), F.struct("_at", *keys)))
+    onward = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    carried = marks.groupBy("_part").agg(first.alias("_first")).select(
+        "_part", F.first("_first", ignorenulls=True).over(onward).alias("_next")
     )
-    thrown = draws.withColumn("_u", u).withColumn("_bin", F.floor(F.col("_u") * bins))
     return (
-        thrown.join(intervals, "_bin")
-        .filter((F.col("_u") >= F.col("_a")) & (F.col("_u") < F.col("_b")))
-        .select(*draws.columns, *weights.columns)
+        marks.withColumn("_taken", taken).filter(F.col("_draw").isNotNull()).join(carried, "_part")
+        .withColumn("_taken", F.coalesce("_taken", "_next")).filter(F.col("_taken").isNotNull())
+        .select("_draw.*", "_taken.*")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cellview.domain import Domain, grid
 from cellview.functions import noise
+from cellview.operators.layout import running_sum
 
 
 def attribute_sets(domain: DataFrame, k: int) -> DataFrame:
@@ -35,6 +36,8 @@ def _ranges(domain: DataFrame, k: int, per_attribute: str, upto: str | None = No
     for i in range(k):
         out = out.selectExpr("aset", "attrs", "sizes", "los", "his", f"sizes[{i}] AS n")
         out = out.selectExpr("*", per_attribute)
+        if i == 0:  # the first attribute's codes spread what the others multiply
+            out = out.repartition("aset", out.columns[-1])
         if upto:
             out = out.selectExpr("*", upto)
         out = out.selectExpr("aset", "attrs", "sizes", "array_append(los, lo) AS los", "array_append(his, hi) AS his")
@@ -102,10 +105,12 @@ def dense_marginal(cells: DataFrame, domain: Domain, attrs: list[str], value: st
 def prefix_answers(cells: DataFrame, domain: Domain, attrs: list[str], value: str = "v") -> DataFrame:
     """All prefix counts of a marginal: one cumulative window per attribute.
 
-    Each window runs along one attribute only, so it holds at most its codes
-    (for a one-attribute workload that is the whole, small, answer).
+    Each window runs along one attribute only, so it holds at most its codes;
+    a single attribute is summed over ranges of its codes in parallel.
     """
     out = dense_marginal(cells, domain, attrs, value)
+    if len(attrs) == 1:
+        return running_sum(out, attrs, F.col(value), "answer").select(*attrs, "answer")
     for a in attrs:
         line = Window.partitionBy(*[b for b in attrs if b != a]).orderBy(a)
         out = out.withColumn(value, F.sum(value).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

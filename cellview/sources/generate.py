@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellview.domain import Domain
 from cellview.functions import noise
-from cellview.operators.layout import attach
+from cellview.operators.layout import attach, number_rows
 
 
 @dataclass(frozen=True)
@@ -54,15 +54,11 @@ def edge_code(x: Column, low: Column, high: Column, n: int) -> Column:
 
 
 def permutation(spark, attr: str, n: int, seed: str) -> DataFrame:
-    """Random relabeling ``(code, other)`` of the codes of one attribute.
-
-    An attribute's codes are schema-sized; their ranks come from one array sort.
-    """
+    """Random relabeling ``(code, other)`` of the codes of one attribute: ranks of keyed draws."""
     drawn = spark.range(n).select(F.col("id").cast("int").alias("code")).withColumn(
         "_u", noise.unit(seed, "permute", attr, F.col("code"))
     )
-    ordered = drawn.agg(F.array_sort(F.collect_list(F.struct("_u", "code"))).alias("s"))
-    return ordered.select(F.posexplode("s").alias("other", "_e")).select(F.col("_e.code").alias("code"), "other")
+    return number_rows(drawn, ["_u", "code"], "other").select("code", F.col("other").cast("int").alias("other"))
 
 
 def permute_codes(df: DataFrame, attr: str, n: int, seed: str) -> DataFrame:
@@ -109,8 +105,9 @@ def sequential_cells(spark, domain: Domain, n: int) -> DataFrame:
 
 def first_tries(n: int, total: int) -> int:
     """Draws that most likely hold ``n`` distinct of ``total`` equal cells."""
-    missing = max(1.0 - n / total, 0.5 / total)
-    return int(-1.5 * total * math.log(missing)) + 64
+    taken = min(n / total, 1.0 - 0.5 / total)
+    missing = math.log1p(-taken) if taken < 1.0 else math.log(0.5) - math.log(total)
+    return int(-1.5 * total * missing) + 64
 
 
 def random_cells(spark, domain: Domain, n: int, seed: str) -> DataFrame:

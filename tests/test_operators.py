@@ -167,6 +167,17 @@ def test_weighted_sample_uses_all_positive_items(spark):
     assert len(even) == 4 and sum(r["count"] for r in even) == 20_000
 
 
+def test_weighted_sample_takes_one_item_per_draw(spark):
+    n = 100_000
+    items = spark.range(n).selectExpr("id AS item", "pow(10D, pmod(id * 7919, 13) - 6) / 3 AS w")
+    draws = spark.range(4 * n).withColumnRenamed("id", "draw")
+    got = M.weighted_sample(items, ["item"], "w", draws, noise.unit("one", F.col("draw"))).agg(F.count(F.lit(1)), F.countDistinct("draw")).first()
+    assert tuple(got) == (4 * n, 4 * n)
+    edges = spark.createDataFrame([(0, 0.0), (1, 0.25), (2, 0.5), (3, 0.75)], "draw int, at double")
+    even = spark.range(4).selectExpr("cast(id AS int) AS item", "1D AS w")
+    assert all(r.item == r.draw for r in M.weighted_sample(even, ["item"], "w", edges, F.col("at")).collect())
+
+
 def test_normalized_weights(spark):
     rows = spark.createDataFrame([(0, 1.5), (1, 0.3), (2, -0.8)], "i int, x double")
     got = [r.share for r in M.shift_weights(rows, "x", "share").orderBy("i").collect()]
