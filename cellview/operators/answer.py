@@ -23,38 +23,23 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain, by: li
     trial); all of them are answered in one job.
 
     Per attribute set of the workload, boxes with the same projection are summed
-    first (grouping sets over their bounds).  A projected box then meets the
-    queries of its set that touch one of its coarse bins on the set's first
-    attribute; a pair is counted in the first bin the two share.
+    first.  A projected box then meets the queries of its set that touch one of
+    its coarse bins on the set's widest attribute; a pair is counted in the first bin the two share.
     """
     wide = C.widen_queries(queries, domain)
-    masks, asked_rows = C.attribute_sets(wide)
-    attrs, width = domain.attrs, C._bin_width(domain)
-    bounds = domain.ranges()
-    tags = [F.col(c) for c in by]
-    sets = [[*tags, *[F.col(f"{s}_{a}") for i, a in enumerate(attrs) if m >> i & 1 for s in ("lo", "hi")]] for m in masks]
+    attrs, bounds = domain.attrs, domain.ranges()
+    kept = [F.when(C.in_set(domain, a), F.col(f"{s}_{a}")).alias(f"b_{s}_{a}") for a in attrs for s in ("lo", "hi")]
     boxes = (
-        view.withColumn("_tot", F.col("value") * domain.size_column())
-        .groupingSets(sets, *tags, *[F.col(c) for c in bounds])
-        .agg(F.sum("_tot").alias("_tot"), F.grouping_id().alias("_gid"))
-    )
-    mask = " + ".join(
-        f"if((_gid & {1 << (2 * (len(attrs) - 1 - i))}L) = 0, {1 << i}L, 0L)" for i in range(len(attrs))
+        C.per_attribute_set(view.withColumn("_tot", F.col("value") * domain.size_column()).select(*by, *bounds, "_tot"), wide)
+        .select(*by, "mask", "_tot", *kept)
+        .groupBy(*by, "mask", *[f"b_{s}_{a}" for a in attrs for s in ("lo", "hi")]).agg(F.sum("_tot").alias("_tot"))
+        .withColumn("_b0", C._bin(domain, "b_lo_")).withColumn("bin", F.explode(F.sequence("_b0", C._bin(domain, "b_hi_"))))
     )
-    first = "coalesce(" + ", ".join(f"lo_{a}" for a in attrs) + ", 0)"
-    last = "coalesce(" + ", ".join(f"hi_{a}" for a in attrs) + ", 0)"
-    renamed = [f"lo_{a} AS b_lo_{a}" for a in attrs] + [f"hi_{a} AS b_hi_{a}" for a in attrs]
-    boxes = boxes.selectExpr(
-        *by, f"{mask} AS mask", *renamed, "_tot", f"int({first} div {width}) AS _b0", f"int({last} div {width}) AS _b1"
-    ).selectExpr("*", "explode(sequence(_b0, _b1)) AS bin")
+    low, high = (C._bin(domain, side, lambda a: C.in_set(domain, a)) for side in ("lo_", "hi_"))
     asked = (
         wide.filter(C._nonempty(domain))
-        .withColumn("_q0", C._lead(domain, "lo"))
-        .withColumn("_q1", C._lead(domain, "hi"))
-        .selectExpr(
-            "query_id", "mask", *bounds, f"int(_q0 div {width}) AS _q0",
-            f"explode(sequence(int(_q0 div {width}), int(_q1 div {width}))) AS bin",
-        )
+        .select("query_id", "mask", *bounds, low.alias("_q0"), high.alias("_q1"))
+        .withColumn("bin", F.explode(F.sequence("_q0", "_q1"))).drop("_q1")
     )
     share, overlap = F.col("_tot"), F.col("bin") == F.greatest("_b0", "_q0")
     for a in attrs:
@@ -62,7 +47,7 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain, by: li
         used = F.col(f"b_lo_{a}").isNotNull()
         overlap = overlap & (~used | (cut > 0))
         share = share * F.when(used, cut / (F.col(f"b_hi_{a}") - F.col(f"b_lo_{a}") + F.lit(1))).otherwise(F.lit(1.0))
-    pairs = attach(boxes, asked, ["mask", "bin"], asked_rows * (C.BINS + 1))
+    pairs = attach(boxes, asked, ["mask", "bin"], wide.count() * C.BINS)
     hits = pairs.filter(overlap).groupBy(*by, "query_id").agg(F.sum(share).alias("_s"))
     asked_of = wide.select("query_id")
     if by:

@@ -91,75 +91,61 @@ def _nonempty(domain: Domain) -> Column:
     return out
 
 
-def _lead(domain: Domain, side: str) -> Column:
-    """Bound of the first attribute a query conditions on (0 if there is none)."""
-    out = F.lit(0)
-    for i, a in reversed(list(enumerate(domain.attrs))):
-        used = F.col("mask").bitwiseAND(F.lit(1 << i)) != F.lit(0)
-        out = F.when(used, F.col(f"{side}_{a}")).otherwise(out)
-    return out
+BINS = 32
 
 
-BINS = 32
+def _bin(domain: Domain, side: str = "", used=None) -> Column:
+    """Coarse bin, out of ``BINS``, of the attribute with the most codes that a row has.
 
+    An attribute counts as absent where it is null or, with ``used``, where that
+    says so; 0 if all are absent.
+    """
+    widest = sorted(domain.attrs, key=lambda a: -domain[a])
+    spots = [F.floor(F.col(f"{side}{a}") * F.lit(float(BINS)) / F.lit(float(domain[a]))).cast("int") for a in widest]
+    if used:
+        spots = [F.when(used(a), spot) for a, spot in zip(widest, spots, strict=True)]
+    return F.coalesce(*spots, F.lit(0))
 
-def _bin_width(domain: Domain) -> int:
-    return max(1, -(-max(domain.sizes.values()) // BINS))
 
+def in_set(domain: Domain, attr: str) -> Column:
+    """Whether a row's attribute set ``mask`` has the attribute."""
+    return F.col("mask").bitwiseAND(F.lit(1 << domain.attrs.index(attr))) != F.lit(0)
 
-def attribute_sets(wide: DataFrame, limit: int = 4096) -> tuple[list[int], int]:
-    """Distinct attribute masks of a workload and its number of queries.
 
-    The masks are metadata: there are no more than the schema allows.
+def per_attribute_set(df: DataFrame, wide: DataFrame) -> DataFrame:
+    """Rows of ``df`` once per attribute set of a workload, numbered by ``mask``.
+
+    The distinct masks are one array value inside the plan, so any number of sets is one job.
     """
-    found = wide.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"a workload over more than {limit} attribute sets must be answered in parts")
-    return sorted(r.mask for r in found), sum(r.n for r in found)
+    masks = wide.agg(F.collect_set("mask").alias("m")).scalar()
+    return df.withColumn("_masks", masks).withColumn("mask", F.explode("_masks")).drop("_masks")
 
 
 def answer_ranges(cells: DataFrame, queries: DataFrame, domain: Domain) -> DataFrame:
     """Exact answer of every conjunctive range count, and its cell numbers.
 
     Cells are first summed to one marginal per attribute set that the workload
-    uses (grouping sets, with map-side partial sums), which shrinks the big
-    side before any join.  Marginal cells then meet only the queries whose
-    first condition touches their bin.  Empty answers stay as zeros.
+    uses (with map-side partial sums), which shrinks the big side before any
+    join.  Marginal cells then meet only the queries whose condition on the set's
+    widest attribute touches their bin.  Empty answers stay as zeros.
     Returns ``query_id, total, nonempty, size, zeros``; ``nonempty`` counts
     non-empty cells of the full table.
     """
     wide = widen_queries(queries, domain)
-    masks, asked_rows = attribute_sets(wide)
-    attrs, width = domain.attrs, _bin_width(domain)
-    sets = [[F.col(a) for i, a in enumerate(attrs) if m >> i & 1] for m in masks]
-    # grouping_id() has a bit set for every column that is summed away
-    everything = (1 << len(attrs)) - 1
-    parts = cells.groupingSets(sets, *[F.col(a) for a in attrs]).agg(
-        F.sum("v").cast("bigint").alias("v"),
-        F.count(F.lit(1)).alias("n"),
-        F.grouping_id().alias("_gid"),
-    )
-    kept = F.lit(0).cast("bigint")
-    for i in range(len(attrs)):
-        from_gid = F.lit(everything).bitwiseXOR(F.col("_gid"))
-        kept = kept + F.when(
-            from_gid.bitwiseAND(F.lit(1 << (len(attrs) - 1 - i))) != 0, F.lit(1 << i)
-        ).otherwise(F.lit(0))
-    parts = parts.withColumn("mask", kept.cast("bigint")).withColumn(
-        "bin", F.expr(f"cast(coalesce({', '.join(f'`{a}`' for a in attrs)}, 0) div {width} as int)")
-    )
-    asked = (
-        wide.filter(_nonempty(domain))
-        .withColumn("_a", _lead(domain, "lo"))
-        .withColumn("_b", _lead(domain, "hi"))
-        .withColumn("bin", F.explode(F.expr(f"sequence(cast(_a div {width} as int), cast(_b div {width} as int))")))
-        .drop("_a", "_b")
+    attrs = domain.attrs
+    parts = (
+        per_attribute_set(cells.select(*attrs, "v"), wide)
+        .select("mask", "v", *[F.when(in_set(domain, a), F.col(a)).alias(a) for a in attrs])
+        .groupBy("mask", *attrs).agg(F.sum("v").cast("bigint").alias("v"), F.count(F.lit(1)).alias("n"))
+        .withColumn("bin", _bin(domain))
     )
+    low, high = (_bin(domain, side, lambda a: in_set(domain, a)) for side in ("lo_", "hi_"))
+    asked = wide.filter(_nonempty(domain)).withColumn("bin", F.explode(F.sequence(low, high)))
     inside = F.lit(True)
     for a in attrs:
         inside = inside & (F.col(a).isNull() | F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}")))
     hits = (
-        attach(parts, asked, ["mask", "bin"], asked_rows * (BINS + 1))
+        attach(parts, asked, ["mask", "bin"], wide.count() * BINS)
         .filter(inside)
         .groupBy("query_id")
         .agg(F.sum("v").alias("_v"), F.sum("n").alias("_n"))

@@ -167,6 +167,20 @@ def test_weighted_sample_uses_all_positive_items(spark):
     assert len(even) == 4 and sum(r["count"] for r in even) == 20_000
 
 
+def test_range_counts_of_many_attribute_sets(spark):
+    names = [f"a{i}" for i in range(40)]
+    domain = Domain({n: 3 + i % 4 for i, n in enumerate(names)})
+    codes = [[(7 * r * r + 3 * i * r + i) % domain[n] for i, n in enumerate(names)] for r in range(3)]
+    cells = spark.createDataFrame([(*c, r + 1) for r, c in enumerate(codes)], ", ".join(f"{n} int" for n in names) + ", v bigint")
+    sets = [(i, j, k) for i in range(40) for j in range(i) for k in range(j)][:4200]
+    queries = spark.createDataFrame([(q, names[a], 1, 2) for q, s in enumerate(sets) for a in s], "query_id int, attr string, lo int, hi int")
+    want = {q: sum(r + 1 for r, c in enumerate(codes) if all(1 <= c[a] <= 2 for a in s)) for q, s in enumerate(sets)}
+    assert {r.query_id: r.total for r in C.answer_ranges(cells, queries, domain).select("query_id", "total").collect()} == want
+    view = cells.select(*[F.col(n).alias(f"{s}_{n}") for n in names for s in ("lo", "hi")], F.col("v").cast("double").alias("value"))
+    few = queries.filter("query_id < 60")
+    assert {r.query_id: r.estimate for r in A.view_range_count(view, few, domain).collect()} == {q: want[q] for q in range(60)}
+
+
 def test_weighted_sample_takes_one_item_per_draw(spark):
     n = 100_000
     items = spark.range(n).selectExpr("id AS item", "pow(10D, pmod(id * 7919, 13) - 6) / 3 AS w")
