@@ -154,16 +154,20 @@ def score_mutual_info(spark, sf):
 # ------------------------------------------------------------------ the network
 
 
-def structure_sql(levels, seed: str) -> str:
-    """CTE ``model(step, cand, child, lv_*)``: greedy steps unrolled."""
+def structure_sql(levels, seed: str, trial: int = 0, source: str | None = None) -> str:
+    """CTE ``model(step, cand, child, lv_*)``: greedy steps unrolled.
+
+    ``source`` gives the CTEs ``cells`` and ``nn`` where they are not the grid codes.
+    """
     d = len(levels)
-    out = [grid_cells_sql(levels), combos_sql(levels), joint_sql(levels, "combos", "alljoint"), margins_sql(levels, "alljoint", "_all"),
+    out = [source or grid_cells_sql(levels), combos_sql(levels), "fits AS (SELECT * FROM combos WHERE width <= greatest(tau, 1))",
+           joint_sql(levels, "fits", "alljoint"), margins_sql(levels, "alljoint", "_all"),
            f"allscores AS MATERIALIZED (SELECT cand, {L1} AS score FROM marg_all GROUP BY cand)"]
     lvs = ", ".join(f"lv_{a}" for a in levels)
     for i in range(d):
         done = " UNION ALL ".join(f"SELECT child FROM m{j}" for j in range(i)) or "SELECT '' AS child"
         allowed = " AND ".join(f"(lv_{a} < 0 OR '{a}' IN (SELECT child FROM done{i}))" for a in levels)
-        z = gumbel(f"'{seed}'", "'structure'", "0", str(i), "cand")
+        z = gumbel(f"'{seed}'", "'structure'", str(trial), str(i), "cand")
         if i:
             z = f"{0.5 * EPS / (d - 1)!r}::DOUBLE * score / (2::DOUBLE * (6.0::DOUBLE / n)) + {z}"
         out += [
@@ -176,17 +180,17 @@ def structure_sql(levels, seed: str) -> str:
 
 
 SEED = "bn"
-MODEL_SQL = structure_sql(NET3, SEED)
+MODEL_SQL = structure_sql(NET5, SEED)
 
 
 def learned(spark, sf):
-    cells = grid_cells(spark, sf, NET3)
-    return cells, N.learn_structure(cells, NET3, total(spark, sf), EPS, THETA, SEED)
+    cells = grid_cells(spark, sf, NET5)
+    return cells, N.learn_structure(cells, NET5, total(spark, sf), EPS, THETA, SEED)
 
 
 @query(
     "bn_structure",
-    f"""WITH {MODEL_SQL} SELECT step, child, concat_ws(',', {', '.join(f"CASE WHEN lv_{a} >= 0 THEN '{a}@' || lv_{a} END" for a in NET3)}) AS parents FROM model""",
+    f"""WITH {MODEL_SQL} SELECT step, child, concat_ws(',', {', '.join(f"CASE WHEN lv_{a} >= 0 THEN '{a}@' || lv_{a} END" for a in NET5)}) AS parents FROM model""",
 )
 def bn_structure(spark, sf):
     _, model = learned(spark, sf)
@@ -195,88 +199,95 @@ def bn_structure(spark, sf):
     )
 
 
-def families_sql(levels) -> str:
+def families_sql(levels, seed: str = SEED, trial: int = 0) -> str:
     """CTE ``fam``: full noisy joint grid of every family."""
-    tops = ", ".join(
-        f"unnest(CASE WHEN lv_{a} < 0 THEN [-1] ELSE range(0, {width_sql(levels, a)}) END) AS p_{a}" for a in levels
-    )
     grid, source = [], "model"
     for i, a in enumerate(levels):
         grid.append(f"g{i} AS (SELECT *, CAST(unnest(CASE WHEN lv_{a} < 0 THEN [-1] ELSE range(0, {width_sql(levels, a)}) END) AS INTEGER) AS p_{a} FROM {source})")
         source = f"g{i}"
     keys = ["cand", "child", *[f"p_{a}" for a in levels], "x"]
     d = len(levels)
-    draw = laplace(2.0 * d / (0.5 * EPS), f"'{SEED}'", "'family'", "0", *keys[1:])
+    draw = laplace(2.0 * d / (0.5 * EPS), f"'{seed}'", "'family'", str(trial), *keys[1:])
     return f"""{', '.join(grid)}, gx AS (SELECT *, CAST(unnest(range(0, {size_case(levels, lambda a: levels[a].sizes[0])})) AS INTEGER) AS x FROM {source}),
     {joint_sql(levels, 'model', 'famjoint')},
     fam AS MATERIALIZED (SELECT {', '.join('g.' + k for k in keys)}, coalesce(j.n, 0) AS n, {settle(f'coalesce(j.n, 0) + ' + draw.replace(', child', ', g.child').replace(', p_', ', g.p_').replace(', x)', ', g.x)'))} AS y
       FROM gx g LEFT JOIN famjoint j USING ({', '.join(keys)}))"""
 
 
-FAM_SQL = f"{MODEL_SQL},\n{families_sql(NET3)}"
+FAM_SQL = f"{MODEL_SQL},\n{families_sql(NET5)}"
 
 
 @query("bn_noisy_marginals", f"WITH {FAM_SQL} SELECT * FROM fam")
 def bn_noisy_marginals(spark, sf):
     cells, model = learned(spark, sf)
-    return N.noisy_families(cells, model, NET3, EPS, SEED)
+    return N.noisy_families(cells, model, NET5, EPS, SEED)
+
+
+def conditionals_sql(levels) -> str:
+    """CTE ``cond``: cumulative distribution of the child per parent cell."""
+    key = "cand, child, " + ", ".join(f"p_{a}" for a in levels)
+    return f"""w1 AS (SELECT *, greatest(y, 0) AS w, sum(greatest(y, 0)) OVER (PARTITION BY {key}) AS t FROM fam),
+w2 AS (SELECT {key}, x, CASE WHEN t > 0 THEN w ELSE 1 END AS w FROM w1),
+w3 AS (SELECT *, sum(w) OVER (PARTITION BY {key}) AS t, sum(w) OVER (PARTITION BY {key} ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM w2),
+cond AS MATERIALIZED (SELECT {key}, x, {settle('(c - w) / t', 9)} AS cdf_lo, {settle('c / t', 9)} AS cdf_hi FROM w3)"""
 
 
-KEY = "cand, child, " + ", ".join(f"p_{a}" for a in NET3)
-COND_SQL = f"""w1 AS (SELECT *, greatest(y, 0) AS w, sum(greatest(y, 0)) OVER (PARTITION BY {KEY}) AS t FROM fam),
-w2 AS (SELECT {KEY}, x, CASE WHEN t > 0 THEN w ELSE 1 END AS w FROM w1),
-w3 AS (SELECT *, sum(w) OVER (PARTITION BY {KEY}) AS t, sum(w) OVER (PARTITION BY {KEY} ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM w2),
-cond AS MATERIALIZED (SELECT {KEY}, x, {settle('(c - w) / t', 9)} AS cdf_lo, {settle('c / t', 9)} AS cdf_hi FROM w3)"""
+COND_SQL = conditionals_sql(NET5)
 
 
 @query("bn_conditional", f"WITH {FAM_SQL}, {COND_SQL} SELECT * FROM cond")
 def bn_conditional(spark, sf):
     cells, model = learned(spark, sf)
-    return N.conditionals(N.noisy_families(cells, model, NET3, EPS, SEED), NET3)
+    return N.conditionals(N.noisy_families(cells, model, NET5, EPS, SEED), NET5)
 
 
-def sampling_sql(levels) -> str:
-    out = [f"s0 AS (SELECT o_orderkey, {', '.join(f'CAST(NULL AS INTEGER) AS {a}' for a in levels)} FROM orders)"]
+def sampling_sql(levels, seed: str = SEED, trial: int = 0, rows: str = "orders", key: str = "o_orderkey") -> str:
+    """CTE ``s<attributes>``: one synthetic record per row of ``rows``."""
+    out = [f"s0 AS (SELECT {key}, {', '.join(f'CAST(NULL AS INTEGER) AS {a}' for a in levels)} FROM {rows})"]
     for i in range(len(levels)):
         keys = ", ".join(f"{parent_key_sql(levels, a, a)} AS p_{a}" for a in levels)
         on = " AND ".join(f"c.p_{a} = k.p_{a}" for a in levels)
         put = ", ".join(f"CASE WHEN k.child = '{a}' THEN c.x ELSE k.{a} END AS {a}" for a in levels)
-        u = U(f"'{SEED}'", "'record'", "0", "child", "o_orderkey")
+        u = U(f"'{seed}'", "'record'", str(trial), "child", key)
         out += [
             f"k{i} AS (SELECT s.*, child, {keys}, round({u}, 9) AS u FROM s{i} s CROSS JOIN m{i})",
-            f"s{i + 1} AS MATERIALIZED (SELECT o_orderkey, {put} FROM k{i} k JOIN cond c ON c.child = k.child AND {on} AND k.u >= c.cdf_lo AND k.u < c.cdf_hi)",
+            f"s{i + 1} AS MATERIALIZED (SELECT {key}, {put} FROM k{i} k JOIN cond c ON c.child = k.child AND {on} AND k.u >= c.cdf_lo AND k.u < c.cdf_hi)",
         ]
     return ",\n".join(out)
 
 
-@query("bn_sample", f"WITH {FAM_SQL}, {COND_SQL}, {sampling_sql(NET3)} SELECT o_orderkey, q, t, r FROM s3")
+@query("bn_sample", f"WITH {FAM_SQL}, {COND_SQL}, {sampling_sql(NET5)} SELECT o_orderkey, {', '.join(NET5)} FROM s5")
 def bn_sample(spark, sf):
     cells, model = learned(spark, sf)
-    families = N.noisy_families(cells, model, NET3, EPS, SEED)
+    families = N.noisy_families(cells, model, NET5, EPS, SEED)
     rows = table(spark, sf, "orders").select("o_orderkey")
-    return N.ancestral_sample(rows, "o_orderkey", N.conditionals(families, NET3), model, NET3, SEED)
+    return N.ancestral_sample(rows, "o_orderkey", N.conditionals(families, NET5), model, NET5, SEED)
 
 
 @query(
     "bn_decode",
-    f"""WITH {grid_cells_sql(NET3)} SELECT round((q + 0.5::DOUBLE) * 3.0625::DOUBLE + 1, 6) AS quantity, round((t + 0.5::DOUBLE) * 0.005::DOUBLE, 6) AS tax,
-    CASE r WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS flag FROM rec""",
+    f"""WITH {FAM_SQL}, {COND_SQL}, {sampling_sql(NET5)} SELECT o_orderkey, round((q + 0.5::DOUBLE) * 3.0625::DOUBLE + 1, 6) AS quantity, round((t + 0.5::DOUBLE) * 0.005::DOUBLE, 6) AS tax,
+    round((d + 0.5::DOUBLE) * 0.00625::DOUBLE, 6) AS discount, CASE r WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS flag,
+    CASE s WHEN 0 THEN 'F' ELSE 'O' END AS status FROM s5""",
 )
 def bn_decode(spark, sf):
     tax = spark.createDataFrame([("A", 0, 0, 0), ("N", 1, 0, 1), ("R", 2, 0, 2)], "value string, code int, lvl int, segment int")
-    coded = grid_records(spark, sf, NET3).select(
+    status = spark.createDataFrame([("F", 0, 0, 0), ("O", 1, 0, 1)], "value string, code int, lvl int, segment int")
+    coded = bn_sample(spark, sf).select(
+        "o_orderkey",
         F.round(Z.decode_grid(F.col("q"), 1.0, 50.0), 6).alias("quantity"),
         F.round(Z.decode_grid(F.col("t"), 0.0, 0.08), 6).alias("tax"),
-        F.col("r").alias("flag"),
+        F.round(Z.decode_grid(F.col("d"), 0.0, 0.1), 6).alias("discount"),
+        F.col("r").alias("flag"), F.col("s").alias("status"),
     )
-    return Z.decode_taxonomy(coded, "flag", tax)
+    return Z.decode_taxonomy(Z.decode_taxonomy(coded, "flag", tax), "status", status)
 
 
 @query(
     "model_mutual_info",
-    f"""WITH {MODEL_SQL}, {joint_sql(NET3, 'model', 'famjoint')}, {margins_sql(NET3, 'famjoint', '_fam')},
+    f"""WITH {MODEL_SQL}, {joint_sql(NET5, 'model', 'famjoint')}, {margins_sql(NET5, 'famjoint', '_fam')},
     s AS (SELECT cand, {INFO} AS score FROM marg_fam GROUP BY cand) SELECT count(*) AS families, {settle('sum(score)')} AS mutual_info FROM s""",
 )
 def model_mutual_info(spark, sf):
     cells, model = learned(spark, sf)
-    return E.model_information(cells, model, NET3, total(spark, sf))
+    return E.model_information(cells, model, NET5, total(spark, sf))

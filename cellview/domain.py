@@ -81,18 +81,18 @@ class Domain:
 GRID_LIMIT = 1 << 31
 
 
-def require_dense(domain: Domain, limit: int = GRID_LIMIT) -> None:
-    """Dense releases list every cell, so their grid must stay bounded."""
-    if domain.cells() > limit:
+def require_dense(domain: Domain, limit: int | None = GRID_LIMIT) -> None:
+    """Dense releases list every cell, so their grid must stay bounded, unless ``limit`` is None."""
+    if limit is not None and domain.cells() > limit:
         raise ValueError(f"a dense grid of {domain.cells()} cells is over the limit of {limit}")
 
 
-def grid(spark: SparkSession, domain: Domain) -> DataFrame:
+def grid(spark: SparkSession, domain: Domain, limit: int | None = GRID_LIMIT) -> DataFrame:
     """All cells of the domain with their row-major index ``idx``.
 
     Built from one distributed range by mixed-radix digits, not by cross joins.
     """
-    require_dense(domain)
+    require_dense(domain, limit)
     total = domain.cells()
     out, rest = spark.range(total).withColumnRenamed("id", "idx"), total
     for a, n in domain.sizes.items():

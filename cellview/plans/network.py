@@ -14,8 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellview.domain import Domain
+from cellview.domain import Domain, grid
 from cellview.functions import noise
+from cellview.operators.cells import in_set, per_attribute_set
 from cellview.operators.layout import attach
 from cellview.operators.mechanisms import exponential_mechanism
 from cellview.session import materialize
@@ -116,19 +117,26 @@ def parent_candidates(spark: SparkSession, placed: list[str], free: list[str], l
 def leveled_marginals(cells: DataFrame, candidates: DataFrame, levels: Levels) -> DataFrame:
     """Joint counts of child and generalized parents, for all candidates at once.
 
-    The candidate list travels as one array value (a scalar subquery), is
-    exploded per cell and summed map-side, so only marginal cells shuffle.
+    Cells are first summed to one marginal of finest codes per set of attributes
+    that some candidate uses; a marginal then meets the candidates on its own
+    set.  So a cell is repeated per attribute set, never per candidate and level.
     Absent parents have code -1.
     """
     attrs = list(levels)
-    packed = candidates.agg(F.collect_list(F.struct("cand", "child", *[f"lv_{a}" for a in attrs])).alias("c")).scalar()
+    domain = Domain({a: levels[a].sizes[0] for a in attrs})
+    used = " + ".join(f"if(child = '{a}' OR lv_{a} >= 0, {1 << i}L, 0L)" for i, a in enumerate(attrs))
+    asked = candidates.withColumn("mask", F.expr(used))
+    finest = (
+        per_attribute_set(cells.select(*attrs, "v"), asked)
+        .select("mask", "v", *[F.when(in_set(domain, a), F.col(a)).alias(a) for a in attrs])
+        .groupBy("mask", *attrs).agg(F.sum("v").alias("v"))
+    )
     parents = [
         f"{_case(a, levels, lambda lvl, a=a: levels[a].lift(a, lvl), '-1')} AS p_{a}" for a in attrs
     ]
     child = "CASE child " + " ".join(f"WHEN '{a}' THEN `{a}`" for a in attrs) + " END AS x"
     return (
-        cells.withColumn("_all", packed)
-        .select(*attrs, "v", F.inline("_all"))
+        finest.join(asked, "mask")
         .selectExpr("cand", "child", *parents, child, "v")
         .groupBy("cand", "child", *[f"p_{a}" for a in attrs], "x")
         .agg(F.sum("v").cast("bigint").alias("n"))
@@ -178,6 +186,11 @@ class Family:
         chosen = dict(self.parents)
         return (self.child, *[chosen.get(a, -1) for a in attrs])
 
+    def name(self, attrs: list[str]) -> str:
+        """The key that ``name_candidates`` gives."""
+        chosen = dict(self.parents)
+        return f"{self.child}<-" + ",".join(f"{a}@{chosen[a]}" for a in attrs if a in chosen)
+
 
 def model_frame(spark: SparkSession, model: list[Family]) -> DataFrame:
     rows = [(i, f.child, [(a, lvl) for a, lvl in f.parents]) for i, f in enumerate(model)]
@@ -194,7 +207,10 @@ def learn_structure(
     cells: DataFrame, levels: Levels, total: int, epsilon: float, theta: float = 4.0, seed: str = "seed", trial: int = 0,
     score: str = "l1",
 ) -> list[Family]:
-    """Greedy network with half of ``epsilon``; the first pick is free."""
+    """Greedy network with half of ``epsilon``; the first pick is free.
+
+    A candidate is counted and scored once; later steps read its stored score.
+    """
     spark, attrs, d = cells.sparkSession, list(levels), len(levels)
     bound = joint_bound(total, d, epsilon, theta)
     if score == "l1":
@@ -202,6 +218,7 @@ def learn_structure(
     else:
         sensitivity = 2 / total * math.log2((total + 1) / 2) + (total - 1) / total * math.log2((total + 1) / (total - 1))
     model: list[Family] = []
+    known: DataFrame | None = None
     for step in range(d):
         placed = [a for a in attrs if a in {f.child for f in model}]
         free = [a for a in attrs if a not in placed]
@@ -211,10 +228,12 @@ def learn_structure(
             share, sens = 0.0, 0.0
         else:
             options = materialize(options, "candidates")
-            rows = options.count() * max(h.sizes[0] for h in levels.values())
-            joint = leveled_marginals(cells, options, levels)
+            fresh = options if known is None else materialize(options.join(known, "cand", "left_anti"), "unscored")
+            rows = fresh.count() * max(h.sizes[0] for h in levels.values())
             rate = dependence_scores if score == "l1" else information_scores
-            scored = rate(joint, levels, total, rows).join(options.drop("child"), "cand")
+            new = materialize(rate(leveled_marginals(cells, fresh, levels), levels, total, rows).select("cand", "score"), "scores")
+            known = new if known is None else known.unionAll(new)
+            scored = known.join(options, "cand")
             share, sens = 0.5 * epsilon / (d - 1), sensitivity
         chosen = exponential_mechanism(
             scored.withColumn("step", F.lit(step)), ["step"], ["cand"], "score", share, sens, (seed, "structure", trial)
@@ -224,22 +243,27 @@ def learn_structure(
     return model
 
 
+def family_grid(spark: SparkSession, model: list[Family], levels: Levels) -> DataFrame:
+    """Every cell of every family's joint grid, each family a distributed range."""
+    attrs, out = list(levels), None
+    for f in model:
+        chosen = dict(f.parents)
+        sizes = {f"p_{a}": levels[a].sizes[lvl] for a, lvl in chosen.items()} | {"x": levels[f.child].sizes[0]}
+        parents = [F.col(f"p_{a}") if a in chosen else F.lit(-1).alias(f"p_{a}") for a in attrs]
+        cells = grid(spark, Domain(sizes), limit=None).select(F.lit(f.name(attrs)).alias("cand"), F.lit(f.child).alias("child"), *parents, "x")
+        out = cells if out is None else out.unionAll(cells)
+    return out
+
+
 def noisy_families(
     cells: DataFrame, model: list[Family], levels: Levels, epsilon: float, seed: str = "seed", trial: int = 0
 ) -> DataFrame:
     """Every cell of every family's joint grid, with noise of scale 4d/epsilon."""
     spark, attrs = cells.sparkSession, list(levels)
-    families = family_candidates(spark, model, levels)
-    counted = leveled_marginals(cells, families, levels)
-    grid = families
-    for a in attrs:
-        top = _case(a, levels, lambda lvl: str(levels[a].sizes[lvl] - 1), "-1")
-        grid = grid.withColumn(f"p_{a}", F.expr(f"explode(sequence(if(lv_{a} < 0, -1, 0), {top}))"))
-    tops = "CASE child " + " ".join(f"WHEN '{a}' THEN {levels[a].sizes[0] - 1}" for a in attrs) + " END"
+    counted = leveled_marginals(cells, family_candidates(spark, model, levels), levels)
     keys = ["cand", "child", *[f"p_{a}" for a in attrs], "x"]
-    grid = grid.withColumn("x", F.expr(f"explode(sequence(0, {tops}))")).select(*keys)
     draw = noise.laplace(2.0 * len(attrs) / (0.5 * epsilon), seed, "family", trial, *[F.col(k) for k in keys if k != "cand"])
-    return grid.join(counted, keys, "left").select(
+    return family_grid(spark, model, levels).join(counted, keys, "left").select(
         *keys, F.expr("coalesce(n, 0L) AS n"), noise.settle(F.expr("coalesce(n, 0L)") + draw).alias("y")
     )
 
@@ -290,7 +314,8 @@ def ancestral_sample(
         else:
             on = [f"p_{a}" for a, _ in f.parents]
             lifted = [f"{levels[a].lift(a, lvl)} AS p_{a}" for a, lvl in f.parents]
-            cells = math.prod(levels[a].sizes[lvl] for a, lvl in f.parents)
+            # a row holds one number per code of the child, so the bound counts numbers
+            cells = math.prod(levels[a].sizes[lvl] for a, lvl in f.parents) * levels[f.child].sizes[0]
             out = attach(out.selectExpr("*", *lifted), mine.select(*on, F.col("cdf").alias("_cdf")), on, cells).drop(*on)
         # the outer lambda draws once per record, not once per code; the default
         # tells Spark that codes are never null, so joins need no extra filter
