@@ -9,8 +9,13 @@ from cellview.catalog.base import (
     size_sql, table, tiled_view, uniform_int, wide_sql,
 )
 from cellview.catalog.blocks import SYN_SQL
-from cellview.catalog.releases import PLAN, SQL_DEPTH, bisection_sql, estimate_sql, histogram_sql, marginals_sql, released_sql, tree_sql
+from cellview.catalog.networks import THETA as N_THETA
+from cellview.catalog.networks import conditionals_sql, families_sql, sampling_sql, structure_sql
+from cellview.catalog.releases import (
+    PLAN, SQL_DEPTH, bisection_sql, bucket_means_sql, buckets_sql, estimate_sql, histogram_sql, marginals_sql, released_sql, tree_sql, vector_sql,
+)
 from cellview.catalog.workloads import marginals_sql as kway_sql
+from cellview.domain import grid
 from cellview.functions import noise
 from cellview.operators import answer as A
 from cellview.operators import cells as C
@@ -20,6 +25,7 @@ from cellview.operators import workload as W
 from cellview.plans import bisection as B
 from cellview.plans import dense as D
 from cellview.plans import halving as H
+from cellview.plans import network as N
 from cellview.session import fresh_path
 from cellview.sources import generate as G
 from cellview.sources import tables as T
@@ -135,29 +141,108 @@ def query_errors(spark, sf):
     return rounded(tile_errors(spark, sf), "estimate", "abs_err", "sq_err")
 
 
-TRIALS_SQL = """, per AS (SELECT query_id % 5 AS trial, avg(abs_err) AS mae, sqrt(avg(sq_err)) AS rmse FROM errors GROUP BY 1),
-parts AS (SELECT trial, (SELECT count(*) FROM view) + trial AS leaves FROM per)"""
-SUMMARY = f"""'tiles' AS method, count(*) AS times, {settle('avg(mae)')} AS mae, {settle('stddev_pop(mae)')} AS mae_std, {settle('avg(rmse)')} AS rmse,
+SUMMARY = f"""count(*) AS times, {settle('avg(mae)')} AS mae, {settle('stddev_pop(mae)')} AS mae_std, {settle('avg(rmse)')} AS rmse,
 {settle('stddev_pop(rmse)')} AS rmse_std, {settle('avg(leaves)')} AS leaves, {settle('stddev_pop(leaves)')} AS leaves_std"""
+METHODS = ("bisection", "halving", "histogram", "buckets", "network")
+CHEAP = ("halving", "histogram")
+FLAT: N.Levels = {a: N.Hierarchy.flat(n) for a, n in LI3.sizes.items()}
+LINE_KEY = "l_orderkey * 8 + l_linenumber"
 
 
-def tile_summary(spark, sf):
-    errors = tile_errors(spark, sf).selectExpr("'tiles' AS method", "query_id % 5 AS trial", "abs_err", "sq_err")
-    leaves = tiled_view(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    parts = leaves.selectExpr("'tiles' AS method", "explode(sequence(0L, 4L)) AS trial", "n").selectExpr("method", "trial", "n + trial AS leaves")
-    return E.trial_summary(errors, ["method"], parts)
+def release_sql(method: str, seed: str, trial: int) -> tuple[str, str]:
+    """CTEs of a release of (q, d, r), and its boxes with their values."""
+    ranges = ", ".join(LI3.ranges())
+    points = ", ".join(f"{a} AS lo_{a}, {a} AS hi_{a}" for a in LI3.attrs)
+    key = f"'{seed}'"
+    if method == "bisection":
+        leaf = released_sql(1 / PLAN.epsilon_leaf, key, "'leaf'", str(trial))
+        return f"{cells_sql()}, {bisection_sql(LI3, SQL_DEPTH, seed, trial)}, {leaf}", f"SELECT {ranges}, value FROM view"
+    if method == "halving":
+        leaf = released_sql(2.0, key, "'tree-leaf'", str(trial))
+        return f"{cells_sql()}, {tree_sql(LI3, 6, 1.0, seed, trial=trial)}, {leaf}", f"SELECT {ranges}, value FROM view"
+    if method == "histogram":
+        return histogram_sql(seed, trial), f"SELECT {points}, y AS value FROM hist"
+    if method == "buckets":
+        body = f"{vector_sql(LI3)}, {buckets_sql(LI3, 1.0, 0.5, seed, trial)}, {bucket_means_sql(seed, trial)}"
+        return body, f"SELECT {points}, y AS value FROM rel JOIN vec ON idx BETWEEN first AND last"
+    source = f"{cells_sql()}, nn AS (SELECT count(*) AS n FROM lineitem), lines AS (SELECT {LINE_KEY} AS rid FROM lineitem)"
+    body = f"""{structure_sql(FLAT, seed, trial, source)}, {families_sql(FLAT, seed, trial)}, {conditionals_sql(FLAT)},
+    {sampling_sql(FLAT, seed, trial, 'lines', 'rid')}"""
+    cols = ", ".join(LI3.attrs)
+    return body, f"SELECT {points}, count(*)::DOUBLE AS value FROM s{len(LI3.attrs)} GROUP BY {cols}"
 
 
-@query("trial_summary", f"WITH {VIEW_SQL}, {ERRORS_SQL}{TRIALS_SQL} SELECT {SUMMARY} FROM per JOIN parts USING (trial)")
+def release(spark, sf, cells, method: str, seed: str, trial: int):
+    """A release of (q, d, r) as boxes: ``lo_*, hi_*, value``."""
+    points = [F.col(a).alias(f"{s}_{a}") for a in LI3.attrs for s in ("lo", "hi")]
+    if method == "bisection":
+        view = B.bisection_view(cells, LI3, seed=seed, trial=trial)
+    elif method == "halving":
+        view = H.halving_view(cells, LI3, seed=seed, trial=trial)
+    elif method == "histogram":
+        view = D.laplace_histogram(cells, LI3, 1.0, seed, trial).select(*points, F.col("y").alias("value"))
+    elif method == "buckets":
+        means = D.bucket_release(cells, D.l1_buckets(cells, LI3, 1.0, 0.5, seed, trial), LI3, 1.0, 0.5, seed, trial)
+        view = grid(spark, LI3).join(means, "idx").select(*points, F.col("y").alias("value"))
+    else:
+        lines = table(spark, sf, "lineitem").selectExpr(f"{LINE_KEY} AS rid")
+        synthetic = N.synthesize(cells, lines, "rid", FLAT, lines.count(), 1.0, N_THETA, seed, trial)
+        view = C.count_table(synthetic, LI3).select(*points, F.col("v").cast("double").alias("value"))
+    return view.select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), *LI3.ranges(), "value")
+
+
+def comparison_sql(methods, trials: int, seed: str) -> str:
+    """Summary of several trials of each method on one random workload."""
+    arms = []
+    for trial in range(trials):
+        for method in methods:
+            body, boxes = release_sql(method, seed, trial)
+            arms.append(f"SELECT '{method}' AS method, {trial} AS trial, * FROM (WITH {body} {boxes})")
+    parts = " * ".join(
+        f"greatest(least(w.hi_{a}, b.hi_{a}) - greatest(w.lo_{a}, b.lo_{a}) + 1, 0)::DOUBLE" for a in LI3.attrs
+    )
+    return f"""WITH {cells_sql()}, {random_ranges_sql(CUSTOMERS, LI3, 2, seed)}, {wide_sql(LI3)}, {TRUTH_SQL},
+    views AS MATERIALIZED ({' UNION ALL '.join(arms)}),
+    est AS (SELECT method, trial, query_id, sum({parts} * b.value) AS estimate FROM wq w CROSS JOIN views b GROUP BY ALL),
+    gaps AS (SELECT method, trial, estimate - truth AS gap FROM est JOIN truth USING (query_id)),
+    per AS (SELECT method, trial, avg(abs(gap)) AS mae, sqrt(avg(gap * gap)) AS rmse FROM gaps GROUP BY method, trial),
+    parts AS (SELECT method, trial, count(*) AS leaves FROM views GROUP BY method, trial)
+    SELECT method, {SUMMARY} FROM per JOIN parts USING (method, trial) GROUP BY method"""
+
+
+def comparison(spark, sf, methods, trials: int, seed: str):
+    cells = lineitem_cells(spark, sf)
+    queries = customer_queries(spark, sf, seed=seed)
+    truths = C.answer_ranges(cells, queries, LI3).selectExpr("query_id", "total AS truth")
+    views = None
+    for trial in range(trials):
+        for method in methods:
+            view = release(spark, sf, cells, method, seed, trial)
+            views = view if views is None else views.unionAll(view)
+    return E.compare_views(views, queries, truths, LI3)
+
+
+def saved(results):
+    """``results`` written to a sink and read back."""
+    path = fresh_path(results.sparkSession, "results")
+    T.save_results(results, path)
+    return results.sparkSession.read.schema(results.schema).json(path)
+
+
+@query("trial_summary", comparison_sql(CHEAP, 3, "ts"))
 def trial_summary(spark, sf):
-    return tile_summary(spark, sf)
+    return comparison(spark, sf, CHEAP, 3, "ts")
 
 
-@query("result_sink", f"WITH {VIEW_SQL}, {ERRORS_SQL}{TRIALS_SQL} SELECT {SUMMARY} FROM per JOIN parts USING (trial)")
+@query("result_sink", comparison_sql(CHEAP, 2, "rs"))
 def result_sink(spark, sf):
-    path, results = fresh_path(spark, "results"), tile_summary(spark, sf)
-    T.save_results(results, path)
-    return spark.read.schema(results.schema).json(path)
+    return saved(comparison(spark, sf, CHEAP, 2, "rs"))
+
+
+@query("compare_methods", comparison_sql(METHODS, 2, "cm"))
+def compare_methods(spark, sf):
+    """One random workload, five releases, two trials each: one result table."""
+    return saved(comparison(spark, sf, METHODS, 2, "cm"))
 
 
 def kway_distance_sql(k: int) -> str:
@@ -175,51 +260,3 @@ def kway_tvd(spark, sf):
     keys = ["l_orderkey", "l_linenumber"]
     synthetic = G.uniform_codes(table(spark, sf, "lineitem").select(*keys), keys, LI3, "sy")
     return E.kway_distance(lineitem_cells(spark, sf), C.count_table(synthetic, LI3), LI3, 2)
-
-
-def comparison_sql() -> str:
-    """The same three releases, two trials each, on one random workload."""
-    ranges, arms = ", ".join(LI3.ranges()), []
-    points = ", ".join(f"{a} AS lo_{a}, {a} AS hi_{a}" for a in LI3.attrs)
-    for trial in range(2):
-        leaf = released_sql(1 / PLAN.epsilon_leaf, "'cm'", "'leaf'", str(trial))
-        tree = released_sql(2.0, "'cm'", "'tree-leaf'", str(trial))
-        for method, body, cols in (
-            ("bisection", f"{cells_sql()}, {bisection_sql(LI3, SQL_DEPTH, 'cm', trial)}, {leaf}", f"{ranges}, value FROM view"),
-            ("halving", f"{cells_sql()}, {tree_sql(LI3, 6, 1.0, 'cm', trial=trial)}, {tree}", f"{ranges}, value FROM view"),
-            ("histogram", histogram_sql("cm", trial), f"{points}, y AS value FROM hist"),
-        ):
-            arms.append(f"SELECT * FROM (WITH {body} SELECT '{method}' AS method, {trial} AS trial, {cols})")
-    parts = " * ".join(
-        f"greatest(least(w.hi_{a}, b.hi_{a}) - greatest(w.lo_{a}, b.lo_{a}) + 1, 0)::DOUBLE" for a in LI3.attrs
-    )
-    return f"""WITH {cells_sql()}, {random_ranges_sql(CUSTOMERS, LI3, 2, 'cm')}, {wide_sql(LI3)}, {TRUTH_SQL},
-    views AS MATERIALIZED ({' UNION ALL '.join(arms)}),
-    est AS (SELECT method, trial, query_id, sum({parts} * b.value) AS estimate FROM wq w CROSS JOIN views b GROUP BY ALL),
-    gaps AS (SELECT method, trial, estimate - truth AS gap FROM est JOIN truth USING (query_id)),
-    per AS (SELECT method, trial, avg(abs(gap)) AS mae, sqrt(avg(gap * gap)) AS rmse FROM gaps GROUP BY method, trial),
-    parts AS (SELECT method, trial, count(*) AS leaves FROM views GROUP BY method, trial)
-    SELECT method, {SUMMARY.replace("'tiles' AS method, ", "")} FROM per JOIN parts USING (method, trial) GROUP BY method"""
-
-
-@query("compare_methods", comparison_sql())
-def compare_methods(spark, sf):
-    """One random workload, several releases, two trials each: one result table."""
-    cells = lineitem_cells(spark, sf)
-    queries = customer_queries(spark, sf, seed="cm")
-    truths = C.answer_ranges(cells, queries, LI3).selectExpr("query_id", "total AS truth")
-    points = [F.col(a).alias(f"{s}_{a}") for a in LI3.attrs for s in ("lo", "hi")]
-    views = None
-    for trial in range(2):
-        releases = {
-            "bisection": B.bisection_view(cells, LI3, seed="cm", trial=trial),
-            "halving": H.halving_view(cells, LI3, seed="cm", trial=trial),
-            "histogram": D.laplace_histogram(cells, LI3, 1.0, "cm", trial).select(*points, F.col("y").alias("value")),
-        }
-        for method, view in releases.items():
-            tagged = view.select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), *LI3.ranges(), "value")
-            views = tagged if views is None else views.unionAll(tagged)
-    results = E.compare_views(views, queries, truths, LI3)
-    path = fresh_path(spark, "comparison")
-    T.save_results(results, path)
-    return spark.read.schema(results.schema).json(path)

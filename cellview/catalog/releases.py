@@ -284,12 +284,12 @@ def laplace_marginals(spark, sf):
     return D.laplace_marginals(lineitem_cells(spark, sf), LI3, [["q"], ["d", "r"]], 1.0, "lm")
 
 
-def buckets_sql(domain, epsilon: float, ratio: float, seed: str) -> str:
+def buckets_sql(domain, epsilon: float, ratio: float, seed: str, trial: int = 0) -> str:
     """CTE ``buckets``: dyadic costs from the definition, then the best cover."""
     levels, n = D.heap_levels(domain), domain.cells()
     width = 1 << levels
     scale, price = 2.0 * levels / (ratio * epsilon), 1.0 / ((1 - ratio) * epsilon)
-    draw = laplace(scale, f"'{seed}'", "'interval'", "0", "h")
+    draw = laplace(scale, f"'{seed}'", "'interval'", str(trial), "h")
     cost = f"coalesce(dev, 0) + CASE WHEN h < {width} THEN {draw} ELSE 0 END + {price!r}::DOUBLE"
     out = [
         f"padded AS (SELECT range AS idx, coalesce(v, 0) AS v FROM range({width}) LEFT JOIN vec ON vec.idx = range)",
@@ -314,6 +314,13 @@ def buckets_sql(domain, epsilon: float, ratio: float, seed: str) -> str:
     return ",\n".join(out)
 
 
+def bucket_means_sql(seed: str, trial: int = 0) -> str:
+    """CTE ``rel``: every bucket of ``buckets`` with its released mean ``y``."""
+    draw = laplace(2.0, f"'{seed}'", "'bucket'", str(trial), "first")
+    return f"""tot AS (SELECT first, last, CAST(sum(v) AS BIGINT) AS total FROM buckets JOIN vec ON idx BETWEEN first AND last GROUP BY first, last),
+    rel AS (SELECT first, last, total / (last - first + 1)::DOUBLE + {draw} / (last - first + 1)::DOUBLE AS y FROM tot)"""
+
+
 BUCKETS = f"{vector_sql(LI3)}, {buckets_sql(LI3, 1.0, 0.5, 'lb')}"
 
 
@@ -324,9 +331,7 @@ def l1_buckets(spark, sf):
 
 @query(
     "bucket_release",
-    f"""WITH {BUCKETS}, tot AS (SELECT first, last, CAST(sum(v) AS BIGINT) AS total FROM buckets JOIN vec ON idx BETWEEN first AND last GROUP BY first, last),
-    rel AS (SELECT first, last, total / (last - first + 1)::DOUBLE + {laplace(2.0, "'lb'", "'bucket'", '0', 'first')} / (last - first + 1)::DOUBLE AS y FROM tot)
-    SELECT idx, y FROM rel JOIN vec ON idx BETWEEN first AND last""",
+    f"""WITH {BUCKETS}, {bucket_means_sql('lb')} SELECT idx, y FROM rel JOIN vec ON idx BETWEEN first AND last""",
 )
 def bucket_release(spark, sf):
     cells = lineitem_cells(spark, sf)

@@ -60,6 +60,9 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain, by: li
     )
 
 
+PIECE = 1 << 16  # cells that one row lists
+
+
 def view_marginal(view: DataFrame, domain: Domain, attrs: list[str]) -> DataFrame:
     """Released marginal: every box spreads its total over its projected cells.
 
@@ -71,9 +74,17 @@ def view_marginal(view: DataFrame, domain: Domain, attrs: list[str]) -> DataFram
         .groupBy(*part.ranges()).agg(F.sum("_tot").alias("_tot"))
         .withColumn("_y", F.col("_tot") / part.size_column())
     )
-    for a in attrs:
-        out = out.withColumn(a, F.expr(f"explode(sequence(lo_{a}, hi_{a}))"))
-    return out.groupBy(*attrs).agg(F.sum("_y").alias("y"))
+    # a box may hold most of the grid: number its cells, list them in pieces and spread the pieces
+    widths = [f"(hi_{a} - lo_{a} + 1L)" for a in attrs]
+    pieces = out.selectExpr(
+        "*", f"{' * '.join(widths)} AS _n", f"explode(sequence(0L, ({' * '.join(widths)} - 1L) div {PIECE}L)) AS _piece"
+    ).repartition(*part.ranges(), "_piece")
+    listed = pieces.selectExpr("*", f"explode(sequence(_piece * {PIECE}L, least((_piece + 1L) * {PIECE}L, _n) - 1L)) AS _i")
+    codes = []
+    for i, a in enumerate(attrs):
+        later = " * ".join(widths[i + 1 :]) or "1L"
+        codes.append(f"int(lo_{a} + (_i div ({later})) % {widths[i]}) AS `{a}`")
+    return listed.selectExpr(*codes, "_y").groupBy(*attrs).agg(F.sum("_y").alias("y"))
 
 
 def histogram_marginal(histogram: DataFrame, attrs: list[str]) -> DataFrame:
