@@ -272,14 +272,63 @@ SIDES = [
     "size / (hi - lo + 1) * (cut - lo + 1) AS size_l",
     "size / (hi - lo + 1) * (hi - cut) AS size_r",
 ]
+DEVIATIONS = [
+    "2.0D * (sum_l - num_l * (total_l / size_l)) AS ae_l",
+    "2.0D * (sum_r - num_r * (total_r / size_r)) AS ae_r",
+]
 CUT = ["block", "depth", "total", "size", "pos", "attr", "lo", "hi", "cut"]
 
 
-def cut_statistics(histogram: DataFrame, cuts: DataFrame, rows: int, all_cuts: bool = True) -> DataFrame:
+DIRECT_CODES = 256
+
+
+def _sums_above_mean(histogram: DataFrame, sided: DataFrame, codes: int) -> DataFrame:
+    """Cells above the mean, and their counts, on both sides of every cut.
+
+    Codes are summed into dyadic nodes (level, code >> level).  Either side of a cut
+    is one node per set bit of its length, and asks each of them for the counts
+    above its mean: questions and counts are sorted together and read off running
+    sums.  The work is (histogram rows + cuts) times log2(codes).
+    """
+    bits = codes.bit_length()
+    node = ["block", "pos", "lvl", "node"]
+    counted = (
+        histogram.selectExpr("block", "pos", "code", "v", "n", f"explode(sequence(0, {bits - 1})) AS lvl")
+        .groupBy("block", "pos", "lvl", F.expr("shiftright(code, lvl) AS node"), "v").agg(F.sum("n").alias("n"))
+        .selectExpr(*node, "double(v) AS at", "1 AS kind", "v * n AS s", "n", "int(null) AS cut", "false AS left")
+    )
+    asked = (
+        sided.selectExpr(
+            "block", "pos", "cut",
+            f"inline(array(struct(true AS left, total_l / size_l AS at, cut + 1 AS x), struct(false AS left, total_r / size_r AS at, {1 << bits} - cut - 1 AS x)))",
+        )
+        .selectExpr("*", f"explode(filter(sequence(0, {bits - 1}), b -> (shiftright(x, b) & 1) = 1)) AS lvl")
+        .selectExpr(
+            "block", "pos", "lvl", f"if(left, shiftright(x, lvl) - 1, shiftright({1 << bits}, lvl) - shiftright(x, lvl)) AS node",
+            "at", "0 AS kind", "0L AS s", "0L AS n", "cut", "left",
+        )
+    )
+    above = Window.partitionBy(*node).orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        counted.unionAll(asked)
+        .select("block", "pos", "cut", "left", "kind", F.sum("s").over(above).alias("s"), F.sum("n").over(above).alias("n"))
+        .filter("kind = 0")
+        .groupBy("block", "pos", "cut")
+        .agg(
+            F.expr("sum(if(left, s, 0L)) AS sum_l"), F.expr("sum(if(left, n, 0L)) AS num_l"),
+            F.expr("sum(if(left, 0L, s)) AS sum_r"), F.expr("sum(if(left, 0L, n)) AS num_r"),
+        )
+    )
+
+
+def cut_statistics(histogram: DataFrame, cuts: DataFrame, rows: int, all_cuts: bool = True, codes: int = 0) -> DataFrame:
     """Sizes, totals and deviations of both sides of every candidate cut.
 
-    The work is candidate cuts times distinct histogram rows, not cuts times
-    cells.  ``rows`` bounds the number of candidates.  With ``all_cuts`` the side
+    ``codes`` is the number of codes of the widest attribute.  Up to
+    ``DIRECT_CODES`` every cut meets the histogram rows of its block and attribute;
+    with more codes, sums over dyadic nodes keep the work linear up to a
+    logarithm.  Both give the same whole numbers.
+    ``rows`` bounds the number of candidates.  With ``all_cuts`` the side
     totals are a running sum over the codes of an attribute; otherwise (one cut
     per block) they come from the histogram.  The histogram is read twice:
     persist it.
@@ -304,6 +353,9 @@ def cut_statistics(histogram: DataFrame, cuts: DataFrame, rows: int, all_cuts: b
             .agg(F.expr("sum(if(code <= cut, v * n, 0)) AS total_l"))
         )
     sided = sided.selectExpr(*CUT, *SIDES)
+    if all_cuts and codes > DIRECT_CODES:
+        sums = sided.join(_sums_above_mean(histogram, sided, codes), ["block", "pos", "cut"])
+        return sums.selectExpr(*sided.columns, *DEVIATIONS)
     # whole numbers are summed, so the result does not depend on row order
     above = "v > if(code <= cut, total_l / size_l, total_r / size_r)"
     return (
@@ -315,11 +367,7 @@ def cut_statistics(histogram: DataFrame, cuts: DataFrame, rows: int, all_cuts: b
             F.expr(f"sum(if(code > cut and {above}, v * n, 0)) AS sum_r"),
             F.expr(f"sum(if(code > cut and {above}, n, 0)) AS num_r"),
         )
-        .selectExpr(
-            *sided.columns,
-            "2.0D * (sum_l - num_l * (total_l / size_l)) AS ae_l",
-            "2.0D * (sum_r - num_r * (total_r / size_r)) AS ae_r",
-        )
+        .selectExpr(*sided.columns, *DEVIATIONS)
     )
 
 

@@ -105,7 +105,7 @@ class _Draws:
         if depth <= self.plan.last_scored_depth(self.domain):
             cuts = C.candidate_cuts(frontier, self.domain, self.size)
             bound = rows * sum(self.domain.sizes.values())
-            stats = C.cut_statistics(histogram, cuts, bound).select("*", self.score)
+            stats = C.cut_statistics(histogram, cuts, bound, codes=max(self.domain.sizes.values())).select("*", self.score)
             chosen = best_per_group(stats.select("*", self.utility.alias("z")), ["block"], "z", ["pos", "cut"])
         else:
             cuts = random_cut(frontier.select("*", self.size.alias("size")), self.domain, self.key)

@@ -311,3 +311,37 @@ def test_scratch_tables_are_only_removed_below_the_root(spark):
     path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
     assert path.startswith(scratch_root(spark))
     discard(spark, path)
+
+
+# ---------------------------------------------------------------- cut scores
+
+
+def _stats(cells, domain, codes):
+    frontier = C.root_block(cells, domain)
+    histogram = C.code_histogram(cells.withColumn("block", F.lit("0")), frontier, domain)
+    return C.cut_statistics(histogram, C.candidate_cuts(frontier, domain), sum(domain.sizes.values()), codes=codes)
+
+
+def test_dyadic_cut_statistics_equal_the_direct_ones(spark):
+    domain = Domain({"a": 45, "b": 7})
+    cells = spark.range(120).selectExpr("int(id * id % 45) AS a", "int(id % 7) AS b", "1 + id % 5 * (id % 3) AS v").groupBy("a", "b").agg(F.sum("v").alias("v"))
+    direct = sorted(map(tuple, _stats(cells, domain, 0).collect()))
+    before, C.DIRECT_CODES = C.DIRECT_CODES, 1
+    try:
+        dyadic = sorted(map(tuple, _stats(cells, domain, 45).collect()))
+    finally:
+        C.DIRECT_CODES = before
+    assert len(direct) == 50 and dyadic == direct
+
+
+def test_cuts_of_a_hundred_thousand_codes_are_scored(spark):
+    domain = Domain({"a": 100_000, "b": 2})
+    cells = spark.range(100_000).selectExpr("int(id) AS a", "int(id % 2) AS b", "1 + id % 11 AS v")
+    stats = _stats(cells, domain, 100_000)
+    assert stats.filter("pos = 0").count() == 99_999
+    row = stats.filter("pos = 0 AND cut = 49999").first()
+    half = cells.filter("a <= 49999").agg(F.sum("v")).first()[0]
+    mean = half / row.size_l
+    brute = cells.filter("a <= 49999").agg(F.sum(F.abs(F.col("v") - mean)), F.count("*")).first()
+    assert row.total_l == half
+    assert row.ae_l == pytest.approx(brute[0] + (row.size_l - brute[1]) * mean)
