@@ -3,9 +3,10 @@
 Every text is a first layer.  A layer is scanned for the three kinds of secrets, then
 unwrapped: percent escapes, backslash and character-reference Unicode escapes, base64 runs,
 and compressed bytes (gzip, zlib, bzip2, xz) inside base64.  Each result that differs from
-all layers seen so far goes on the worklist and is scanned in turn, until none is
-left; the set of seen layers ends cycles.  Spans of a deeper layer are mapped back:
-escapes character by character, base64 runs as a whole.
+all layers seen so far at its place goes on the worklist and is scanned in turn, until none
+is left; the set of seen layers with their places ends cycles, and equal blobs at several
+places are all found.  Spans of a deeper layer are mapped back: escapes character by
+character, base64 runs as a whole.
 
 A compressed layer above ``most_bytes`` is not unpacked; its document is reported in
 ``oversize`` (the count of such layers), so that nothing is left out silently.
@@ -68,6 +69,10 @@ class _Layer:
     def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range):
         self.text, self.starts, self.ends = text, starts, ends
 
+    def place(self) -> tuple[str, int, int]:
+        """The text and the region of the document that it stands for."""
+        return (self.text, self.starts[0], max(self.ends)) if self.text else ("", 0, 0)
+
     def rewritten(self, pattern: re.Pattern, decode) -> _Layer | None:
         out, starts, ends, at, changed = [], [], [], 0, False
         for m in pattern.finditer(self.text):
@@ -150,7 +155,8 @@ def all_spans(text: str, plan: Unwrapping = Unwrapping()) -> tuple[list[tuple[in
     simple = "%" not in text and "\\" not in text and "&" not in text
     if simple and not _BASE64.search(text):
         return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), 0
-    seen, work = {text}, [_Layer(text, range(len(text)), range(1, len(text) + 1))]
+    first = _Layer(text, range(len(text)), range(1, len(text) + 1))
+    seen, work = {first.place()}, [first]
     while work:
         layer = work.pop()
         if layer.text is not text:
@@ -170,8 +176,8 @@ def all_spans(text: str, plan: Unwrapping = Unwrapping()) -> tuple[list[tuple[in
                 start, end = layer.starts[m.start()], max(layer.ends[m.start() : m.end()])
                 following.append(_Layer(inner, [start] * len(inner), [end] * len(inner)))
         for new in following:
-            if new is not None and new.text not in seen:
-                seen.add(new.text)
+            if new is not None and new.place() not in seen:
+                seen.add(new.place())
                 work.append(new)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), oversize
 

@@ -154,6 +154,17 @@ def test_secrets_in_layers():
     assert secrets.all_spans("")[0] == [] and secrets.redacted(f"x {key} y", secrets.base_spans(f"x {key} y")) == "x [SECRET] y"
 
 
+def test_secrets_of_equal_blobs():
+    key = "AKIA" + "ABCDEFGH12345678"
+    plain = base64.b64encode(f"the key is {key}".encode()).decode()
+    nested = base64.b64encode(gzip.compress(f"first {plain} then {plain}".encode())).decode()
+    for blob in (plain, nested):
+        text = f"a {blob} b {blob}\nc {blob}"
+        spans, _ = secrets.all_spans(text)
+        assert [(s, e) for s, e, kind in spans if kind == "access"] == [(m.start(), m.end()) for m in re.finditer(re.escape(blob), text)]
+        assert secrets.redacted(text, spans) == "a [SECRET] b [SECRET]\nc [SECRET]"
+
+
 def test_html_text(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     model = html_text.learn(pages)
