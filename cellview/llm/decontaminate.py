@@ -2,8 +2,10 @@
 
 Words are runs of letters and digits, lower-cased.  A mask of span 8 keeps five of
 eight neighbouring words and ignores three, so a seed survives substitutions at the
-ignored places.  Benchmark items are hashed at every word, documents at every second
-word, and the two are joined on the hash.  A hit fixes how the item lies on the
+ignored places.  Items and documents are hashed at every word and joined on the hash.
+The four masks together hit every window the rule below allows: any one substitution
+in 8 or 9 words, any two in 10 to 13 (enumerated in the tests), at any offset in the
+document.  Fewer masks of this weight do not.  A hit fixes how the item lies on the
 document; along that diagonal the words are compared one by one, and the item counts
 as contained if some window of 13 words (or the whole item, if shorter) has at least
 80 % equal words.  Substituted words cost no more than their own place.
@@ -29,8 +31,8 @@ from cellview.llm.common import store
 
 @dataclass(frozen=True)
 class SpacedSeeds:
-    masks: tuple[str, ...] = ("11010011", "10111001")
-    stride: int = 2
+    masks: tuple[str, ...] = ("11110100", "11101001", "10111001", "01001111")
+    stride: int = 1
     window: int = 13
     percent: int = 80
     broadcast_seeds: int = 1_000_000
@@ -51,12 +53,17 @@ def _words(column):
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _seeds(words, plan: SpacedSeeds, stride: int):
-    """All masks at every ``stride``-th word: element i * masks + k is mask k at word i * stride."""
+def _seeded(df: DataFrame, plan: SpacedSeeds, stride: int) -> DataFrame:
+    """A row per mask and ``stride``-th word of the array ``w``: the other columns, place ``p`` and ``seed``.
+
+    Places are rows before they are hashed: Spark compiles that, but not functions inside arrays.
+    """
     kept = [[i for i, c in enumerate(m) if c == "1"] for m in plan.masks]
-    n = F.size(words)
+    n = F.size("w")
     at = F.when(n >= plan.span, F.sequence(F.lit(0), n - plan.span, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(at, lambda i: F.array(*[F.xxhash64(F.lit(k), *[F.get(words, i + o) for o in os]) for k, os in enumerate(kept)])))
+    seeds = F.array(*[F.xxhash64(F.lit(k), *[F.get("w", F.col("p") + o) for o in os]) for k, os in enumerate(kept)])
+    others = [c for c in df.columns if c != "w"]
+    return df.select(*others, "w", F.explode(at).alias("p")).select(*others, "p", F.explode(seeds).alias("seed"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, plan: SpacedSeeds = SpacedSeeds()) -> DataFrame:
@@ -64,21 +71,19 @@ def contained_items(docs: DataFrame, items: DataFrame, plan: SpacedSeeds = Space
 
     ``window_equal``: most equal words in a window; ``equal_words``: most on one diagonal.
     """
-    masks = len(plan.masks)
     source = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     item_words = store(items.where("item_id IS NOT NULL").select("item_id", _words(F.col("text").cast("string")).alias("iw")), "items")
     item_seeds = store(
-        item_words.select("item_id", F.size("iw").alias("item_n"), F.posexplode(_seeds(F.col("iw"), plan, 1)).alias("p", "seed"))
-        .select("seed", "item_id", "item_n", F.expr(f"p div {masks}").cast("int").alias("ip")),
+        _seeded(item_words.select("item_id", F.size("iw").alias("item_n"), F.col("iw").alias("w")), plan, 1).select("seed", "item_id", "item_n", F.col("p").alias("ip")),
         "item-seeds",
     )
     small = item_seeds.count() <= plan.broadcast_seeds
     near = F.broadcast if small else (lambda df: df)
 
-    probes = source.select("key", _words(F.col("text")).alias("w")).select("key", F.posexplode(_seeds(F.col("w"), plan, plan.stride)).alias("p", "seed"))
+    probes = _seeded(source.select("key", _words(F.col("text")).alias("w")), plan, plan.stride)
     hits = (
         probes.join(near(item_seeds), "seed")
-        .select("key", "item_id", "item_n", (F.expr(f"p div {masks}").cast("int") * plan.stride - F.col("ip")).alias("shift"))
+        .select("key", "item_id", "item_n", (F.col("p") - F.col("ip")).alias("shift"))
         .distinct()
     )
     hits = store(hits.groupBy("key").agg(F.collect_list(F.struct("item_id", "item_n", "shift")).alias("hits")), "hits")

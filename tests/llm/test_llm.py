@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -136,6 +137,43 @@ def test_decontamination_tolerates_substitutions(spark):
     assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, items).collect()) == [1, 4]
 
 
+def test_seeds_hit_every_allowed_window():
+    plan = decontaminate.SpacedSeeds()
+    kept = [[i for i, c in enumerate(m) if c == "1"] for m in plan.masks]
+    for n in range(plan.span, plan.window + 1):
+        for odd_start in range(plan.stride):
+            at = [p for p in range(n - plan.span + 1) if (p + odd_start) % plan.stride == 0]
+            for changed in itertools.combinations(range(n), n * (100 - plan.percent) // 100):
+                assert any(all(p + i not in changed for i in m) for p in at for m in kept), (n, odd_start, changed)
+
+
+def test_decontamination_equals_all_windows(spark):
+    """Against SQL that compares every window of every document with every item, without seeds."""
+    import duckdb
+
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in (8, 9, 10, 11, 12, 13, 20)]
+    docs = []
+    for n, words in items:
+        for more in (0, 1):
+            for changed in itertools.combinations(range(min(n, 13)), n * 20 // 100 + more if n < 13 else 2 + more):
+                new = ["other" if k in changed else w for k, w in enumerate(words)]
+                for start in (2, 3):
+                    docs.append((len(docs), " ".join([*WORDS[:start], *new, *WORDS[5:8]])))
+    docs = [d for d in docs if d[0] % 5 == 0 or d[0] % 7 == 3]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE i (item_id BIGINT, text VARCHAR)")
+    con.execute("INSERT INTO d SELECT unnest(?), unnest(?)", [[d[0] for d in docs], [d[1] for d in docs]])
+    con.execute("INSERT INTO i SELECT unnest(?), unnest(?)", [[n for n, _ in items], [" ".join(w) for _, w in items]])
+    wanted = con.execute("""WITH dw AS (SELECT doc_id, string_split(text, ' ') AS dw FROM d), iw AS (SELECT item_id, string_split(text, ' ') AS iw FROM i),
+s AS (SELECT doc_id, item_id, least(13, len(iw)) AS wide, len(iw) AS n, dw, iw, unnest(range(1 - len(iw), len(dw))) AS shift FROM dw, iw),
+p AS (SELECT doc_id, item_id, wide, dw, iw, shift, unnest(range(0, n - wide + 1)) AS a FROM s),
+e AS (SELECT doc_id, item_id, wide, len(list_filter(range(a, a + wide), lambda j: iw[j + 1] = dw[j + shift + 1])) AS equal FROM p WHERE a + shift >= 0 AND a + shift + wide <= len(dw))
+SELECT doc_id, item_id, max(equal) FROM e WHERE equal * 100 >= wide * 80 GROUP BY ALL""").fetchall()
+    found = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.window_equal) for r in found.collect()} == set(wanted) and 0 < len(wanted) < len(docs)
+
+
 def test_secrets_in_layers():
     key = "AKIA" + "ABCDEFGH12345678"
     inner = f"password = hunter2secret {key}"
