@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellview.llm import decontaminate, licenses, mixing
+from cellview.llm import decontaminate, licenses, mixing, vector_codes
 from cellview.llm.common import fold_of, table
 
 
@@ -70,6 +70,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold_of("doc_id", plan.folds) == plan.held_out)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +86,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_class_lm, op2_embedding_dedup, op3_decontaminate, op4_secrets, op5_html_text, op6_licenses, op7_toxicity, op8_mixing, op9_language,
-        op10_minhash_dedup, pipeline,
+        op10_minhash_dedup, op11_vector_codes, pipeline,
     )
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op8_mixing": mixing.oracle_sql()}
+ORACLE_SQL = {
+    "op3_decontaminate": decontaminate.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op8_mixing": mixing.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
+}
