@@ -76,6 +76,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm.suffix_dedup import cut
+
+    done = cut(table(spark, sf_dir, "documents"), bytes_too=False)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +93,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_class_lm, op2_embedding_dedup, op3_decontaminate, op4_secrets, op5_html_text, op6_licenses, op7_toxicity, op8_mixing, op9_language,
-        op10_minhash_dedup, op11_vector_codes, pipeline,
+        op10_minhash_dedup, op11_vector_codes, op12_suffix_dedup,
+        pipeline,
     )
 }
 ORACLE_SQL = {
