@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellview.llm import decontaminate, licenses, mixing, vector_codes
+from cellview.llm import decontaminate, licenses, mixing, suffix_dedup, vector_codes
 from cellview.llm.common import fold_of, table
 
 
@@ -99,5 +99,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op8_mixing": mixing.oracle_sql(),
-    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(), "op12_suffix_dedup": suffix_dedup.oracle_sql(),
 }

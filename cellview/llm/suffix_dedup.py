@@ -365,3 +365,23 @@ def cut(docs: DataFrame, plan: Repeats = Repeats(), bytes_too: bool = True) -> D
 
     done = text_batches(both).mapInArrow(part, out)
     return done if bytes_too else done.drop("kept")
+
+
+def oracle_sql(plan: Repeats = Repeats()) -> str:
+    """The same by the digest of every window."""
+    n = plan.length
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    w AS (SELECT r, i, md5(b[i + 1 : i + {n}]) AS h FROM d, unnest(range(octet_length(b) - {n - 1})) AS t(i)),
+    again AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+    marks AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again),
+    numbered AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + {n} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM marks),
+    gone AS (SELECT r, n, min(i) AS s, max(i) + {n} AS e FROM numbered GROUP BY ALL),
+    ends AS (SELECT r, n, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY n) AS before, lead(e) OVER (PARTITION BY r ORDER BY n) AS after FROM gone),
+    kept AS (
+        SELECT ends.r, count(*) AS n_spans, sum(e - s) AS n_removed,
+            string_agg(hex(b[before + 1 : s]) || CASE WHEN after IS NULL THEN hex(b[e + 1 : octet_length(b)]) ELSE '' END, '' ORDER BY n) AS h
+        FROM ends JOIN d USING (r) GROUP BY ALL)
+    SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)"""
