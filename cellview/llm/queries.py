@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellview.llm import decontaminate, licenses, mixing, suffix_dedup, vector_codes
+from cellview.llm import conversation_trie, decontaminate, licenses, mixing, suffix_dedup, vector_codes
 from cellview.llm.common import fold_of, table
 
 
@@ -83,6 +83,12 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellview.llm.conversation_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,10 +100,11 @@ QUERIES = {
     for f in (
         op1_class_lm, op2_embedding_dedup, op3_decontaminate, op4_secrets, op5_html_text, op6_licenses, op7_toxicity, op8_mixing, op9_language,
         op10_minhash_dedup, op11_vector_codes, op12_suffix_dedup,
-        pipeline,
+        op13_conversation_trie, pipeline,
     )
 }
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op8_mixing": mixing.oracle_sql(),
     "op11_vector_codes": vector_codes.oracle_sql(), "op12_suffix_dedup": suffix_dedup.oracle_sql(),
+    "op13_conversation_trie": conversation_trie.oracle_sql(),
 }
