@@ -106,13 +106,17 @@ def running(rows: DataFrame, group: str, order: list[str], totals: dict[str, np.
             into.append((r.task, r.first_group, *entering.values()))
         own = {n: np.int64(r[n]) for n in totals}
         carry = (r.g, {n: int(step(own[n], np.int64(entering[n]))) if entering and r.g == r.first_group else int(own[n]) for n, step in totals.items()})
-    out = stored
-    if into:
-        patch = rows.sparkSession.createDataFrame(into, "task int, " + group + " long, " + ", ".join(f"{n}_in long" for n in totals))
-        out = stored.join(F.broadcast(patch), ["task", group], "left")
-        for n, step in totals.items():
-            more = F.coalesce(f"{n}_in", F.lit(0))
-            out = out.withColumn(n, F.col(n) + more if step is np.add else F.col(n).bitwiseXOR(more))
+    if not into:
+        return stored.select(*names)
+    # one entry per task, found by the task's number: no join
+    entry = {r[0]: r for r in into}
+    nothing = (None,) * (len(totals) + 1)
+    rows_in = [(t, *entry.get(t, (t, *nothing))[1:]) for t in range(max(entry) + 1)]
+    listed = rows.sparkSession.createDataFrame(rows_in, "task int, g long, " + ", ".join(f"{n} long" for n in totals))
+    out = stored.withColumn("_in", listed.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()).withColumn("_in", F.get("_in", F.col("task")))
+    for n, step in totals.items():
+        more = F.when(F.col("_in.g") == F.col(group), F.col(f"_in.{n}"))
+        out = out.withColumn(n, F.when(more.isNull(), F.col(n)).otherwise(F.col(n) + more if step is np.add else F.col(n).bitwiseXOR(more)))
     return out.select(*names)
 
 
