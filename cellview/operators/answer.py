@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from cellview.domain import Domain
 from cellview.functions import noise
-from cellview.operators import cells as C
-from cellview.operators.layout import attach
+from cellview.operators import ranges as R
 from cellview.operators.mechanisms import shift_weights, weighted_sample
 
 
@@ -20,44 +19,34 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain, by: li
     """Estimated count of every range query.
 
     ``by`` names columns that tell several views in one table apart (method,
-    trial); all of them are answered in one job.
+    trial); all of them are answered in one job, from one list of views.
 
-    Per attribute set of the workload, boxes with the same projection are summed
-    first.  A projected box then meets the queries of its set that touch one of
-    its coarse bins on the set's widest attribute; a pair is counted in the first bin the two share.
+    A box enters the prefix sums of each attribute set as its signed corners, and
+    a query reads its own corners (``operators.ranges``): boxes and queries never meet in pairs.
     """
-    wide = C.widen_queries(queries, domain)
-    attrs, bounds = domain.attrs, domain.ranges()
-    kept = [F.when(C.in_set(domain, a), F.col(f"{s}_{a}")).alias(f"b_{s}_{a}") for a in attrs for s in ("lo", "hi")]
-    boxes = (
-        C.per_attribute_set(view.withColumn("_tot", F.col("value") * domain.size_column()).select(*by, *bounds, "_tot"), wide)
-        .select(*by, "mask", "_tot", *kept)
-        .groupBy(*by, "mask", *[f"b_{s}_{a}" for a in attrs for s in ("lo", "hi")]).agg(F.sum("_tot").alias("_tot"))
-        .withColumn("_b0", C._bin(domain, "b_lo_")).withColumn("bin", F.explode(F.sequence("_b0", C._bin(domain, "b_hi_"))))
+    by = list(by)
+    asked = R.canonical(queries, domain)
+    sets = R.RangeSets.of(asked, domain)
+    arrays = [F.array(*[F.col(f"{s}_{a}").cast("int") for a in domain.attrs]).alias(f"{s}s") for s in ("lo", "hi")]
+    boxes = view.select(*by, *arrays, (F.col("value") * domain.size_column()).alias("_total"))
+    listed = sets.book(view.sparkSession).agg(F.collect_list(F.struct("sid", "picks", "dims")).alias("b")).scalar()
+    # the total of a box spreads evenly over its projection
+    area = "aggregate(picks, 1D, (a, p) -> a * (his[p] - los[p] + 1))"
+    impulses = (
+        boxes.withColumn("_book", listed).select(*by, "los", "his", "_total", F.inline("_book"))
+        .selectExpr(*by, "sid", "los", "his", "picks", "dims", f"_total / {area} AS _density", "explode(sequence(0L, shiftleft(1L, size(picks)) - 1L)) AS _c")
+        .selectExpr(*by, "sid", "dims", "transform(picks, (p, i) -> if((shiftright(_c, i) & 1) = 1, his[p] + 1, los[p])) AS codes", "if(bit_count(_c) % 2 = 0, 1D, -1D) * _density AS w")
+        .where("forall(zip_with(codes, dims, (c, n) -> c < n), x -> x)")
     )
-    low, high = (C._bin(domain, side, lambda a: C.in_set(domain, a)) for side in ("lo_", "hi_"))
-    asked = (
-        wide.filter(C._nonempty(domain))
-        .select("query_id", "mask", *bounds, low.alias("_q0"), high.alias("_q1"))
-        .withColumn("bin", F.explode(F.sequence("_q0", "_q1"))).drop("_q1")
-    )
-    share, overlap = F.col("_tot"), F.col("bin") == F.greatest("_b0", "_q0")
-    for a in attrs:
-        cut = F.least(f"hi_{a}", f"b_hi_{a}") - F.greatest(f"lo_{a}", f"b_lo_{a}") + F.lit(1)
-        used = F.col(f"b_lo_{a}").isNotNull()
-        overlap = overlap & (~used | (cut > 0))
-        share = share * F.when(used, cut / (F.col(f"b_hi_{a}") - F.col(f"b_lo_{a}") + F.lit(1))).otherwise(F.lit(1.0))
-    pairs = attach(boxes, asked, ["mask", "bin"], wide.count() * C.BINS)
-    hits = pairs.filter(overlap).groupBy(*by, "query_id").agg(F.sum(share).alias("_s"))
-    asked_of = wide.select("query_id")
+    views, n_views = None, 1
     if by:
-        # the list of views is one array value, so that unanswered queries show
-        # up once per view
-        listed = view.agg(F.collect_set(F.struct(*by)).alias("l")).scalar()
-        asked_of = asked_of.withColumn("_views", listed).select("query_id", F.inline("_views"))
-    return asked_of.join(hits, [*by, "query_id"], "left").select(
-        *by, "query_id", F.coalesce("_s", F.lit(0.0)).alias("estimate")
-    )
+        views = view.agg(F.collect_set(F.struct(*by)).alias("l")).scalar()
+        n_views = view.select(*by).distinct().count()
+    hits = R.corner_sums(impulses.select(*by, "sid", "codes", "w"), asked, sets, ["w"], by, polynomial=True, views=views, n_views=n_views)
+    asked_of = asked.select("query_id")
+    if by:  # queries that no box touches show up once per view
+        asked_of = asked_of.withColumn("_views", views).select("query_id", F.inline("_views"))
+    return asked_of.join(hits, [*by, "query_id"], "left").select(*by, "query_id", F.coalesce("w", F.lit(0.0)).alias("estimate"))
 
 
 PIECE = 1 << 16  # cells that one row lists

@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellview.domain import Domain, flat_index, grid
+from cellview.operators import ranges as R
+from cellview.operators.lattice import roll_up
 from cellview.operators.layout import attach
+from cellview.operators.ranges import label_cells  # noqa: F401  part of this module's interface
 
 # ---------------------------------------------------------------- count tables
 
@@ -62,101 +65,44 @@ def block_stats(cells: DataFrame, domain: Domain) -> DataFrame:
 def widen_queries(queries: DataFrame, domain: Domain) -> DataFrame:
     """Long ``(query_id, attr, lo, hi)`` rows to one row per query.
 
-    Several conditions on one attribute intersect.  Absent attributes get the
-    full range and a null in ``lead_*``; ``mask`` has one bit per attribute
-    used.  Ranges are clipped to the domain; a disjoint condition becomes the
+    Several conditions on one attribute intersect, absent attributes get the full
+    range.  Ranges are clipped to the domain; a disjoint condition becomes the
     empty range (0, -1).  A row with a null ``attr`` is an unconditional query.
     """
     aggs = []
-    for i, (a, n) in enumerate(domain.sizes.items()):
+    for a, n in domain.sizes.items():
         here = F.col("attr") == F.lit(a)
         aggs.append(F.max(F.when(here, F.greatest("lo", F.lit(0)))).alias(f"_lo_{a}"))
         aggs.append(F.min(F.when(here, F.least("hi", F.lit(n - 1)))).alias(f"_hi_{a}"))
-        aggs.append(F.max(F.when(here, F.lit(1 << i)).otherwise(F.lit(0))).alias(f"_bit_{a}"))
     wide = queries.groupBy("query_id").agg(*aggs)
-    cols, mask = [F.col("query_id")], F.lit(0).cast("bigint")
+    cols = [F.col("query_id")]
     for a, n in domain.sizes.items():
         lo, hi = F.coalesce(f"_lo_{a}", F.lit(0)), F.coalesce(f"_hi_{a}", F.lit(n - 1))
         empty = lo > hi
         cols.append(F.when(empty, F.lit(0)).otherwise(lo).cast("int").alias(f"lo_{a}"))
         cols.append(F.when(empty, F.lit(-1)).otherwise(hi).cast("int").alias(f"hi_{a}"))
-        mask = mask + F.col(f"_bit_{a}")
-    return wide.select(*cols, mask.cast("bigint").alias("mask"))
-
-
-def _nonempty(domain: Domain) -> Column:
-    out = F.lit(True)
-    for a in domain.attrs:
-        out = out & (F.col(f"lo_{a}") <= F.col(f"hi_{a}"))
-    return out
-
-
-BINS = 32
-
-
-def _bin(domain: Domain, side: str = "", used=None) -> Column:
-    """Coarse bin, out of ``BINS``, of the attribute with the most codes that a row has.
-
-    An attribute counts as absent where it is null or, with ``used``, where that
-    says so; 0 if all are absent.
-    """
-    widest = sorted(domain.attrs, key=lambda a: -domain[a])
-    spots = [F.floor(F.col(f"{side}{a}") * F.lit(float(BINS)) / F.lit(float(domain[a]))).cast("int") for a in widest]
-    if used:
-        spots = [F.when(used(a), spot) for a, spot in zip(widest, spots, strict=True)]
-    return F.coalesce(*spots, F.lit(0))
-
-
-def in_set(domain: Domain, attr: str) -> Column:
-    """Whether a row's attribute set ``mask`` has the attribute."""
-    return F.col("mask").bitwiseAND(F.lit(1 << domain.attrs.index(attr))) != F.lit(0)
-
-
-def per_attribute_set(df: DataFrame, wide: DataFrame) -> DataFrame:
-    """Rows of ``df`` once per attribute set of a workload, numbered by ``mask``.
-
-    The distinct masks are one array value inside the plan, so any number of sets is one job.
-    """
-    masks = wide.agg(F.collect_set("mask").alias("m")).scalar()
-    return df.withColumn("_masks", masks).withColumn("mask", F.explode("_masks")).drop("_masks")
+    return wide.select(*cols)
 
 
 def answer_ranges(cells: DataFrame, queries: DataFrame, domain: Domain) -> DataFrame:
     """Exact answer of every conjunctive range count, and its cell numbers.
 
-    Cells are first summed to one marginal per attribute set that the workload
-    uses (with map-side partial sums), which shrinks the big side before any
-    join.  Marginal cells then meet only the queries whose condition on the set's
-    widest attribute touches their bin.  Empty answers stay as zeros.
+    Cells are summed to one marginal per attribute set of the workload, and every
+    query reads the corners of its box off prefix sums (``operators.ranges``); no
+    query meets a cell.  Empty answers stay as zeros.
     Returns ``query_id, total, nonempty, size, zeros``; ``nonempty`` counts
     non-empty cells of the full table.
     """
-    wide = widen_queries(queries, domain)
-    attrs = domain.attrs
-    parts = (
-        per_attribute_set(cells.select(*attrs, "v"), wide)
-        .select("mask", "v", *[F.when(in_set(domain, a), F.col(a)).alias(a) for a in attrs])
-        .groupBy("mask", *attrs).agg(F.sum("v").cast("bigint").alias("v"), F.count(F.lit(1)).alias("n"))
-        .withColumn("bin", _bin(domain))
-    )
-    low, high = (_bin(domain, side, lambda a: in_set(domain, a)) for side in ("lo_", "hi_"))
-    asked = wide.filter(_nonempty(domain)).withColumn("bin", F.explode(F.sequence(low, high)))
-    inside = F.lit(True)
-    for a in attrs:
-        inside = inside & (F.col(a).isNull() | F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}")))
-    hits = (
-        attach(parts, asked, ["mask", "bin"], wide.count() * BINS)
-        .filter(inside)
-        .groupBy("query_id")
-        .agg(F.sum("v").alias("_v"), F.sum("n").alias("_n"))
+    asked = R.canonical(queries, domain)
+    sets = R.RangeSets.of(asked, domain)
+    base = cells.select(F.array(*[F.col(a).cast("int") for a in domain.attrs]).alias("codes"), "v", F.lit(1).cast("bigint").alias("n"))
+    points = roll_up(base, sets.sets, list(domain.sizes.values()), ["v", "n"])
+    hits = R.corner_sums(points, asked, sets, ["v", "n"])
+    sized = sets.with_sets(asked, ["aset"], "rest").selectExpr(
+        "query_id", "if(possible, aggregate(zip_with(los, his, (l, h) -> double(h - l + 1)), rest, (a, x) -> a * x), 0D) AS size"
     )
-    size = domain.size_column()
-    return wide.join(hits, "query_id", "left").select(
-        "query_id",
-        F.coalesce("_v", F.lit(0)).cast("bigint").alias("total"),
-        F.coalesce("_n", F.lit(0)).cast("bigint").alias("nonempty"),
-        size.alias("size"),
-        (size - F.coalesce("_n", F.lit(0))).alias("zeros"),
+    return sized.join(hits, "query_id", "left").selectExpr(
+        "query_id", "coalesce(v, 0L) AS total", "coalesce(n, 0L) AS nonempty", "size", "size - coalesce(n, 0L) AS zeros"
     )
 
 
@@ -176,24 +122,6 @@ def clip_ranges(conditions: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- blocks
 
 
-def label_cells(cells: DataFrame, blocks: DataFrame, domain: Domain, rows: int) -> DataFrame:
-    """Give every cell the blocks that contain it (range join on a coarse bin).
-
-    Bins are slices of the widest attribute.  A block is listed once per bin it
-    touches, a cell has one bin, so no pair repeats.
-    """
-    lead = max(domain.attrs, key=lambda a: domain[a])
-    width = max(1, -(-domain[lead] // 64))
-    listed = blocks.select("block", *domain.ranges()).withColumn(
-        "_bin", F.explode(F.expr(f"sequence(cast(lo_{lead} div {width} as int), cast(hi_{lead} div {width} as int))"))
-    )
-    binned = cells.withColumn("_bin", F.expr(f"cast(`{lead}` div {width} as int)"))
-    inside = F.lit(True)
-    for a in domain.attrs:
-        inside = inside & F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}"))
-    return attach(binned, listed, ["_bin"], rows * 64).filter(inside).select("block", *domain.attrs, "v")
-
-
 def value_histogram(labelled: DataFrame) -> DataFrame:
     """Per block: how many cells hold each count."""
     return labelled.groupBy("block", "v").agg(F.count(F.lit(1)).alias("n"))

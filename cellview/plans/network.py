@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cellview.domain import Domain, grid
 from cellview.functions import noise
-from cellview.operators.cells import in_set, per_attribute_set
+from cellview.operators.lattice import roll_up
 from cellview.operators.layout import attach
 from cellview.operators.mechanisms import exponential_mechanism
 from cellview.session import materialize
@@ -114,29 +114,36 @@ def parent_candidates(spark: SparkSession, placed: list[str], free: list[str], l
     return name_candidates(out.select("child", *[f"lv_{a}" for a in attrs]), attrs)
 
 
+def _finest_sets(candidates: DataFrame, attrs: list[str]) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """Candidates with the number ``sid`` of their attribute set, and the sets: metadata, a few integers each."""
+    used = ", ".join(f"if(child = '{a}' OR lv_{a} >= 0, {i}, NULL)" for i, a in enumerate(attrs))
+    keyed = candidates.withColumn("_set", F.expr(f"array_compact(array({used}))"))
+    sets = sorted(tuple(r[0]) for r in keyed.select("_set").distinct().collect())
+    book = candidates.sparkSession.createDataFrame([(list(s), k) for k, s in enumerate(sets)], "_set array<int>, sid int")
+    return attach(keyed, book, ["_set"], len(sets)).drop("_set"), sets
+
+
 def leveled_marginals(cells: DataFrame, candidates: DataFrame, levels: Levels) -> DataFrame:
     """Joint counts of child and generalized parents, for all candidates at once.
 
-    Cells are first summed to one marginal of finest codes per set of attributes
-    that some candidate uses; a marginal then meets the candidates on its own
-    set.  So a cell is repeated per attribute set, never per candidate and level.
+    Marginals of finest codes, one per attribute set that some candidate uses, are rolled up
+    along the lattice of sets (``operators.lattice``); a marginal then meets the
+    candidates on its own set.  A set with many cells and candidates is dealt over tasks.
     Absent parents have code -1.
     """
     attrs = list(levels)
-    domain = Domain({a: levels[a].sizes[0] for a in attrs})
-    used = " + ".join(f"if(child = '{a}' OR lv_{a} >= 0, {1 << i}L, 0L)" for i, a in enumerate(attrs))
-    asked = candidates.withColumn("mask", F.expr(used))
-    finest = (
-        per_attribute_set(cells.select(*attrs, "v"), asked)
-        .select("mask", "v", *[F.when(in_set(domain, a), F.col(a)).alias(a) for a in attrs])
-        .groupBy("mask", *attrs).agg(F.sum("v").alias("v"))
-    )
+    asked, sets = _finest_sets(candidates, attrs)
+    sizes = [levels[a].sizes[0] for a in attrs]
+    base = cells.select(F.array(*[F.col(a).cast("int") for a in attrs]).alias("codes"), "v")
+    finest = roll_up(base, sets, sizes, ["v"])
+    book = cells.sparkSession.createDataFrame([(k, [s.index(i) if i in s else -1 for i in range(len(attrs))]) for k, s in enumerate(sets)], "sid int, at array<int>")
+    placed = attach(finest, book, ["sid"], len(sets)).select("sid", "v", *[F.expr(f"get(codes, at[{i}])").alias(a) for i, a in enumerate(attrs)])
     parents = [
         f"{_case(a, levels, lambda lvl, a=a: levels[a].lift(a, lvl), '-1')} AS p_{a}" for a in attrs
     ]
     child = "CASE child " + " ".join(f"WHEN '{a}' THEN `{a}`" for a in attrs) + " END AS x"
     return (
-        finest.join(asked, "mask")
+        attach(placed, asked, ["sid"], candidates.count())
         .selectExpr("cand", "child", *parents, child, "v")
         .groupBy("cand", "child", *[f"p_{a}" for a in attrs], "x")
         .agg(F.sum("v").cast("bigint").alias("n"))
