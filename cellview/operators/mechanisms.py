@@ -40,11 +40,13 @@ def exponential_mechanism(
     return best_per_group(candidates.withColumn("z", z), group, "z", order or [])
 
 
-def random_cut(frontier: DataFrame, domain: Domain, key: tuple) -> DataFrame:
+def random_cut(frontier: DataFrame, domain: Domain, key: tuple, name: Column | None = None) -> DataFrame:
     """Uniform attribute with more than one code, then a uniform cut of it.
 
     Row-local: no shuffle.  Blocks of a single cell have no cut and drop out.
+    ``name`` is what the draws call a block, its ``block`` column by default.
     """
+    name = F.col("block") if name is None else name
     spans = F.array(
         *[
             F.struct(
@@ -58,11 +60,11 @@ def random_cut(frontier: DataFrame, domain: Domain, key: tuple) -> DataFrame:
     )
     open_spans = F.filter(spans, lambda s: s["lo"] < s["hi"])
     chosen = frontier.withColumn("_spans", open_spans).filter(F.size("_spans") > 0)
-    pick = F.get("_spans", noise.uniform_int(0, F.size("_spans"), *key, F.col("block"), "attr"))
+    pick = F.get("_spans", noise.uniform_int(0, F.size("_spans"), *key, name, "attr"))
     return (
         chosen.withColumn("_s", pick)
         .select(*frontier.columns, "_s.*")
-        .withColumn("cut", noise.uniform_int(F.col("lo"), F.col("hi"), *key, F.col("block"), "cut"))
+        .withColumn("cut", noise.uniform_int(F.col("lo"), F.col("hi"), *key, name, "cut"))
     )
 
 

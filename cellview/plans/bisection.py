@@ -1,10 +1,10 @@
 """Adaptive bisection view: private cuts until blocks look uniform.
 
-All open blocks of a tree level are processed together.  One level is two
-job: it reads the cells once, shuffles only histograms and stores the picks,
-one row per open block with the statistics of both children, which are a
-by-product of scoring the cuts.  The cells that still lie in open blocks are
-stored anew every few levels.
+All open blocks of a tree level, of all trials, are processed together.  A level
+reads the cells of its large blocks once, shuffles only histograms and stores the
+picks, one row per open block with the statistics of both children, which are a
+by-product of scoring the cuts.  Blocks with few cells leave the loop and are grown to
+their leaves inside tasks (``plans.settle``).
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from cellview.domain import Domain
 from cellview.functions import noise
 from cellview.operators import cells as C
-from cellview.operators.layout import BROADCAST_ROWS, attach
+from cellview.operators.layout import attach
 from cellview.operators.mechanisms import best_per_group, random_cut
+from cellview.plans import settle
 from cellview.session import discard, fresh_path
 
 
@@ -79,22 +80,29 @@ def score_cuts(stats: DataFrame) -> DataFrame:
     return stats.withColumn("score", noise.settle(-(F.col("ae_l") + F.col("ae_r"))))
 
 
+def _trial() -> Column:
+    return F.substring_index("block", "#", 1)
+
+
+def _path() -> Column:
+    return F.substring_index("block", "#", -1)
+
+
 class _Draws:
-    """Keyed columns of the level loop; the same for every level, built once."""
+    """Keyed columns of the level loop; the same for every level and trial, built once."""
 
-    def __init__(self, domain: Domain, plan: BisectionPlan, seed, trial):
-        self.domain, self.plan, self.key = domain, plan, (seed, "random-cut", trial)
+    def __init__(self, domain: Domain, plan: BisectionPlan, seed):
+        self.domain, self.plan, self.key = domain, plan, (seed, "random-cut", _trial())
         self.size = domain.size_column()
         self.score = noise.settle(-(F.col("ae_l") + F.col("ae_r"))).alias("score")
         sensitivity = F.expr("2.0D * (2.0D - 2.0D / size)")
         self.utility = noise.utility(
-            F.col("score"), plan.epsilon_cut(domain), sensitivity, seed, "cut", trial, *[F.col(c) for c in ("block", "attr", "cut")]
+            F.col("score"), plan.epsilon_cut(domain), sensitivity, seed, "cut", _trial(), _path(), F.col("attr"), F.col("cut")
         )
         depth = F.col("depth") + 1
         self.stays = [
             keeps_open(
-                F.col(f"ae_{side}"), F.col(f"size_{side}"), depth, plan,
-                seed, "stop", trial, F.concat(F.col("block"), F.lit(letter)),
+                F.col(f"ae_{side}"), F.col(f"size_{side}"), depth, plan, seed, "stop", _trial(), F.concat(_path(), F.lit(letter)),
             ).alias(f"open_{side}")
             for side, letter in (("l", "L"), ("r", "R"))
         ]
@@ -108,13 +116,11 @@ class _Draws:
             stats = C.cut_statistics(histogram, cuts, bound, codes=max(self.domain.sizes.values())).select("*", self.score)
             chosen = best_per_group(stats.select("*", self.utility.alias("z")), ["block"], "z", ["pos", "cut"])
         else:
-            cuts = random_cut(frontier.select("*", self.size.alias("size")), self.domain, self.key)
+            cuts = random_cut(frontier.select("*", self.size.alias("size")), self.domain, self.key, _path())
             chosen = C.cut_statistics(histogram, cuts.select(*C.CUT), rows, all_cuts=False)
         return chosen.select("*", *(self.closed if last else self.stays))
 
 
-RELABEL_LEVELS = 4
-
 CARRY = [
     ("total", "total_l", "total_r"),
     ("ae", "ae_l", "ae_r"),
@@ -123,55 +129,78 @@ CARRY = [
 ]
 
 
+def _written(df: DataFrame, path: str, **counts: str) -> tuple[DataFrame, dict]:
+    """``df`` stored, and what was counted on the way."""
+    seen = Observation()
+    df.observe(seen, *[F.expr(f"coalesce({e}, 0L)").alias(n) for n, e in counts.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
 def bisection_leaves(
     cells: DataFrame,
     domain: Domain,
     plan: BisectionPlan = BisectionPlan(),
     seed: str = "seed",
-    trial: int = 0,
+    trials: tuple[int, ...] = (0,),
     max_depth: int | None = None,
 ) -> DataFrame:
-    """Grow the tree; returns the leaves with their exact totals.
+    """Grow one tree per trial, all at once; returns ``trial`` and the leaves with their exact totals.
 
     The root is always cut once.  ``max_depth`` closes all blocks at that depth.
-    The driver only learns how many blocks are open.
+    Blocks of at most ``settle.SMALL_CELLS`` cells leave the level loop and are
+    finished inside tasks, so the number of jobs is bounded by the large blocks.  The driver only
+    learns how many blocks of either kind are open.
     """
     spark = cells.sparkSession
     if domain.cells() < 2:
         raise ValueError("a domain of one cell cannot be cut")
-    base = fresh_path(spark, "bisection")
-    counted = C.count_table_from_counts(cells, domain).select(F.lit("0").alias("block"), *domain.attrs, "v")
-    counted.write.parquet(f"{base}/cells0")
-    stored_at = 0
-    current = spark.read.schema(counted.schema).parquet(f"{base}/cells0")
-    frontier = C.root_block(current, domain)
-    draws, depth, rows = _Draws(domain, plan, seed, trial), 0, 1
-    while True:
+    base, attrs, ranges = fresh_path(spark, "bisection"), domain.attrs, domain.ranges()
+    counted, seen = _written(C.count_table_from_counts(cells, domain), f"{base}/cells", n="count(1)", total="sum(v)")
+    roots = [(f"{t}#0", 0, *[x for n in domain.sizes.values() for x in (0, n - 1)], seen["total"], seen["n"]) for t in trials]
+    frontier = spark.createDataFrame(roots, "block string, depth int, " + ", ".join(f"{r} int" for r in ranges) + ", total long, cells long")
+    current = counted.select(F.explode(F.array(*[F.lit(r[0]) for r in roots])).alias("block"), *attrs, "v")
+    small_rows, big_rows = (len(trials), 0) if seen["n"] <= settle.SMALL_CELLS else (0, len(trials))
+    draws, depth, handed = _Draws(domain, plan, seed), 0, 0
+    while small_rows or big_rows:
+        if small_rows:
+            small = frontier.where(F.col("cells") <= settle.SMALL_CELLS).select("block", "depth", *ranges)
+            inside = attach(current, small.select("block"), ["block"], small_rows)
+            small.unionByName(inside, allowMissingColumns=True).write.parquet(f"{base}/small/level={depth:04d}")
+            handed += small_rows
+        if not big_rows:
+            break
+        if small_rows:
+            frontier = frontier.where(F.col("cells") > settle.SMALL_CELLS)
+            current = attach(current, frontier.select("block"), ["block"], big_rows)
         last = max_depth is not None and depth + 1 >= max_depth
+        frontier = frontier.drop("cells")
         histogram = C.code_histogram(current, frontier, domain).persist()
-        picks = draws.picks(histogram, frontier, depth, rows, last)
-        picks = attach(picks, frontier.select("block", *domain.ranges()), ["block"], rows)
-        seen = Observation(f"level{depth}")
-        counted = picks.observe(seen, F.expr("coalesce(sum(int(open_l) + int(open_r)), 0) AS n"))
-        counted.write.parquet(f"{base}/picks/level={depth:04d}")
+        picks = draws.picks(histogram, frontier, depth, big_rows, last)
+        picks = attach(picks, frontier.select("block", *ranges), ["block"], big_rows)
+        level, seen = _written(picks, f"{base}/picks/level={depth:04d}", n="sum(int(open_l) + int(open_r))")
         histogram.unpersist()
-        still_open = seen.get["n"]
+        still_open = seen["n"]
         if not still_open:
             break
-        level = spark.read.schema(picks.schema).parquet(f"{base}/picks/level={depth:04d}")
-        current = C.relabel_cells(current, level, domain, rows)
+        moved = C.relabel_cells(current, level, domain, big_rows)
         depth += 1
-        # a few levels of relabelling ride along with the scan as broadcast
-        # joins; after that, or once they would shuffle, the cells are stored
-        if depth - stored_at >= RELABEL_LEVELS or still_open > BROADCAST_ROWS:
-            current.write.parquet(f"{base}/cells{depth}")
-            current = spark.read.schema(current.schema).parquet(f"{base}/cells{depth}")
-            discard(spark, f"{base}/cells{stored_at}")
-            stored_at = depth
-        frontier = C.split_blocks(level, domain, CARRY).filter("open").drop("ae", "size", "open")
-        rows = still_open
-    every = spark.read.parquet(f"{base}/picks")
-    return C.split_blocks(every, domain, CARRY).filter(~F.col("open")).drop("open")
+        current, _ = _written(moved, f"{base}/open{depth}", n="count(1)")
+        if depth > 1:
+            discard(spark, f"{base}/open{depth - 1}")
+        children = C.split_blocks(level, domain, CARRY).filter("open").drop("ae", "size", "open")
+        sizes = current.groupBy("block").agg(F.count(F.lit(1)).alias("cells"))
+        frontier = children.join(sizes, "block", "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+        frontier, seen = _written(frontier, f"{base}/frontier{depth}", small=f"sum(int(cells <= {settle.SMALL_CELLS}))")
+        small_rows, big_rows = seen["small"], still_open - seen["small"]
+    out = None
+    if depth or not handed:
+        every = spark.read.parquet(f"{base}/picks")
+        out = C.split_blocks(every, domain, CARRY).filter(~F.col("open")).drop("open")
+    if handed:
+        done = settle.settle_blocks(spark.read.parquet(f"{base}/small").drop("level"), domain, plan, seed, max_depth)
+        done, _ = _written(done, f"{base}/settled", n="count(1)")
+        out = done if out is None else out.unionByName(done)
+    return out.select(_trial().cast("int").alias("trial"), _path().alias("block"), *[c for c in out.columns if c != "block"])
 
 
 def perturb_leaves(leaves: DataFrame, scale: float, *key) -> DataFrame:
@@ -183,18 +212,25 @@ def perturb_leaves(leaves: DataFrame, scale: float, *key) -> DataFrame:
     )
 
 
-def bisection_view(
+def bisection_views(
     cells: DataFrame,
     domain: Domain,
     plan: BisectionPlan = BisectionPlan(),
     seed: str = "seed",
-    trial: int = 0,
+    trials: tuple[int, ...] = (0,),
     max_depth: int | None = None,
 ) -> DataFrame:
-    """Leaves with released values.  Exact columns (total, mean, ae, noise) are
-    for the curator; ``published`` drops them."""
-    leaves = bisection_leaves(cells, domain, plan, seed, trial, max_depth)
-    return perturb_leaves(leaves, 1 / plan.epsilon_leaf, seed, "leaf", trial)
+    """Leaves of every trial with released values, told apart by ``trial``.  Exact columns (total,
+    mean, ae, noise) are for the curator; ``published`` drops them."""
+    leaves = bisection_leaves(cells, domain, plan, seed, trials, max_depth)
+    return perturb_leaves(leaves, 1 / plan.epsilon_leaf, seed, "leaf", F.col("trial"))
+
+
+def bisection_view(
+    cells: DataFrame, domain: Domain, plan: BisectionPlan = BisectionPlan(), seed: str = "seed", trial: int = 0, max_depth: int | None = None
+) -> DataFrame:
+    """The view of one trial."""
+    return bisection_views(cells, domain, plan, seed, (trial,), max_depth).drop("trial")
 
 
 def published(view: DataFrame, domain: Domain) -> DataFrame:

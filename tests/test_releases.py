@@ -16,6 +16,7 @@ from cellview.plans import bisection as B
 from cellview.plans import dense as D
 from cellview.plans import halving as H
 from cellview.plans import network as N
+from cellview.plans import settle as S
 
 
 def tiles(leaves, domain):
@@ -113,7 +114,7 @@ def test_large_frontiers_take_the_shuffled_path(spark, sf, monkeypatch):
 
     usual = everything()
     monkeypatch.setattr(layout, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(B, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(S, "SMALL_CELLS", 5)
     monkeypatch.setattr(layout, "HOT_ROWS", 7)
     assert everything() == usual
 
