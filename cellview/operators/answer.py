@@ -29,11 +29,10 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain, by: li
     sets = R.RangeSets.of(asked, domain)
     arrays = [F.array(*[F.col(f"{s}_{a}").cast("int") for a in domain.attrs]).alias(f"{s}s") for s in ("lo", "hi")]
     boxes = view.select(*by, *arrays, (F.col("value") * domain.size_column()).alias("_total"))
-    listed = sets.book(view.sparkSession).agg(F.collect_list(F.struct("sid", "picks", "dims")).alias("b")).scalar()
     # the total of a box spreads evenly over its projection
     area = "aggregate(picks, 1D, (a, p) -> a * (his[p] - los[p] + 1))"
     impulses = (
-        boxes.withColumn("_book", listed).select(*by, "los", "his", "_total", F.inline("_book"))
+        boxes.withColumn("_book", sets.list_of(view.sparkSession)).select(*by, "los", "his", "_total", F.inline("_book"))
         .selectExpr(*by, "sid", "los", "his", "picks", "dims", f"_total / {area} AS _density", "explode(sequence(0L, shiftleft(1L, size(picks)) - 1L)) AS _c")
         .selectExpr(*by, "sid", "dims", "transform(picks, (p, i) -> if((shiftright(_c, i) & 1) = 1, his[p] + 1, los[p])) AS codes", "if(bit_count(_c) % 2 = 0, 1D, -1D) * _density AS w")
         .where("forall(zip_with(codes, dims, (c, n) -> c < n), x -> x)")
@@ -43,10 +42,7 @@ def view_range_count(view: DataFrame, queries: DataFrame, domain: Domain, by: li
         views = view.agg(F.collect_set(F.struct(*by)).alias("l")).scalar()
         n_views = view.select(*by).distinct().count()
     hits = R.corner_sums(impulses.select(*by, "sid", "codes", "w"), asked, sets, ["w"], by, polynomial=True, views=views, n_views=n_views)
-    asked_of = asked.select("query_id")
-    if by:  # queries that no box touches show up once per view
-        asked_of = asked_of.withColumn("_views", views).select("query_id", F.inline("_views"))
-    return asked_of.join(hits, [*by, "query_id"], "left").select(*by, "query_id", F.coalesce("w", F.lit(0.0)).alias("estimate"))
+    return hits.select(*by, "query_id", F.col("w").alias("estimate"))
 
 
 PIECE = 1 << 16  # cells that one row lists

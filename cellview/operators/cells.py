@@ -97,13 +97,7 @@ def answer_ranges(cells: DataFrame, queries: DataFrame, domain: Domain) -> DataF
     sets = R.RangeSets.of(asked, domain)
     base = cells.select(F.array(*[F.col(a).cast("int") for a in domain.attrs]).alias("codes"), "v", F.lit(1).cast("bigint").alias("n"))
     points = roll_up(base, sets.sets, list(domain.sizes.values()), ["v", "n"])
-    hits = R.corner_sums(points, asked, sets, ["v", "n"])
-    sized = sets.with_sets(asked, ["aset"], "rest").selectExpr(
-        "query_id", "if(possible, aggregate(zip_with(los, his, (l, h) -> double(h - l + 1)), rest, (a, x) -> a * x), 0D) AS size"
-    )
-    return sized.join(hits, "query_id", "left").selectExpr(
-        "query_id", "coalesce(v, 0L) AS total", "coalesce(n, 0L) AS nonempty", "size", "size - coalesce(n, 0L) AS zeros"
-    )
+    return R.corner_sums(points, asked, sets, ["v", "n"]).selectExpr("query_id", "v AS total", "n AS nonempty", "size", "size - n AS zeros")
 
 
 def answer_ranges_on_records(records: DataFrame, queries: DataFrame, domain: Domain) -> DataFrame:

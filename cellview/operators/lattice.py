@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellview.operators.layout import attach
+from cellview.operators.layout import attach, listed, small_table
 from cellview.session import materialize
 
 
@@ -88,13 +88,12 @@ def roll_up(cells: DataFrame, sets: list[tuple[int, ...]], sizes: list[int], sum
     above, out = cells.withColumn("sid", F.lit(-1)), None
     for k, derived in enumerate(rounds):
         rows = [(d.parent, d.number, list(d.attrs) if d.parent < 0 else d.picks(attrs[d.parent])) for d in derived]
-        book = spark.createDataFrame(rows, "sid int, child int, picks array<int>")
+        book = small_table(spark, rows, "sid int, child int, picks array<int>")
         if k:
             spread = attach(above, book, ["sid"], len(rows))
-        else:  # every cell is repeated once per first-round set: the list is one value of the plan
-            spread = cells.withColumn("_book", book.agg(F.collect_list(F.struct("child", "picks")).alias("b")).scalar()).select(
-                "codes", *sums, F.inline("_book")
-            )
+        else:  # every cell is repeated once per first-round set
+            sets_of_cell = listed(book.select("child", "picks"), [r[1:] for r in rows], ["child", "picks"], ["int", "array<int>"])
+            spread = cells.withColumn("_book", sets_of_cell).select("codes", *sums, F.inline("_book"))
         summed = spread.select(F.col("child").alias("sid"), F.expr("transform(picks, i -> codes[i]) AS codes"), *sums).groupBy("sid", "codes").agg(*added)
         if k + 1 < len(rounds):
             summed = materialize(summed, "marginals")

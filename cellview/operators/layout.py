@@ -6,8 +6,11 @@ stay declarative.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cellview.session import materialize
 
@@ -16,6 +19,23 @@ HOT_ROWS = 1_000_000
 HASH_BUCKETS = 1 << 20
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Metadata as a local relation: unlike a table of Python objects, reading it starts no job."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    table = pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
+    return spark.createDataFrame(table, StructType.fromDDL(schema))
+
+
+def listed(book: DataFrame, rows: list[tuple], names: list[str], kinds: list[str]) -> Column:
+    """All rows of a small table as one array of structs: literals if they are few, else a value of the plan."""
+    if len(rows) > 64:
+        return book.agg(F.collect_list(F.struct(*names)).alias("l")).scalar()
+    text = lambda v: f"array({', '.join(map(str, v))})" if isinstance(v, list) else str(v)
+    entries = [", ".join(f"'{n}', cast({text(v)} AS {k})" for n, v, k in zip(names, r, kinds, strict=True)) for r in rows]
+    return F.expr("array(" + ", ".join(f"named_struct({e})" for e in entries) + ")")
+
+
 def attach(big: DataFrame, small: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
     """Equi-join ``big`` to ``small``, of which at most ``rows`` rows exist.
 

@@ -18,13 +18,13 @@ points, boxes and queries, whatever their widths.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellview.domain import Domain
-from cellview.operators.layout import BROADCAST_ROWS, attach
+from cellview.operators.layout import BROADCAST_ROWS, attach, listed, small_table
 
 DENSE_CELLS = 1 << 18  # grids up to this size get a summed-area table
 NODE_ROWS = 4096  # nodes that one point may stand for; attributes beyond are compared after the join
@@ -37,17 +37,17 @@ def canonical(queries: DataFrame, domain: Domain) -> DataFrame:
     on one attribute intersect, ranges are clipped to the domain, and a query with a
     disjoint condition is not ``possible``.  A null or unknown ``attr`` asks nothing.
     """
-    frame = domain.frame(queries.sparkSession).withColumnsRenamed({"size": "_n"})
+    rows = [(a, i, n) for i, (a, n) in enumerate(domain.sizes.items())]
+    frame = small_table(queries.sparkSession, rows, "attr string, pos int, _n int")
     placed = queries.select("query_id", "attr", "lo", "hi").join(F.broadcast(frame), "attr", "left")
-    per = placed.groupBy("query_id", "pos").agg(
-        F.max(F.greatest("lo", F.lit(0))).alias("lo"), F.min(F.least("hi", F.col("_n") - 1)).alias("hi"), F.max("_n").alias("_n")
-    )
-    used = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.col("_n") - 1).alias("hi")))
-    parts = per.groupBy("query_id").agg(F.sort_array(F.collect_list(used)).alias("p"))
-    return parts.selectExpr(
-        "query_id", "transform(p, x -> x.pos) AS aset", "transform(p, x -> int(x.lo)) AS los", "transform(p, x -> int(x.hi)) AS his",
-        "forall(p, x -> x.lo <= x.hi) AS possible",
+    condition = "struct(pos, int(coalesce(greatest(lo, 0), 0)) AS lo, int(coalesce(least(hi, _n - 1), _n - 1)) AS hi)"
+    # one row per query: its few conditions, no more than it was given
+    parts = placed.groupBy("query_id").agg(F.expr(f"collect_list(if(pos IS NULL, NULL, {condition})) AS c"))
+    picked = parts.selectExpr("query_id", "c", "array_sort(array_distinct(transform(c, x -> x.pos))) AS aset").selectExpr(
+        "query_id", "aset", "transform(aset, p -> array_max(transform(filter(c, x -> x.pos = p), x -> x.lo))) AS los",
+        "transform(aset, p -> array_min(transform(filter(c, x -> x.pos = p), x -> x.hi))) AS his",
     )
+    return picked.withColumn("possible", F.expr("forall(zip_with(los, his, (l, h) -> l <= h), x -> x)"))
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,11 @@ class RangeSets:
 
     domain: Domain
     sets: list[tuple[int, ...]]
+    books: dict = field(default_factory=dict, compare=False)
 
     @staticmethod
     def of(asked: DataFrame, domain: Domain) -> "RangeSets":
-        return RangeSets(domain, sorted(tuple(r.aset) for r in asked.select("aset").distinct().collect()))
+        return RangeSets(domain, sorted(map(tuple, asked.agg(F.collect_set("aset")).first()[0])))
 
     def dims(self, s) -> list[int]:
         sizes = list(self.domain.sizes.values())
@@ -77,17 +78,28 @@ class RangeSets:
                 return max(1, k)
         return len(s)
 
-    def book(self, spark) -> DataFrame:
-        """``sid, aset, picks, k, dims, strides, grid, dense, covered, rest``: one row per set."""
-        whole, rows = self.domain.cells(), []
+    def rows(self) -> list[tuple]:
+        whole, out = self.domain.cells(), []
         for sid, s in enumerate(self.sets):
             dims = self.dims(s)
-            grid = math.prod(dims)
-            strides = [math.prod(dims[j + 1 :]) if self.is_dense(s) else 0 for j in range(len(dims))]
-            rows.append((sid, list(s), list(s), len(s), dims, strides, grid if self.is_dense(s) else 0, self.is_dense(s), self.covered(s), float(whole // grid)))
-        return spark.createDataFrame(
-            rows, "sid int, aset array<int>, picks array<int>, k int, dims array<int>, strides array<bigint>, grid bigint, dense boolean, covered int, rest double"
-        )
+            grid, dense = math.prod(dims), self.is_dense(s)
+            strides = [math.prod(dims[j + 1 :]) if dense else 0 for j in range(len(dims))]
+            out.append((sid, list(s), list(s), len(s), dims, strides, grid if dense else 0, dense, self.covered(s), float(whole // grid)))
+        return out
+
+    def book(self, spark) -> DataFrame:
+        """``sid, aset, picks, k, dims, strides, grid, dense, covered, rest``: one row per set."""
+        if spark not in self.books:
+            self.books[spark] = small_table(
+                spark, self.rows(),
+                "sid int, aset array<int>, picks array<int>, k int, dims array<int>, strides array<bigint>, grid bigint, dense boolean, covered int, rest double",
+            )
+        return self.books[spark]
+
+    def list_of(self, spark) -> Column:
+        """The sets with their attributes and sizes as one array."""
+        rows = [(r[0], r[2], r[4]) for r in self.rows()]
+        return listed(self.book(spark).select("sid", "picks", "dims"), rows, ["sid", "picks", "dims"], ["int", "array<int>", "array<int>"])
 
     def with_sets(self, df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
         return attach(df, self.book(df.sparkSession).select(*keys, *columns), keys, len(self.sets))
@@ -96,34 +108,45 @@ class RangeSets:
 INDEX = "aggregate(zip_with({codes}, strides, (c, s) -> c * s), 0L, (a, x) -> a + x)"
 
 
-def corners(asked: DataFrame) -> DataFrame:
-    """``2**k`` signed corners ``xs`` per query; those before the first code are zero and go."""
-    every = asked.where("possible").selectExpr("*", "explode(sequence(0L, shiftleft(1L, k) - 1L)) AS _c")
+def corners(asked: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``2**k`` signed corners ``xs`` per query, without those before the first code.
+
+    An impossible query asks for the first code with sign 0, so that every query has a row.
+    """
+    every = asked.selectExpr("*", "explode(sequence(0L, if(possible, shiftleft(1L, k) - 1L, 0L))) AS _c")
     placed = every.selectExpr(
-        "*", "transform(his, (h, j) -> if((shiftright(_c, j) & 1) = 1, los[j] - 1, h)) AS xs", "if(bit_count(_c) % 2 = 0, 1, -1) AS sign"
+        "query_id", "sid", "dims", "strides", "dense", "covered", *keep,
+        "transform(his, (h, j) -> if(not possible, 0, if((shiftright(_c, j) & 1) = 1, los[j] - 1, h))) AS xs",
+        "if(not possible, 0, if(bit_count(_c) % 2 = 0, 1, -1)) AS sign",
     )
-    return placed.where("forall(xs, x -> x >= 0)").drop("_c", "los", "his")
+    return placed.where("forall(xs, x -> x >= 0)")
 
 
 def summed_area(points: DataFrame, sets: RangeSets, by: list[str], weights: list[str], times: int, views: Column | None) -> DataFrame:
     """``(by, sid, idx, weights)``: prefix sums, ``times`` over, of every cell of the small grids."""
     spark = points.sparkSession
     kinds = {w: points.schema[w].dataType for w in weights}
-    indexed = sets.with_sets(points, ["sid"], "strides").select(*by, "sid", F.expr(INDEX.format(codes="codes") + " AS idx"), *weights)
-    zeros = sets.book(spark).where("dense").selectExpr("sid", "explode(sequence(0L, grid - 1)) AS idx")
+    keys = [*by, "sid", "idx"]
+    indexed = sets.with_sets(points, ["sid"], "dims", "strides").select(*by, "sid", F.expr(INDEX.format(codes="codes") + " AS idx"), "dims", "strides", *weights)
+    zeros = sets.book(spark).where("dense").selectExpr("sid", "explode(sequence(0L, grid - 1)) AS idx", "dims", "strides")
     if by:
-        zeros = zeros.withColumn("_views", views).select("sid", "idx", F.inline("_views"))
-    zeros = zeros.select(*by, "sid", "idx", *[F.lit(0).cast(kinds[w]).alias(w) for w in weights])
-    table = indexed.unionByName(zeros).groupBy(*by, "sid", "idx").agg(*[F.sum(w).alias(w) for w in weights])
-    table = sets.with_sets(table, ["sid"], "dims", "strides")
+        zeros = zeros.withColumn("_views", views).select("sid", "idx", "dims", "strides", F.inline("_views"))
+    zeros = zeros.select(*keys, "dims", "strides", *[F.lit(0).cast(kinds[w]).alias(w) for w in weights])
+    table = indexed.unionByName(zeros)
     for j in range(max((len(s) for s in sets.sets), default=0)):
         table = table.selectExpr("*", f"coalesce(idx div get(strides, {j}) % get(dims, {j}), 0L) AS _at").selectExpr(
             "*", f"idx - _at * coalesce(get(strides, {j}), 0L) AS _line"
         )
+        if not j:  # the lines of the first attribute are brought together before cells are merged, so both take one shuffle
+            table = table.repartition(*by, "sid", "_line").groupBy(*by, "sid", "_line", "_at", "idx").agg(
+                F.first("dims").alias("dims"), F.first("strides").alias("strides"), *[F.sum(w).alias(w) for w in weights]
+            )
         line = Window.partitionBy(*by, "sid", "_line").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         for _ in range(times):
             table = table.withColumns({w: F.when(F.size("dims") > j, F.sum(w).over(line)).otherwise(F.col(w)) for w in weights})
         table = table.drop("_at", "_line")
+    if all(not s for s in sets.sets):
+        table = table.groupBy(*keys).agg(*[F.sum(w).alias(w) for w in weights])
     return table.select(*by, "sid", "idx", *weights)
 
 
@@ -155,21 +178,25 @@ def node_sums(points: DataFrame, sets: RangeSets, by: list[str], weights: list[s
 def corner_sums(
     points: DataFrame, asked: DataFrame, sets: RangeSets, weights: list[str], by: list[str] = (), polynomial: bool = False, views: Column | None = None, n_views: int = 1
 ) -> DataFrame:
-    """``(by, query_id, weights)``: sum of the points ``(by, sid, codes, weights)`` inside every query.
+    """``(by, query_id, size, weights)``: sum of the points ``(by, sid, codes, weights)`` inside every query.
 
-    ``asked`` comes from ``canonical``.  With ``polynomial`` the single weight is of an impulse, and a
-    prefix sums ``weight * product(x - code + 1)`` over the impulses before x.
+    ``asked`` comes from ``canonical``; ``size`` is the number of cells asked for.  With
+    ``polynomial`` the single weight is of an impulse, and a prefix sums ``weight * product(x - code + 1)``
+    over the impulses before x.
     """
     by = list(by)
-    meant = corners(sets.with_sets(asked, ["aset"], "sid", "k", "dims", "strides", "dense", "covered"))
+    size = "if(possible, aggregate(zip_with(los, his, (l, h) -> double(h - l + 1)), rest, (a, x) -> a * x), 0D) AS size"
+    sized = sets.with_sets(asked, ["aset"], "sid", "k", "dims", "strides", "dense", "covered", "rest").selectExpr("*", size)
+    meant = corners(sized, ["size"])
     flags = [sets.is_dense(s) for s in sets.sets]
     parts = []
     if any(flags):
         mine = points if all(flags) else sets.with_sets(points, ["sid"], "dense").where("dense").drop("dense")
-        table = summed_area(mine, RangeSets(sets.domain, sets.sets), by, weights, 2 if polynomial else 1, views)
-        size = sum(math.prod(sets.dims(s)) for s in sets.sets if sets.is_dense(s)) * n_views
-        looked = meant.where("dense").select("query_id", "sign", "sid", F.expr(INDEX.format(codes="xs") + " AS idx"))
-        parts.append(attach(looked, table, ["sid", "idx"], size).select(*by, "query_id", *[(F.col("sign") * F.col(w)).alias(w) for w in weights]))
+        table = summed_area(mine, sets, by, weights, 2 if polynomial else 1, views)
+        cells = sum(math.prod(sets.dims(s)) for s in sets.sets if sets.is_dense(s)) * n_views
+        looked = meant.where("dense").select("query_id", "size", "sign", "sid", F.expr(INDEX.format(codes="xs") + " AS idx"))
+        # every corner has a cell in the table, in each view
+        parts.append(attach(looked, table, ["sid", "idx"], cells).select(*by, "query_id", "size", *[(F.col("sign") * F.col(w)).alias(w) for w in weights]))
     if not all(flags):
         mine = sets.with_sets(points, ["sid"], "dense").where("NOT dense").drop("dense")
         terms, width = {w: [()] for w in weights}, max(len(s) for s in sets.sets)
@@ -182,15 +209,21 @@ def corner_sums(
         else:
             columns = {w: [w] for w in weights}
         sums = node_sums(mine, sets, by, [c for cs in columns.values() for c in cs])
-        looked = _spread(meant.where("NOT dense"), sets, PREFIX_NODES).selectExpr(
-            "query_id", "sign", "sid", "nodes", "xs", "slice(xs, covered + 1, size(xs)) AS limits"
-        )
+        sparse = meant.where("NOT dense")
+        looked = _spread(sparse, sets, PREFIX_NODES).selectExpr("query_id", "size", "sign", "sid", "nodes", "xs", "slice(xs, covered + 1, size(xs)) AS limits")
         met = attach(looked, sums, ["sid", "nodes"], BROADCAST_ROWS + 1).where("forall(zip_with(others, limits, (c, x) -> c <= x), y -> y)")
         grown = lambda t: " * ".join(f"(coalesce(get(xs, {j}), 0) + 1D)" for j in t) or "1"
         total = {w: " + ".join(f"`{c}` * ({grown(t)})" for c, t in zip(columns[w], terms[w], strict=True)) for w in weights}
-        parts.append(met.select(*by, "query_id", *[F.expr(f"sign * ({total[w]})").alias(w) for w in weights]))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return both.groupBy(*by, "query_id").agg(*[F.sum(w).alias(w) for w in weights])
+        parts.append(met.select(*by, "query_id", "size", *[F.expr(f"sign * ({total[w]})").alias(w) for w in weights]))
+        # a query that meets no node still has its row, in each view
+        alone = sized.where("NOT dense").select("query_id", "size", *[F.lit(0).cast(points.schema[w].dataType).alias(w) for w in weights])
+        if by:
+            alone = alone.withColumn("_views", views).select(F.inline("_views"), "query_id", "size", *weights)
+        parts.append(alone.select(*by, "query_id", "size", *weights))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*by, "query_id").agg(F.first("size").alias("size"), *[F.sum(w).alias(w) for w in weights])
 
 
 def interval_nodes(lo: str, hi: str, n: int) -> str:

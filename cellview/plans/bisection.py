@@ -197,7 +197,8 @@ def bisection_leaves(
         every = spark.read.parquet(f"{base}/picks")
         out = C.split_blocks(every, domain, CARRY).filter(~F.col("open")).drop("open")
     if handed:
-        done = settle.settle_blocks(spark.read.parquet(f"{base}/small").drop("level"), domain, plan, seed, max_depth)
+        tree = settle.LocalTree(domain, plan, seed, max_depth)
+        done = settle.settle_blocks(spark.read.parquet(f"{base}/small").drop("level"), domain, tree, "total long, ae double, size double")
         done, _ = _written(done, f"{base}/settled", n="count(1)")
         out = done if out is None else out.unionByName(done)
     return out.select(_trial().cast("int").alias("trial"), _path().alias("block"), *[c for c in out.columns if c != "block"])

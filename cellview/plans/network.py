@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cellview.domain import Domain, grid
 from cellview.functions import noise
 from cellview.operators.lattice import roll_up
-from cellview.operators.layout import attach
+from cellview.operators.layout import attach, small_table
 from cellview.operators.mechanisms import exponential_mechanism
 from cellview.session import materialize
 
@@ -119,7 +119,7 @@ def _finest_sets(candidates: DataFrame, attrs: list[str]) -> tuple[DataFrame, li
     used = ", ".join(f"if(child = '{a}' OR lv_{a} >= 0, {i}, NULL)" for i, a in enumerate(attrs))
     keyed = candidates.withColumn("_set", F.expr(f"array_compact(array({used}))"))
     sets = sorted(tuple(r[0]) for r in keyed.select("_set").distinct().collect())
-    book = candidates.sparkSession.createDataFrame([(list(s), k) for k, s in enumerate(sets)], "_set array<int>, sid int")
+    book = small_table(candidates.sparkSession, [(list(s), k) for k, s in enumerate(sets)], "_set array<int>, sid int")
     return attach(keyed, book, ["_set"], len(sets)).drop("_set"), sets
 
 
@@ -136,7 +136,7 @@ def leveled_marginals(cells: DataFrame, candidates: DataFrame, levels: Levels) -
     sizes = [levels[a].sizes[0] for a in attrs]
     base = cells.select(F.array(*[F.col(a).cast("int") for a in attrs]).alias("codes"), "v")
     finest = roll_up(base, sets, sizes, ["v"])
-    book = cells.sparkSession.createDataFrame([(k, [s.index(i) if i in s else -1 for i in range(len(attrs))]) for k, s in enumerate(sets)], "sid int, at array<int>")
+    book = small_table(cells.sparkSession, [(k, [s.index(i) if i in s else -1 for i in range(len(attrs))]) for k, s in enumerate(sets)], "sid int, at array<int>")
     placed = attach(finest, book, ["sid"], len(sets)).select("sid", "v", *[F.expr(f"get(codes, at[{i}])").alias(a) for i, a in enumerate(attrs)])
     parents = [
         f"{_case(a, levels, lambda lvl, a=a: levels[a].lift(a, lvl), '-1')} AS p_{a}" for a in attrs

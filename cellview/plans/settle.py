@@ -1,4 +1,4 @@
-"""Small blocks of a bisection tree, grown to their leaves inside one task.
+"""Small blocks of a tree, grown to their leaves inside one task.
 
 A block with few non-empty cells is cheaper to finish on the spot than to carry
 through one job per level.  Spark deals the blocks over tasks; a task sees one
@@ -15,6 +15,8 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cellview.domain import Domain
 
@@ -120,25 +122,78 @@ class LocalTree:
                     yield name, depth + 1, low, high, int(total[s][k]), float(ae[s][k]), float(wide[s][k])
 
 
-def settle_blocks(blocks: DataFrame, domain: Domain, plan, seed: str, max_depth: int | None) -> DataFrame:
-    """Leaves below open blocks, from rows ``(block, depth, lo_*, hi_*, attrs, v)``.
+class LocalHalves:
+    """Grows one node of a half-split tree.  ``targets`` gives the attributes cut at a depth."""
+
+    def __init__(self, targets, scale: float, discount: float, theta: float, seed: str, max_depth: int | None):
+        self.targets, self.scale, self.discount, self.theta = targets, scale, discount, theta
+        self.seed, self.max_depth = seed, max_depth
+
+    def leaves(self, trial: int, block: str, depth: int, lo: list[int], hi: list[int], codes: np.ndarray, v: np.ndarray):
+        """Rows ``(block, depth, lo, hi, total, size)`` of the leaves at or below a node."""
+        todo = [(block, depth, lo, hi, codes, v)]
+        while todo:
+            block, depth, lo, hi, codes, v = todo.pop()
+            size, total = 1.0, int(v.sum())
+            for a, b in zip(lo, hi, strict=True):
+                size *= float(b - a + 1)
+            biased = float(settle(np.array([max(total - self.discount * depth, self.theta - self.discount)]))[0])
+            if size <= 1 or depth == self.max_depth or biased + laplace(self.scale, self.seed, "tree", trial, block) <= self.theta:
+                yield block, depth, lo, hi, total, size
+                continue
+            kids = [(block + "/", lo, hi, codes, v)]
+            for i in sorted(self.targets(depth)):
+                halved = []
+                for name, low, high, c, w in kids:
+                    if low[i] == high[i]:
+                        halved.append((name + "0", low, high, c, w))
+                        continue
+                    mid = (low[i] + high[i]) // 2
+                    left = c[:, i] <= mid
+                    halved.append((name + "0", low, [*high[:i], mid, *high[i + 1 :]], c[left], w[left]))
+                    halved.append((name + "1", [*low[:i], mid + 1, *low[i + 1 :]], high, c[~left], w[~left]))
+                kids = halved
+            todo += [(name, depth + 1, low, high, c, w) for name, low, high, c, w in kids]
+
+
+def _blocks(batches):
+    """The rows of one block after the other, from batches sorted by block."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        names = table.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), table.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            part = table.slice(s, e - s)
+            if held and held[0].column("block")[0] != part.column("block")[0]:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def settle_blocks(blocks: DataFrame, domain: Domain, tree, totals: str) -> DataFrame:
+    """Leaves below blocks, from rows ``(block, depth, lo_*, hi_*, attrs, v)``; ``totals`` lists what ``tree`` adds to a leaf.
 
     A block is one row with its depth and ranges and null codes, and one row per cell with a null
     depth.  Names are ``trial#path``.
     """
     attrs, ranges = domain.attrs, domain.ranges()
-
-    def grow(table: pa.Table) -> pa.Table:
-        tree = LocalTree(domain, plan, seed, max_depth)
-        flags = table.column("depth").is_valid().to_numpy()
-        head = table.filter(pa.array(flags)).slice(0, 1).to_pylist()[0]
-        body = table.filter(pa.array(~flags))
-        codes = np.stack([body.column(a).to_numpy() for a in attrs], axis=1).astype(np.int64)
-        trial, path = head["block"].split("#")
-        found = tree.leaves(int(trial), path, head["depth"], [head[f"lo_{a}"] for a in attrs], [head[f"hi_{a}"] for a in attrs], codes, body.column("v").to_numpy().astype(np.int64))
-        rows = [(f"{trial}#{b}", d, *[x for pair in zip(lo, hi, strict=True) for x in pair], t, ae, size) for b, d, lo, hi, t, ae, size in found]
-        kinds = [pa.string(), pa.int32(), *[pa.int32()] * len(ranges), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "depth", *ranges, "total", "ae", "size"])
-
-    schema = "block string, depth int, " + ", ".join(f"{r} int" for r in ranges) + ", total long, ae double, size double"
-    return blocks.groupBy("block").applyInArrow(grow, schema)
+    schema = "block string, depth int, " + ", ".join(f"{r} int" for r in ranges) + ", " + totals
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def grow(batches):
+        for table in _blocks(batches):
+            flags = table.column("depth").is_valid().to_numpy()
+            head = table.filter(pa.array(flags)).slice(0, 1).to_pylist()[0]
+            body = table.filter(pa.array(~flags))
+            codes = np.stack([body.column(a).to_numpy() for a in attrs], axis=1).astype(np.int64)
+            trial, path = head["block"].split("#")
+            found = tree.leaves(int(trial), path, head["depth"], [head[f"lo_{a}"] for a in attrs], [head[f"hi_{a}"] for a in attrs], codes, body.column("v").to_numpy().astype(np.int64))
+            rows = [(f"{trial}#{b}", d, *[x for pair in zip(lo, hi, strict=True) for x in pair], *more) for b, d, lo, hi, *more in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(grow, schema)
