@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from cellview.catalog.base import (
     BOX_SQL, LI3, Q10_SQL, U, cells_sql, fixed_queries, inside_sql, lineitem_cells, query, random_ranges_sql, rounded, settle,
     size_sql, table, tiled_view, uniform_int, wide_sql,
 )
-from cellview.catalog.blocks import SYN_SQL
 from cellview.catalog.networks import THETA as N_THETA
 from cellview.catalog.networks import conditionals_sql, families_sql, sampling_sql, structure_sql
 from cellview.catalog.releases import (
@@ -27,7 +28,6 @@ from cellview.plans import dense as D
 from cellview.plans import halving as H
 from cellview.plans import network as N
 from cellview.session import fresh_path
-from cellview.sources import generate as G
 from cellview.sources import tables as T
 
 VIEW_SQL = f"{cells_sql()}, {BOX_SQL}"
@@ -114,6 +114,23 @@ def view_size(spark, sf):
     return A.view_size(tiled_view(spark, sf).withColumn("trial", F.col("lo_r")), ["trial"], LI3)
 
 
+@query(
+    "view_size_stored",
+    f"""WITH {VIEW_SQL}, stored AS (SELECT t.trial, v.* FROM view v CROSS JOIN (VALUES (0), (1), (2)) t(trial) WHERE lo_r >= t.trial)
+    SELECT trial, count(*) AS leaves, CAST(count(*) * 40 AS BIGINT) AS bytes, TRUE AS has_files, TRUE AS grows FROM stored GROUP BY trial""",
+)
+def view_size_stored(spark, sf):
+    """Three stored views of falling size: leaves, formula, and whether their files follow."""
+    root, view = fresh_path(spark, "views"), tiled_view(spark, sf).drop("tot")
+    for trial in range(3):
+        T.save_view(view.where(F.col("lo_r") >= trial), root, "tiles", 1.0, trial)
+    sizes = A.stored_sizes(T.load_views(spark, root, "tiles", 1.0), ["trial"], LI3)
+    smaller = sizes.select((F.col("trial") - 1).alias("trial"), F.col("stored_bytes").alias("less"))
+    return sizes.join(smaller, "trial", "left").select(
+        "trial", "leaves", "bytes", (F.col("files") > 0).alias("has_files"), (F.col("stored_bytes") > F.coalesce("less", F.lit(0))).alias("grows")
+    )
+
+
 @query(
     "leaf_rectangles",
     f"WITH {VIEW_SQL} SELECT CAST(lo_q - 0.5 AS DOUBLE) AS x0, CAST(hi_q + 0.5 AS DOUBLE) AS x1, CAST(lo_d - 0.5 AS DOUBLE) AS y0, CAST(hi_d + 0.5 AS DOUBLE) AS y1 FROM view",
@@ -172,23 +189,32 @@ def release_sql(method: str, seed: str, trial: int) -> tuple[str, str]:
     return body, f"SELECT {points}, count(*)::DOUBLE AS value FROM s{len(LI3.attrs)} GROUP BY {cols}"
 
 
-def release(spark, sf, cells, method: str, seed: str, trial: int):
-    """A release of (q, d, r) as boxes: ``lo_*, hi_*, value``."""
+def release(spark, sf, cells, method: str, seed: str, trials: tuple[int, ...]):
+    """Releases of (q, d, r) as boxes, one per trial: ``method, trial, lo_*, hi_*, value``."""
     points = [F.col(a).alias(f"{s}_{a}") for a in LI3.attrs for s in ("lo", "hi")]
     if method == "bisection":
-        view = B.bisection_view(cells, LI3, seed=seed, trial=trial)
+        view = B.bisection_views(cells, LI3, seed=seed, trials=trials)
     elif method == "halving":
-        view = H.halving_view(cells, LI3, seed=seed, trial=trial)
+        view = H.halving_views(cells, LI3, seed=seed, trials=trials)
     elif method == "histogram":
-        view = D.laplace_histogram(cells, LI3, 1.0, seed, trial).select(*points, F.col("y").alias("value"))
-    elif method == "buckets":
-        means = D.bucket_release(cells, D.l1_buckets(cells, LI3, 1.0, 0.5, seed, trial), LI3, 1.0, 0.5, seed, trial)
-        view = grid(spark, LI3).join(means, "idx").select(*points, F.col("y").alias("value"))
+        view = D.laplace_histograms(cells, LI3, 1.0, seed, trials).select("trial", *points, F.col("y").alias("value"))
     else:
-        lines = table(spark, sf, "lineitem").selectExpr(f"{LINE_KEY} AS rid")
-        synthetic = N.synthesize(cells, lines, "rid", FLAT, lines.count(), 1.0, N_THETA, seed, trial)
-        view = C.count_table(synthetic, LI3).select(*points, F.col("v").cast("double").alias("value"))
-    return view.select(F.lit(method).alias("method"), F.lit(trial).alias("trial"), *LI3.ranges(), "value")
+        view = None
+        for trial in trials:
+            if method == "buckets":
+                means = D.bucket_release(cells, D.l1_buckets(cells, LI3, 1.0, 0.5, seed, trial), LI3, 1.0, 0.5, seed, trial)
+                one = grid(spark, LI3).join(means, "idx").select(F.lit(trial).alias("trial"), *points, F.col("y").alias("value"))
+            else:
+                synthetic = network_records(spark, sf, cells, seed, trial)
+                one = C.count_table(synthetic, LI3).select(F.lit(trial).alias("trial"), *points, F.col("v").cast("double").alias("value"))
+            view = one if view is None else view.unionAll(one)
+    return view.select(F.lit(method).alias("method"), "trial", *LI3.ranges(), "value")
+
+
+def network_records(spark, sf, cells, seed: str, trial: int = 0):
+    """Synthetic (q, d, r) records of a learned network, one per line item."""
+    lines = table(spark, sf, "lineitem").selectExpr(f"{LINE_KEY} AS rid")
+    return N.synthesize(cells, lines, "rid", FLAT, lines.count(), 1.0, N_THETA, seed, trial)
 
 
 def comparison_sql(methods, trials: int, seed: str) -> str:
@@ -215,10 +241,9 @@ def comparison(spark, sf, methods, trials: int, seed: str):
     queries = customer_queries(spark, sf, seed=seed)
     truths = C.answer_ranges(cells, queries, LI3).selectExpr("query_id", "total AS truth")
     views = None
-    for trial in range(trials):
-        for method in methods:
-            view = release(spark, sf, cells, method, seed, trial)
-            views = view if views is None else views.unionAll(view)
+    for method in methods:
+        view = release(spark, sf, cells, method, seed, tuple(range(trials)))
+        views = view if views is None else views.unionAll(view)
     return E.compare_views(views, queries, truths, LI3)
 
 
@@ -245,11 +270,91 @@ def compare_methods(spark, sf):
     return saved(comparison(spark, sf, METHODS, 2, "cm"))
 
 
+# every workload of a method comparison: (name, kind, number of attributes)
+WORKLOADS = [("range-1", "range", 1), ("marginal-2", "marginal", 2), ("marginal-3", "marginal", 3), ("prefix-2", "prefix", 2), ("prefix-3", "prefix", 3)]
+RANDOM = [("random-2", 2), ("random-3", 3)]
+
+
+def workloads(spark, sf):
+    """``(workload, query_id, attr, lo, hi)`` of all workloads over (q, d, r)."""
+    frame, make = LI3.frame(spark), {"range": W.all_range_workload, "marginal": W.marginal_workload, "prefix": W.prefix_workload}
+    out = None
+    for name, kind, k in WORKLOADS:
+        part = W.to_query_rows(make[kind](frame, k)).select(F.lit(name).alias("workload"), "query_id", "attr", "lo", "hi")
+        out = part if out is None else out.unionAll(part)
+    for name, k in RANDOM:
+        drawn = customer_queries(spark, sf, k, name)
+        out = out.unionAll(drawn.select(F.lit(name).alias("workload"), F.concat(F.lit(f"{name}:"), "query_id").alias("query_id"), "attr", "lo", "hi"))
+    return out
+
+
+def workloads_sql() -> str:
+    """CTE ``wq(workload, query_id, lo_*, hi_*)``, one row per query of every workload."""
+    arms, ctes = [], []
+    pick = {"range": ("l.range", "h.range", "JOIN range({n}) h ON h.range >= l.range"), "marginal": ("l.range", "l.range", ""), "prefix": ("0", "l.range", "")}
+    for name, kind, k in WORKLOADS:
+        lo, hi, more = pick[kind]
+        for s in combinations(LI3.attrs, k):
+            sides = [f"(SELECT {lo} AS lo_{a}, {hi} AS hi_{a} FROM range({LI3[a]}) l {more.format(n=LI3[a])})" for a in s]
+            cols = ", ".join(f"{f'lo_{a}' if a in s else 0} AS lo_{a}, {f'hi_{a}' if a in s else n - 1} AS hi_{a}" for a, n in LI3.sizes.items())
+            arms.append(f"SELECT '{name}' AS workload, {cols} FROM {' CROSS JOIN '.join(sides)}")
+    for name, k in RANDOM:
+        tag = name.replace("-", "")
+        ctes += [random_ranges_sql(CUSTOMERS, LI3, k, name, name=f"qs_{tag}"), wide_sql(LI3, f"qs_{tag}", f"wq_{tag}")]
+        arms.append(f"SELECT '{name}' AS workload, {', '.join(LI3.ranges())} FROM wq_{tag}")
+    return ", ".join(ctes) + f", wq AS (SELECT row_number() OVER () AS query_id, * FROM ({' UNION ALL '.join(arms)}))"
+
+
+def all_workloads_sql(methods, trials: int, seed: str) -> str:
+    arms = []
+    for trial in range(trials):
+        for method in methods:
+            body, boxes = release_sql(method, seed, trial)
+            arms.append(f"SELECT '{method}' AS method, {trial} AS trial, * FROM (WITH {body} {boxes})")
+    parts = " * ".join(f"greatest(least(w.hi_{a}, b.hi_{a}) - greatest(w.lo_{a}, b.lo_{a}) + 1, 0)::DOUBLE" for a in LI3.attrs)
+    return f"""WITH {cells_sql()}, {workloads_sql()}, {TRUTH_SQL},
+    views AS MATERIALIZED ({' UNION ALL '.join(arms)}),
+    est AS (SELECT workload, method, trial, query_id, sum({parts} * b.value) AS estimate FROM wq w CROSS JOIN views b GROUP BY ALL),
+    gaps AS (SELECT workload, method, trial, estimate - truth AS gap FROM est JOIN truth USING (query_id)),
+    per AS (SELECT workload, method, trial, avg(abs(gap)) AS mae, sqrt(avg(gap * gap)) AS rmse FROM gaps GROUP BY ALL),
+    parts AS (SELECT method, trial, count(*) AS leaves FROM views GROUP BY method, trial)
+    SELECT workload, method, {SUMMARY} FROM per JOIN parts USING (method, trial) GROUP BY workload, method"""
+
+
+@query("compare_workloads", all_workloads_sql(CHEAP, 10, "cw"))
+def compare_workloads(spark, sf):
+    """Ten trials of two releases, built together, on every workload."""
+    cells, views = lineitem_cells(spark, sf), None
+    for method in CHEAP:
+        view = release(spark, sf, cells, method, "cw", tuple(range(10)))
+        views = view if views is None else views.unionAll(view)
+    return E.compare_on_workloads(views, workloads(spark, sf), cells, LI3)
+
+
+def network_records_sql(seed: str) -> tuple[str, str]:
+    """CTEs of a learned network's records, and the last one's name."""
+    return release_sql("network", seed, 0)[0], f"s{len(LI3.attrs)}"
+
+
+RECORDS_SQL, RECORDS = network_records_sql("sy")
+
+
+@query(
+    "range_count_synthetic",
+    f"""WITH {RECORDS_SQL}, {Q10_SQL}, {wide_sql(LI3)}
+    SELECT w.query_id, count(l.q) AS total FROM wq w LEFT JOIN {RECORDS} l ON {inside_sql(LI3, 'l', 'w')} GROUP BY w.query_id""",
+)
+def range_count_synthetic(spark, sf):
+    """Range counts on the records that a private network generates."""
+    records = network_records(spark, sf, lineitem_cells(spark, sf), "sy")
+    return C.answer_ranges_on_records(records, fixed_queries(spark), LI3).select("query_id", "total")
+
+
 def kway_distance_sql(k: int) -> str:
     cols = ", ".join(LI3.attrs)
     on = " AND ".join(f"a.{c} = b.{c}" for c in LI3.attrs)
     gid = " + ".join(f"CASE WHEN {c} < 0 THEN {1 << i} ELSE 0 END" for i, c in enumerate(LI3.attrs))
-    return f"""{cells_sql()}, syn AS (SELECT {SYN_SQL} FROM lineitem), syn_cells AS (SELECT {cols}, count(*) AS v FROM syn GROUP BY {cols}),
+    return f"""{RECORDS_SQL}, syn_cells AS (SELECT {cols}, count(*) AS v FROM {RECORDS} GROUP BY {cols}),
     a AS ({kway_sql(LI3, k)}), b AS ({kway_sql(LI3, k, 'syn_cells')}), n AS (SELECT count(*) AS n FROM lineitem),
     j AS (SELECT {', '.join(f'coalesce(a.{c}, b.{c}) AS {c}' for c in LI3.attrs)}, abs(coalesce(a.answer, 0) / n::DOUBLE - coalesce(b.answer, 0) / n::DOUBLE) AS gap FROM a FULL OUTER JOIN b ON {on} CROSS JOIN n),
     s AS (SELECT {gid} AS gid, sum(gap) / 2 AS tvd FROM j GROUP BY 1) SELECT count(*) AS marginals, {settle('avg(tvd)')} AS tvd FROM s"""
@@ -257,6 +362,6 @@ def kway_distance_sql(k: int) -> str:
 
 @query("kway_tvd", f"WITH {kway_distance_sql(2)}")
 def kway_tvd(spark, sf):
-    keys = ["l_orderkey", "l_linenumber"]
-    synthetic = G.uniform_codes(table(spark, sf, "lineitem").select(*keys), keys, LI3, "sy")
-    return E.kway_distance(lineitem_cells(spark, sf), C.count_table(synthetic, LI3), LI3, 2)
+    """How far the marginals of a private network's records are from the truth."""
+    cells = lineitem_cells(spark, sf)
+    return E.kway_distance(cells, C.count_table(network_records(spark, sf, cells, "sy"), LI3), LI3, 2)

@@ -12,7 +12,6 @@ from cellview.functions import noise
 from cellview.operators import cells as C
 from cellview.operators import mechanisms as M
 from cellview.operators import workload as W
-from cellview.sources import generate as G
 
 
 @query("count_table", f"WITH {cells_sql(LI5)} SELECT * FROM cells")
@@ -93,22 +92,6 @@ def range_count_cells(spark, sf):
     return C.answer_ranges(lineitem_cells(spark, sf, LI5), W.random_ranges(ids, LI5, 3, "rc"), LI5)
 
 
-SYN_SQL = ", ".join(
-    uniform_int("0", str(n), "'sy'", "'uniform'", f"'{a}'", "l_orderkey", "l_linenumber") + f" AS {a}" for a, n in LI3.sizes.items()
-)
-
-
-@query(
-    "range_count_synthetic",
-    f"""WITH syn AS (SELECT {SYN_SQL} FROM lineitem), {Q10_SQL}, {wide_sql(LI3)}
-    SELECT w.query_id, count(l.q) AS total FROM wq w LEFT JOIN syn l ON {inside_sql(LI3, 'l', 'w')} GROUP BY w.query_id""",
-)
-def range_count_synthetic(spark, sf):
-    keys = ["l_orderkey", "l_linenumber"]
-    synthetic = G.uniform_codes(table(spark, sf, "lineitem").select(*keys), keys, LI3, "sy")
-    return C.answer_ranges_on_records(synthetic, fixed_queries(spark), LI3).select("query_id", "total")
-
-
 @query(
     "clip_range",
     """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) - 10 AS lo, CAST(l_quantity AS INTEGER) + l_linenumber - 8 AS hi,

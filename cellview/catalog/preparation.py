@@ -438,16 +438,38 @@ def gen_table(spark, sf):
 TEN = Domain({f"x{i}": 10 for i in range(10)})
 
 
+def sparse_sql(rate: float) -> str:
+    """SELECT of the sparse count table of a fill rate, from ``events``."""
+    n = int(TEN.cells() * rate)
+    digits = ", ".join(f"CAST((range // {10 ** (9 - i)}) % 10 AS INTEGER) AS x{i}" for i in range(10))
+    return f"""WITH picked AS (SELECT event_id FROM events ORDER BY {U("'e'", "'sample'", 'event_id')}, event_id LIMIT (SELECT count(*) - {n} FROM events)),
+    raw AS (SELECT {geometric_sql(0.001, "'e'", "'sparse'", 'event_id')} AS x FROM picked), lim AS (SELECT min(x) AS lo, max(x) AS hi FROM raw),
+    bins AS (SELECT least(CAST(floor(round((x - lo) / ((hi - lo) / {n}::DOUBLE), 9)) AS BIGINT), {n - 1}) AS idx, count(*) AS n FROM raw CROSS JOIN lim GROUP BY 1),
+    cells AS (SELECT range AS idx, {digits} FROM range({n}))
+    SELECT {', '.join(f'x{i}' for i in range(10))}, coalesce(n, 0) + 1 AS v FROM cells LEFT JOIN bins USING (idx)"""
+
+
+@query("gen_sparse_cells", sparse_sql(1e-8))
+def gen_sparse_cells(spark, sf):
+    return G.sparse_cells(table(spark, sf, "events").select("event_id"), ["event_id"], TEN, 1e-8, 0.001, "e")
+
+
+LADDER = (2e-8, 1e-8, 5e-9, 1e-9)
+
+
 @query(
-    "gen_sparse_cells",
-    f"""WITH raw AS (SELECT {geometric_sql(0.001, "'e'", "'sparse'", 'event_id')} AS x FROM events),
-    lim AS (SELECT min(x) AS lo, max(x) AS hi FROM raw),
-    bins AS (SELECT least(CAST(floor(round((x - lo) / ((hi - lo) / 1000::DOUBLE), 9)) AS BIGINT), 999) AS idx, count(*) AS n FROM raw CROSS JOIN lim GROUP BY 1),
-    cells AS (SELECT range AS idx, {', '.join(f'CAST((range // {10 ** (9 - i)}) % 10 AS INTEGER) AS x{i}' for i in range(10))} FROM range(1000))
-    SELECT {', '.join(f'x{i}' for i in range(10))}, coalesce(n, 0) + 1 AS v FROM cells LEFT JOIN bins USING (idx)""",
+    "gen_sparse_ladder",
+    " UNION ALL ".join(f"SELECT {r!r}::DOUBLE AS rate, count(*) AS cells, CAST(sum(v) AS BIGINT) AS total, max(v) AS largest FROM ({sparse_sql(r)})" for r in LADDER),
 )
-def gen_sparse_cells(spark, sf):
-    return G.sparse_cells(table(spark, sf, "events").select("event_id"), ["event_id"], TEN, 1000, 0.001, "e")
+def gen_sparse_ladder(spark, sf):
+    """Tables of falling fill rate with the same total."""
+    events, out = table(spark, sf, "events").select("event_id"), None
+    for rate in LADDER:
+        part = G.sparse_cells(events, ["event_id"], TEN, rate, 0.001, "e").agg(
+            F.lit(rate).alias("rate"), F.count(F.lit(1)).alias("cells"), F.sum("v").alias("total"), F.max("v").alias("largest")
+        )
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 @query(

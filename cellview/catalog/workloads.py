@@ -10,9 +10,12 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from cellview.catalog.base import LI3, LI5, LI_SQL, cells_sql, lineitem_cells, lineitem_codes, query, random_ranges_sql, settle, table, wide_sql
+from cellview.catalog.base import (
+    BOX_SQL, LI3, LI5, LI_SQL, cells_sql, lineitem_cells, lineitem_codes, query, random_ranges_sql, rounded, settle, size_sql, table, tiled_view, wide_sql,
+)
 from cellview.catalog.blocks import grid_cte
 from cellview.domain import Domain
+from cellview.operators import answer as A
 from cellview.operators import cells as C
 from cellview.operators import evaluate as E
 from cellview.operators import workload as W
@@ -130,6 +133,37 @@ def answer_all_range_2d(spark, sf):
     return W.all_range_answers_2d(lineitem_cells(spark, sf), LI3, "d", "r")
 
 
+def ranges_sql(attrs) -> str:
+    """Every range of each attribute, as ``lo_i, hi_i``."""
+    return " CROSS JOIN ".join(
+        f"(SELECT CAST(l.range AS INTEGER) AS lo_{i}, CAST(h.range AS INTEGER) AS hi_{i} FROM range({LI5[a]}) l JOIN range({LI5[a]}) h ON h.range >= l.range)"
+        for i, a in enumerate(attrs, 1)
+    )
+
+
+@query(
+    "answer_all_range_3d",
+    f"""WITH {cells_sql(LI5)}, m AS (SELECT d, r, t, sum(v) AS v FROM cells GROUP BY d, r, t), g AS (SELECT * FROM {ranges_sql(['d', 'r', 't'])})
+    SELECT lo_1, hi_1, lo_2, hi_2, lo_3, hi_3, coalesce(CAST(sum(v) AS BIGINT), 0) AS answer FROM g
+    LEFT JOIN m ON d BETWEEN lo_1 AND hi_1 AND r BETWEEN lo_2 AND hi_2 AND t BETWEEN lo_3 AND hi_3 GROUP BY ALL""",
+)
+def answer_all_range_3d(spark, sf):
+    return W.all_range_answers_k(lineitem_cells(spark, sf, LI5), LI5, ["d", "r", "t"])
+
+
+@query(
+    "answer_all_range_view",
+    f"""WITH {cells_sql()}, {BOX_SQL}, pd AS (SELECT CAST(range AS INTEGER) AS d FROM range(11)),
+    m AS (SELECT d, r.lo_r AS r, sum(value * ({size_sql(LI3)}) / (hi_d - lo_d + 1)) AS y FROM view r JOIN pd ON d BETWEEN lo_d AND hi_d GROUP BY ALL),
+    g AS (SELECT * FROM {ranges_sql(['d', 'r'])})
+    SELECT lo_1, hi_1, lo_2, hi_2, {settle('coalesce(sum(y), 0)', 3)} AS answer FROM g LEFT JOIN m ON d BETWEEN lo_1 AND hi_1 AND r BETWEEN lo_2 AND hi_2 GROUP BY ALL""",
+)
+def answer_all_range_view(spark, sf):
+    """The whole range workload of two attributes on a released view."""
+    released = A.view_marginal(tiled_view(spark, sf), LI3, ["d", "r"])
+    return rounded(W.all_range_answers_k(released, LI3, ["d", "r"], "y"), "answer")
+
+
 def marginals_sql(domain, k: int, source: str = "cells") -> str:
     arms = []
     for s in combinations(domain.attrs, k):

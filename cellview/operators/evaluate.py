@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellview.domain import Domain
 from cellview.functions import noise
 from cellview.operators.answer import view_range_count
+from cellview.operators.cells import answer_ranges
 from cellview.session import materialize
 
 
@@ -20,7 +21,7 @@ def query_errors(estimates: DataFrame, truths: DataFrame) -> DataFrame:
 def trial_summary(errors: DataFrame, by: list[str], partitions: DataFrame | None = None) -> DataFrame:
     """MAE and RMSE per trial, then mean and population deviation over trials.
 
-    ``partitions`` adds the number of leaves per trial ``(by..., trial, leaves)``.
+    ``partitions`` adds the number of leaves per trial ``(trial, leaves)`` and those of ``by`` that it has.
     """
     per_trial = errors.groupBy(*by, "trial").agg(
         F.avg("abs_err").alias("mae"), F.sqrt(F.avg("sq_err")).alias("rmse")
@@ -29,7 +30,7 @@ def trial_summary(errors: DataFrame, by: list[str], partitions: DataFrame | None
     for c in ("mae", "rmse"):
         aggs += [noise.settle(F.avg(c)).alias(c), noise.settle(F.stddev_pop(c)).alias(f"{c}_std")]
     if partitions is not None:
-        per_trial = per_trial.join(partitions, [*by, "trial"], "left")
+        per_trial = per_trial.join(partitions, [c for c in (*by, "trial") if c in partitions.columns], "left")
         aggs += [
             noise.settle(F.avg("leaves")).alias("leaves"),
             noise.settle(F.stddev_pop("leaves")).alias("leaves_std"),
@@ -49,6 +50,22 @@ def compare_views(views: DataFrame, queries: DataFrame, truths: DataFrame, domai
     return trial_summary(errors, ["method"], leaves)
 
 
+def compare_on_workloads(views: DataFrame, queries: DataFrame, cells: DataFrame, domain: Domain) -> DataFrame:
+    """One result row per workload and method.
+
+    ``queries`` has ``(workload, query_id, attr, lo, hi)``; a query may be in several
+    workloads and is answered once.  All workloads, methods and trials are answered in one job.
+    """
+    tag = ["method", "trial"]
+    stored = materialize(views.select(*tag, *domain.ranges(), "value"), "views")
+    members = materialize(queries.select("workload", "query_id").distinct(), "members")
+    asked = materialize(queries.drop("workload").distinct(), "queries")
+    truths = answer_ranges(cells, asked, domain).select("query_id", F.col("total").alias("truth"))
+    errors = query_errors(view_range_count(stored, asked, domain, tag), truths).join(members, "query_id")
+    leaves = stored.groupBy(*tag).agg(F.count(F.lit(1)).alias("leaves"))
+    return trial_summary(errors, ["workload", "method"], leaves)
+
+
 def analytic_rmse(wide_queries: DataFrame, domain: Domain, epsilon: float, by: list[str]) -> DataFrame:
     """Expected RMSE of the Laplace histogram: variance 2/eps^2 per cell read."""
     per_cell = F.lit(2.0 / epsilon**2)

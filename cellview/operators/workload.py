@@ -7,6 +7,7 @@ of a marginal instead of query by query.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,16 +74,36 @@ def to_query_rows(workload: DataFrame) -> DataFrame:
     return named.toDF("query_id", "attr", "lo", "hi")
 
 
+def unranked(rank: str, domain: Domain, k: int) -> str:
+    """SQL list of ``(attr, size)``: the k-set of a rank in the order of ``attribute_sets``.
+
+    The combinatorial number system: walk over the attributes and skip as many sets as
+    begin with the attribute at hand, until the rank lies inside.  The plan holds d times k
+    numbers, not the sets.
+    """
+    d = len(domain)
+    if not 1 <= k <= d or math.comb(d, k) >= 1 << 31:
+        raise ValueError(f"{k} of {d} attributes: no set, or more sets than an int numbers")
+    begins = ", ".join("array(" + ", ".join(f"{math.comb(d - p - 1, need - 1)}" for need in range(1, k + 1)) + ")" for p in range(d))
+    entries = ", ".join(f"named_struct('attr', '{a}', 'n', {n})" for a, n in domain.sizes.items())
+    state = "named_struct('r', {r}, 'need', {need}, 'out', {out})"
+    step = (
+        f"if(z.need = 0, z, if(z.r < _begins[p][z.need - 1], {state.format(r='z.r', need='z.need - 1', out='array_append(z.out, p)')},"
+        f" {state.format(r='z.r - _begins[p][z.need - 1]', need='z.need', out='z.out')}))"
+    )
+    start = state.format(r=f"int({rank})", need=f"{k}", out="cast(array() AS array<int>)")
+    walk = f"aggregate(sequence(0, {d - 1}), {start}, (z, p) -> {step}, z -> z.out)".replace("_begins", f"array({begins})")
+    return f"transform({walk}, p -> array({entries})[p])"
+
+
 def random_ranges(ids: DataFrame, domain: Domain, k: int, seed: str = "0", marginal: bool = False) -> DataFrame:
     """One random query per row of ``ids(query_id)``.
 
     A uniform k-set; per attribute a uniform length in ``1..n`` and a uniform
     start that fits.  ``marginal`` keeps the start only.
     """
-    sets = list(combinations(domain.attrs, k))
-    listed = ", ".join("array(" + ", ".join(f"struct('{a}' AS attr, {domain[a]} AS n)" for a in s) + ")" for s in sets)
-    drawn = ids.withColumn("_set", noise.uniform_int(0, len(sets), seed, "set", F.col("query_id"))).selectExpr(
-        "query_id", f"inline(array({listed})[_set])"
+    drawn = ids.withColumn("_set", noise.uniform_int(0, math.comb(len(domain), k), seed, "set", F.col("query_id"))).selectExpr(
+        "query_id", f"inline({unranked('_set', domain, k)}) AS (attr, n)"
     )
     sized = drawn.withColumn("_len", noise.uniform_int(1, F.col("n") + 1, seed, "length", F.col("query_id"), F.col("attr")))
     start = noise.uniform_int(0, F.col("n") - F.col("_len") + 1, seed, "start", F.col("query_id"), F.col("attr"))
@@ -117,39 +138,37 @@ def prefix_answers(cells: DataFrame, domain: Domain, attrs: list[str], value: st
     return out.select(*attrs, F.col(value).alias("answer"))
 
 
-def all_range_answers(cells: DataFrame, domain: Domain, attr: str, value: str = "v") -> DataFrame:
-    """All range counts of one attribute as differences of prefixes.
+def range_differences(table: DataFrame, attr: str, n: int, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """Prefix sums along one attribute to all its ranges: every code lists the ends that a range starting
+    after it may have, and the table joins on that end."""
+    zero = F.lit(0).cast(table.schema["answer"].dataType)
+    starts = table.select(*keys, (F.col(attr) + 1).alias(lo), F.col("answer").alias("_before")).filter(F.col(lo) < n)
+    zeros = table.filter(F.col(attr) == 0).select(*keys, F.lit(0).alias(lo), zero.alias("_before"))
+    ranges = starts.unionAll(zeros).withColumn(hi, F.expr(f"explode(sequence({lo}, {n - 1}))"))
+    return ranges.join(table.withColumnRenamed(attr, hi), [*keys, hi]).select(*keys, lo, hi, (F.col("answer") - F.col("_before")).alias("answer"))
 
-    Every code lists the ends it can start a range with, and the prefix table
-    (one row per code) joins on that end.
+
+def all_range_answers_k(cells: DataFrame, domain: Domain, attrs: list[str], value: str = "v") -> DataFrame:
+    """All range counts of any number of attributes: differences of prefixes, one attribute after the other.
+
+    Returns ``lo_1, hi_1, .. lo_k, hi_k, answer``.  ``cells`` may be cells or a released marginal
+    over ``attrs`` with its counts in ``value``.
     """
-    prefix = prefix_answers(cells, domain, [attr], value).select(F.col(attr).alias("hi"), F.col("answer").alias("upto"))
-    starts = (
-        prefix.selectExpr("hi + 1 AS lo", "upto AS before").filter(F.col("lo") < domain[attr])
-        .unionAll(cells.sparkSession.range(1).select(F.lit(0).alias("lo"), F.lit(0).cast(prefix.schema["upto"].dataType).alias("before")))
-    )
-    ranges = starts.withColumn("hi", F.expr(f"explode(sequence(lo, {domain[attr] - 1}))"))
-    return ranges.join(prefix, "hi").select("lo", "hi", (F.col("upto") - F.col("before")).alias("answer"))
+    out, done = prefix_answers(cells, domain, attrs, value), []
+    for i, a in enumerate(attrs, 1):
+        out = range_differences(out, a, domain[a], [*attrs[i:], *done], f"lo_{i}", f"hi_{i}")
+        done += [f"lo_{i}", f"hi_{i}"]
+    return out.select(*done, "answer")
+
+
+def all_range_answers(cells: DataFrame, domain: Domain, attr: str, value: str = "v") -> DataFrame:
+    """All range counts of one attribute, as ``lo, hi, answer``."""
+    return all_range_answers_k(cells, domain, [attr], value).toDF("lo", "hi", "answer")
 
 
 def all_range_answers_2d(cells: DataFrame, domain: Domain, first: str, second: str, value: str = "v") -> DataFrame:
-    """All two-attribute range counts: ranges of the first attribute per code of
-    the second, then ranges of the second, both by differences of prefixes."""
-    prefix = prefix_answers(cells, domain, [first, second], value)
-    zero = F.lit(0).cast(prefix.schema["answer"].dataType)
-
-    def differences(table: DataFrame, attr: str, keys: list[str], lo: str, hi: str) -> DataFrame:
-        starts = table.select(*keys, (F.col(attr) + 1).alias(lo), F.col("answer").alias("_before")).filter(
-            F.col(lo) < domain[attr]
-        )
-        zeros = table.filter(F.col(attr) == 0).select(*keys, F.lit(0).alias(lo), zero.alias("_before"))
-        ranges = starts.unionAll(zeros).withColumn(hi, F.expr(f"explode(sequence({lo}, {domain[attr] - 1}))"))
-        return ranges.join(table.withColumnRenamed(attr, hi), [*keys, hi]).select(
-            *keys, lo, hi, (F.col("answer") - F.col("_before")).alias("answer")
-        )
-
-    one = differences(prefix, first, [second], "lo_1", "hi_1")
-    return differences(one, second, ["lo_1", "hi_1"], "lo_2", "hi_2").select("lo_1", "hi_1", "lo_2", "hi_2", "answer")
+    """All range counts of two attributes."""
+    return all_range_answers_k(cells, domain, [first, second], value)
 
 
 def marginal_answers(cells: DataFrame, domain: Domain, k: int, value: str = "v") -> DataFrame:

@@ -11,10 +11,16 @@ from cellview.operators import cells as C
 from cellview.session import materialize
 
 
+def laplace_histograms(cells: DataFrame, domain: Domain, epsilon: float, seed: str, trials: tuple[int, ...] = (0,)) -> DataFrame:
+    """Every cell of the domain plus independent Laplace noise, once per ``trial``; counted once."""
+    draw = noise.laplace(1.0 / epsilon, seed, "histogram", F.col("trial"), F.col("idx"))
+    listed = C.dense_vector(cells, domain).withColumn("trial", F.explode(F.array(*map(F.lit, trials))))
+    return listed.withColumn("y", noise.settle(F.col("v") + draw))
+
+
 def laplace_histogram(cells: DataFrame, domain: Domain, epsilon: float, seed: str, trial: int = 0) -> DataFrame:
-    """Every cell of the domain plus independent Laplace noise."""
-    draw = noise.laplace(1.0 / epsilon, seed, "histogram", trial, F.col("idx"))
-    return C.dense_vector(cells, domain).withColumn("y", noise.settle(F.col("v") + draw))
+    """The histogram of one trial."""
+    return laplace_histograms(cells, domain, epsilon, seed, (trial,)).drop("trial")
 
 
 def laplace_marginals(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cellview.domain import Domain
 from cellview.functions import noise
+from cellview.sources.sampling import sample_n
 from cellview.operators.layout import attach, number_rows
 
 
@@ -137,12 +138,17 @@ def random_cells(spark, domain: Domain, n: int, seed: str) -> DataFrame:
     return picked.filter("_in").select(*domain.attrs)
 
 
-def sparse_cells(draws: DataFrame, key: list[str], domain: Domain, cells: int, p: float, seed: str) -> DataFrame:
-    """Count table with exactly ``cells`` non-empty cells.
+def sparse_cells(draws: DataFrame, key: list[str], domain: Domain, rate: float, p: float, seed: str) -> DataFrame:
+    """Count table with a fraction ``rate`` of its cells filled, summing to the number of ``draws`` rows.
 
-    The counts are the histogram of geometric draws in ``cells`` even bins,
-    plus one, laid on the first cells in row-major order.
+    Every filled cell counts one to begin with; the rest of the rows, an exact
+    sample, draw geometric numbers, whose histogram in as many even bins is
+    added.  Cells are the first in row-major order.
     """
+    cells, size = int(domain.cells() * rate), draws.count()
+    if not 1 <= cells <= size:
+        raise ValueError(f"{size} rows cannot fill {cells} cells")
+    draws = sample_n(draws.select(*key), size - cells, key, seed)
     parts = [F.col(c) for c in key]
     x = draws.select(noise.geometric(p, seed, "sparse", *parts).alias("x"))
     low = x.agg(F.min("x")).scalar()
