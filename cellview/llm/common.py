@@ -28,6 +28,14 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellview.llm.common import store
+from cellview.llm.common import free_name, store
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,8 @@ class SpacedSeeds:
 
 
 def row_key(df: DataFrame):
-    """doc_id; a hash of the text where it is null."""
-    return F.coalesce(df["doc_id"].cast("bigint"), F.xxhash64(F.lit("no id"), df["text"].cast("string")))
+    """Hash of doc_id and text, so that different texts under one id are told apart."""
+    return F.xxhash64(df["doc_id"].cast("bigint"), df["text"].cast("string"))
 
 
 def _words(column):
@@ -116,9 +116,14 @@ def contained_items(docs: DataFrame, items: DataFrame, plan: SpacedSeeds = Space
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, plan: SpacedSeeds = SpacedSeeds()) -> DataFrame:
-    """Documents that contain no item."""
+    """Documents that contain no item, with their columns, whatever these are called.
+
+    A null or empty text contains nothing and stays; different texts under one id are judged apart; repeated rows
+    share their fate.
+    """
     found = store(contained_items(docs, items, plan).select("key").distinct(), "contaminated")
-    return docs.withColumn("key_", row_key(docs)).join(found.withColumnRenamed("key", "key_"), "key_", "left_anti").drop("key_")
+    key = free_name(docs, "key")
+    return docs.withColumn(key, row_key(docs)).join(found.withColumnRenamed("key", key), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle_sql(plan: SpacedSeeds = SpacedSeeds()) -> str:

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellview.llm import words as W
 from cellview.llm.common import fold_of, store, text_batches
@@ -159,9 +160,9 @@ def learn(docs: DataFrame, plan: Discrimination = Discrimination()) -> dict:
 
 
 def predict(docs: DataFrame, model: dict, plan: Discrimination, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score."""
+    """``row`` with the ``keep`` columns of ``docs``, whatever they are called, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([T.StructField("row", docs.select(*keep).schema, False), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     logistic = lambda m: 1 / (1 + np.exp(-np.clip(2 * m, -40, 40)))
 
     def judged(index, owners, letters):
@@ -198,18 +199,21 @@ def predict(docs: DataFrame, model: dict, plan: Discrimination, keep: list[str])
 
     def run(batches):
         for batch in batches:
-            text = batch.column("text_")
+            text = batch.column("text")
             for first, last, index, owners, letters in _grams(text, plan.dims):
                 lang, score = judged(index, owners, letters)
-                kept = [batch.column(c)[first:last] for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row")[first:last], pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    return text_batches(docs).select(*keep, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
+    return text_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, plan: Discrimination = Discrimination(), keep: list[str] | None = None) -> DataFrame:
-    """Learn from the folds that are not held out, then predict every document."""
-    keep = keep or ["doc_id"]
-    marked = docs.withColumn("draw", F.xxhash64(F.lit("draw"), F.col("doc_id").cast("string"), "text"))
+def identified(docs: DataFrame, plan: Discrimination = Discrimination()) -> DataFrame:
+    """Learn from the folds that are not held out, then predict every document: ``row`` (all columns), lang_pred, score."""
+    marked = docs.select("doc_id", "text", "lang", F.xxhash64(F.lit("draw"), F.col("doc_id").cast("string"), "text").alias("draw"))
     model = learn(marked.where(fold_of("doc_id", plan.folds) != plan.held_out), plan)
-    return predict(docs, model, plan, keep)
+    return predict(docs, model, plan, docs.columns)
+
+
+def identify(docs: DataFrame, plan: Discrimination = Discrimination()) -> DataFrame:
+    """doc_id, lang_pred and score of every document."""
+    return identified(docs.select("doc_id", "text", "lang"), plan).select("row.doc_id", "lang_pred", "score")

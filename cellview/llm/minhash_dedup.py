@@ -24,7 +24,8 @@ coordinates with a chance of 2e-6; at 0.9 of 1e-9.
 
 Defined results: null or blank texts have no shingles and link with nothing;
 rows with a null doc_id link with nothing, have a null component and are kept;
-rows that share a doc_id are one node; other columns are ignored.
+different texts that share a doc_id are nodes of their own, each with its own component, and
+equal ones are one node; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellview.llm import words as W
-from cellview.llm.common import components, store, text_batches
+from cellview.llm.common import components, free_name, store, text_batches
+from cellview.operators.layout import BROADCAST_ROWS, attach
 
 
 @dataclass(frozen=True)
@@ -101,7 +103,7 @@ _PARITY = [f"b{i}" for i in range(PARITY_WORDS)]
 
 
 def full_sets(docs: DataFrame, plan: NearDedup) -> DataFrame:
-    """doc_id, its sorted shingle hashes and a parity bitmap of them.
+    """doc_id, fingerprint, its sorted shingle hashes and a parity bitmap of them.
 
     Each shingle flips one of 512 bits.  Bits in which two bitmaps differ are at most as
     many as shingles that only one document has, so they bound the similarity exactly.
@@ -109,16 +111,16 @@ def full_sets(docs: DataFrame, plan: NearDedup) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, last, h, bounds, _ in _sets(plan, batch):
+            for first, last, h, bounds, (fa, fb) in _sets(plan, batch):
                 flat = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
                 parity = np.zeros((last - first, PARITY_WORDS), dtype=np.uint64)
                 slot = W.mix(h + np.uint64(3))
                 at = np.repeat(np.arange(last - first), np.diff(bounds)), ((slot >> np.uint64(6)) % np.uint64(PARITY_WORDS)).astype(np.int64)
                 np.bitwise_xor.at(parity, at, np.uint64(1) << (slot & np.uint64(63)))
                 words = [pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(PARITY_WORDS)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], flat, *words], names=["rep", "shingles", *_PARITY])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], pa.array(fa), pa.array(fb), flat, *words], names=["first_id", "fa", "fb", "shingles", *_PARITY])
 
-    return text_batches(docs).mapInArrow(run, "rep bigint, shingles array<bigint>, " + ", ".join(f"{b} bigint" for b in _PARITY))
+    return text_batches(docs).mapInArrow(run, "first_id bigint, fa bigint, fb bigint, shingles array<bigint>, " + ", ".join(f"{b} bigint" for b in _PARITY))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, plan: NearDedup) -> DataFrame:
@@ -140,9 +142,16 @@ def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketched = store(sketches(docs, plan), "sketches")
     usable = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    classes = store(
-        usable.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes"
-    )
+    # an id that several rows have names no single text: its classes go by a hash of their set instead
+    repeated = store(usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("first_id")), "repeated-ids")
+    n_repeated = repeated.count()
+    grouped = usable.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
+    if n_repeated:
+        marked = attach(grouped, repeated.withColumn("shared_id", F.lit(True)), ["first_id"], n_repeated, "left")
+        own = -F.pmod(F.xxhash64("fa", "fb", "n"), F.lit(1 << 62)) - F.lit(2)
+        classes = store(marked.withColumn("rep", F.when(F.col("shared_id"), own).otherwise(F.col("first_id"))).drop("shared_id"), "classes")
+    else:
+        classes = store(grouped.withColumn("rep", F.col("first_id")), "classes")
 
     # ---- postings under (coordinate, value); only values that occur twice can collide
     posted = classes.select("rep", F.posexplode("sig").alias("coordinate", "value")).select(
@@ -158,10 +167,18 @@ def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame
     merged = store(merged, "prefixes")
 
     # ---- full sets of what is left, and how many of their shingles occur elsewhere
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        merged.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
-    sets = store(full_sets(chosen, plan).join(classes.select("rep", "sig"), "rep"), "sets")
+    asked = merged.join(classes.select("rep", F.col("first_id").alias("doc_id")), "rep").select("doc_id") if n_repeated else merged.select(F.col("rep").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if n_repeated:  # of rows with one id, each text once
+        twice = attach(texts, repeated.select(F.col("first_id").alias("doc_id"), F.lit(True).alias("shared_id")), ["doc_id"], n_repeated, "left")
+        once = twice.where("shared_id").dropDuplicates(["doc_id", "text"])
+        texts = twice.where("shared_id IS NULL").unionByName(once).drop("shared_id")
+    chosen = texts.join(asked.distinct(), "doc_id", "left_semi")
+    keys = ["first_id", "fa", "fb"]
+    found = full_sets(chosen, plan).join(classes.select(*keys, "rep", "sig"), keys).drop(*keys)
+    if n_repeated:  # texts under one id may have equal sets
+        found = found.dropDuplicates(["rep"])
+    sets = store(found, "sets")
     single = sets.select("rep", F.explode("shingles").alias("s"))
     elsewhere = single.groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
     lonely = elsewhere.groupBy("rep").agg(F.count(F.lit(1)).alias("lonely"))
@@ -213,9 +230,12 @@ def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame
     all_links = links.unionByName(_confirmed(apart, sets, plan))
     final = components(all_links)
 
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fa", "fb", "n", F.coalesce("component", "rep").alias("component_id")
-    )
+    placed = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if n_repeated:  # components go by their smallest doc_id again
+        least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        of_class = attach(placed, least, ["component"], BROADCAST_ROWS + 1).select("fa", "fb", "n", "component_id")
+    else:
+        of_class = placed.select("fa", "fb", "n", F.col("component").alias("component_id"))
     return (
         sketched.join(of_class, ["fa", "fb", "n"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -224,11 +244,14 @@ def near_duplicates(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, plan: NearDedup = NearDedup()) -> DataFrame:
-    """``docs`` without near copies: of each group the rows with the smallest doc_id stay, once.
+    """``docs`` without near copies: of each group the rows with the smallest doc_id stay.
 
-    Rows that share the kept doc_id come down to one; rows with a null doc_id stay.
+    If several rows have that doc_id, each of their different texts stays once, so no text is
+    lost to another under its id.  Rows with a null doc_id stay.  Columns may have any names.
     """
-    kept = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias("kept_id")).where("kept_id IS NOT NULL").distinct()
-    rows = docs.withColumn("kept_id", F.col("doc_id").cast("bigint"))
-    named = rows.join(kept, "kept_id", "left_semi").drop("kept_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    key, text = free_name(docs, "kept_id"), free_name(docs, "text_key")
+    kept = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
+    rows = docs.withColumn(key, F.col("doc_id").cast("bigint")).withColumn(text, F.xxhash64("text"))
+    named = rows.join(kept, key, "left_semi").dropDuplicates([key, text])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*columns).unionByName(docs.where("doc_id IS NULL"))

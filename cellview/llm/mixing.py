@@ -21,9 +21,10 @@ third of all rows is spread over ``16 ** digits`` parts.
 Without given targets a source's units follow the square root of its size, which
 raises small sources; each gets one unit at least.
 
-Defined results: a null source is the source '(none)'; a null doc_id is keyed as empty
-text; rows that repeat a doc_id get places of their own; sources without documents and
-given targets take no slots; sources without a target get one unit.
+Defined results: a null source is the source '(none)'; a row with a null doc_id is keyed by its
+text; rows that repeat a doc_id get places of their own, equal ones in any order; sources without
+documents and given targets take no slots; sources without a target get one unit.  Columns of
+``docs`` called source_block, slot or block_offset are replaced; others have any names.
 """
 
 from __future__ import annotations
@@ -45,10 +46,13 @@ class Mix:
 
 def schedule(docs: DataFrame, targets: DataFrame | None = None, plan: Mix = Mix()) -> DataFrame:
     """``docs`` with source_block, slot and block_offset; ``targets``: (source, units)."""
-    names = ["mix_source", "mix_part", "mix_key", "source_block", "slot", "block_offset"]
-    kept = [c for c in docs.columns if c not in names]
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.select(*kept, F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("mix_source"), F.md5(id_text).alias("mix_key"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("source_block", "slot", "block_offset")]
+    # without an id the text spreads the rows
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    keyed = docs.select(
+        F.struct(*kept).alias("row"), F.xxhash64("text").alias("mix_text"), F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("mix_source"),
+        F.md5(id_text).alias("mix_key"),
+    )
     keyed = keyed.withColumn("mix_part", F.substring("mix_key", 1, plan.digits))
 
     parts = store(keyed.groupBy("mix_source", "mix_part").agg(F.count(F.lit(1)).alias("n")), "mix-parts")
@@ -99,7 +103,7 @@ def schedule(docs: DataFrame, targets: DataFrame | None = None, plan: Mix = Mix(
 
     # ---- number every document inside its source, then place its block
     numbered = keyed.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("mix_source", "mix_part").orderBy("mix_key", F.xxhash64("text"))) - 1
+        "rank", F.row_number().over(Window.partitionBy("mix_source", "mix_part").orderBy("mix_key", "mix_text")) - 1
     )
     small = starts.join(sources.select("mix_source", "units"), "mix_source")
     placed = (
@@ -112,7 +116,7 @@ def schedule(docs: DataFrame, targets: DataFrame | None = None, plan: Mix = Mix(
     )
     joined = placed.join(F.broadcast(pattern) if _few(pattern) else pattern, ["mix_source", "turn"]).where("own_round >= round AND own_round < until")
     return joined.select(
-        *kept, F.col("source_block").cast("bigint").alias("source_block"),
+        "row.*", F.col("source_block").cast("bigint").alias("source_block"),
         (F.col("slots_before") + (F.col("own_round") - F.col("round")) * F.col("slots") + F.col("place")).cast("bigint").alias("slot"),
         F.col("block_offset").cast("bigint").alias("block_offset"),
     )
