@@ -8,36 +8,48 @@ folder only through the operators.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellview.llm import decontaminate, language, minhash_dedup, mixing, secrets
 from cellview.llm.common import store, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; ``lang`` becomes the predicted one."""
-    plan = language.Discrimination()
-    found = language.identify(docs, plan, [c for c in docs.columns])
-    kind = docs.schema["lang"].dataType
-    return found.where("lang_pred <> 'und'").withColumn("lang", found["lang_pred"].cast(kind)).select(*docs.columns)
+    """Documents without a recognisable language go; ``lang`` becomes the predicted one.
+
+    Null texts and texts without a letter go; a null lang is predicted like others; repeated
+    rows share their fate.  An empty table stays empty.
+    """
+    found = language.identified(docs).where("lang_pred <> 'und'")
+    named = {"lang": F.col("lang_pred").cast(docs.schema["lang"].dataType)}
+    return found.select(*[named.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Different texts under the kept doc_id stay, equal ones once; rows with a null doc_id stay, and so
+    do texts without words, which link with nothing.
+    """
     return minhash_dedup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty texts, and all texts if there is no item, stay."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every row stays, null texts as they are."""
     return secrets.without_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their place in the mix: source_block, slot, block_offset."""
+    """Documents with their place in the mix: source_block, slot, block_offset.
+
+    Every row gets a place of its own, repeated ones too; a null source is one of its own.
+    Columns with the names of the three results are replaced.
+    """
     return mixing.schedule(docs)
 
 
