@@ -15,7 +15,7 @@ import time
 from pyspark.sql import functions as F
 
 from cellview.catalog.base import LI3, LI5, lineitem_cells, lineitem_codes
-from cellview.catalog.networks import NET3, grid_cells
+from cellview.catalog.networks import NET3, NET5, grid_cells
 from cellview.operators import answer as A
 from cellview.operators import cells as C
 from cellview.operators import workload as W
@@ -48,6 +48,7 @@ def main() -> None:
     cells3, cells5 = lineitem_cells(spark, SF), lineitem_cells(spark, SF, LI5)
     ids = spark.range(3000).withColumnRenamed("id", "query_id")
     queries = W.random_ranges(ids, LI3, 2, "bench")
+    many = W.random_ranges(spark.range(100_000).withColumnRenamed("id", "query_id"), LI3, 2, "bench")
     total = lineitem_codes(spark, SF).count()
     view = materialize(B.published(B.bisection_view(cells3, LI3, seed="warm", max_depth=5), LI3), "bench")
     frontier = C.root_block(cells5, LI5)
@@ -63,6 +64,7 @@ def main() -> None:
         "cut_scores": cut_scores,
         "view_range_count_3000": lambda: A.view_range_count(view, queries, LI3),
         "range_count_cells_3000": lambda: C.answer_ranges(cells3, queries, LI3),
+        "range_count_cells_100000": lambda: C.answer_ranges(cells3, many, LI3),
         "answer_prefix_2d": lambda: W.prefix_answers(cells5, LI5, ["q", "d"]),
         "answer_marginals_2way": lambda: W.marginal_answers(cells5, LI5, 2),
         "leveled_marginals": lambda: N.leveled_marginals(grid_cells(spark, SF, NET3), pairs, NET3),
@@ -72,9 +74,14 @@ def main() -> None:
         "bisect_view": lambda: B.bisection_view(cells3, LI3, seed="bench"),
         "tree_view": lambda: H.halving_view(cells3, LI3, seed="bench"),
         "l1_buckets": lambda: D.l1_buckets(cells3, LI3, 1.0, 0.5, "bench"),
+        "bisect_view_ten_trials": lambda: B.bisection_views(cells3, LI3, seed="bench", trials=tuple(range(10))),
+        "tree_view_ten_trials": lambda: H.halving_views(cells3, LI3, seed="bench", trials=tuple(range(10))),
         "network_synthesis": lambda: N.synthesize(
             grid_cells(spark, SF, NET3), spark.range(total).withColumnRenamed("id", "rid"), "rid", NET3, total, 1.0, seed="bench"
         ),
+        "network_synthesis_5": lambda: N.synthesize(
+            grid_cells(spark, SF, NET5), spark.range(total).withColumnRenamed("id", "rid"), "rid", NET5, total, 1.0, seed="bench"
+        ),
     }
     times = {}
     for name, run in quick.items():
