@@ -44,9 +44,9 @@ class Mix:
     digits: int = 2  # of the key, that split a source
 
 
-def schedule(docs: DataFrame, targets: DataFrame | None = None, plan: Mix = Mix()) -> DataFrame:
-    """``docs`` with source_block, slot and block_offset; ``targets``: (source, units)."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("source_block", "slot", "block_offset")]
+def schedule(docs: DataFrame, targets: DataFrame | None = None, plan: Mix = Mix(), keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (all columns, or those to ``keep``) with source_block, slot and block_offset; ``targets``: (source, units)."""
+    kept = [F.col(f"`{c}`") for c in (keep or docs.columns) if c not in ("source_block", "slot", "block_offset")]
     # without an id the text spreads the rows
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
     keyed = docs.select(

@@ -21,7 +21,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    placed = mixing.schedule(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     return placed.select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source"), "source_block", "slot", "block_offset")
 
 
