@@ -1,22 +1,27 @@
 """LM scoring with Brown class-based bigrams.
 
-Units: the ``frequent`` most frequent training words, the end mark, and for all other words
-one of ``endings`` units by their last two bytes.  Exchange clustering assigns units to
-classes: starting from a deal by frequency, each sweep computes for every unit, in
-parallel, the class that raises the class-bigram likelihood most, and half of the units
-that want to move do so.  Bigram counts of units come from all training texts.
-
-A token's probability is P(class | class before) * P(unit | class) * P(word | unit): class
-transitions are backed off to class frequencies, words inside an ending unit use
-absolute discounting, whose freed mass belongs to words never seen.  Over the known words
-and one symbol for unknown ones this sums to one.
-
-Word counts are exact over all training texts.  At most ``local`` of the most frequent
-words (16 bytes each) go to every task; rarer words of a document are joined with the
-counts by word hash, so no vocabulary is held in memory and no hot word is shuffled.
+Every training word has a class.  Exchange clustering assigns the ``frequent`` most
+frequent words and the end mark, with all other words as one further unit in a class of
+its own: starting from a deal by frequency, each sweep computes for every word, in
+parallel, the class that raises the class-bigram likelihood most, and half of the words
+that want to move do so (fewer, if the likelihood would not rise).  Every further word of the
+training texts then joins the class that its own left and right neighbours make likeliest: counts
+of (word, side, class of the neighbour) are gathered over all training texts, so the
+model's tables grow with the vocabulary.
+
+A token's probability is P(class | class before) * P(word | class).  Transitions are
+counted over all training texts by the final classes of all words and backed off to class
+frequencies.  Words use absolute discounting inside their class; the freed mass of all
+classes belongs to words never seen, as one symbol, so the sum over the known words and
+this symbol is one.  After an unseen word the context is the class that frees most mass.
+
+At most ``local`` of the most frequent words (17 bytes each) go to every task; rarer words of a
+document are joined with the word table by hash.  Such a word is at most one training token in
+``local``, and one that training never saw is rare too, as folds follow ids, so no key of this join is hot.
 
 Defined results: null text counts as empty and has one token, its end; null ids are keyed
-as empty text; repeated rows are learnt from and returned as often as they occur.
+as empty text; repeated rows are learnt from and returned as often as they occur.  Without
+training texts every token is the unseen symbol, which then has probability one.
 """
 
 from __future__ import annotations
@@ -38,74 +43,73 @@ END = np.uint64(0x5DEECE66D1234567)  # hash of the end mark
 @dataclass(frozen=True)
 class ClassModel:
     frequent: int = 2000
-    endings: int = 256
-    classes: int = 32
+    classes: int = 32  # at most 254
     sweeps: int = 5
     local: int = 1 << 18
     discount: float = 0.6
     folds: int = 7
     held_out: int = 2
 
-    @property
-    def units(self) -> int:
-        return self.frequent + self.endings
-
 
 def _texts(docs: DataFrame, *columns: str) -> DataFrame:
     return text_batches(docs).select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _endings(t: W.Tokens, plan: ClassModel) -> np.ndarray:
-    """Ending of each word: its last two bytes, A-Z lower-cased."""
-    last = W.LOWER[t.data[t.end - 1]].astype(np.int32)
-    before = np.where(t.end - t.start > 1, W.LOWER[t.data[np.maximum(t.end - 2, 0)]], 0).astype(np.int32)
-    return (last * 31 + before * 7) % plan.endings
+def _combined(batches, count, names: list[str]):
+    """Counts of one or more keys of a task's texts, combined in bounded memory.
 
+    ``count`` gives (hash, second key below 1,024, number) arrays of a slice of texts.
+    """
+    held: list = []
+    size = 0
 
-def word_counts(train: DataFrame, plan: ClassModel) -> DataFrame:
-    """(h, c, e) of every training token, ends included: hash, count, ending."""
+    def merged():
+        h, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        words, back = np.unique(h, return_inverse=True)
+        key, at = np.unique(back * 1024 + s, return_inverse=True)
+        return words[key // 1024], key % 1024, np.bincount(at, weights=n).astype(np.int64)
 
-    def run(batches):
-        held: list = []
-        size = 0
+    def out(h, s, n):
+        columns = {"h": pa.array(h.view(np.int64)), "s": pa.array(s.astype(np.int32)), "n": pa.array(n)}
+        for k in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([columns[c][k : k + 100_000] for c in names], names=names)
 
-        def merged():
-            h, c, e = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, at, back = np.unique(h, return_index=True, return_inverse=True)
-            return u, np.bincount(back, weights=c).astype(np.int64), e[at]
+    for batch in batches:
+        for t in W.tokens(batch.column("text")):
+            held.append(count(t))
+            size += len(held[-1][0])
+            if size > 1_500_000:  # bounds a task's memory
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 1_000_000:
+                    yield from out(*held[0])
+                    held, size = [], 0
+    if held:
+        yield from out(*merged())
 
-        def out(h, c, e):
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(e)], names=["h", "c", "e"])
 
-        for batch in batches:
-            for t in W.tokens(batch.column("text")):
-                h, at, c = np.unique(t.hash, return_index=True, return_counts=True)
-                held += [(h, c, _endings(t, plan)[at]), (np.array([END]), np.array([t.rows]), np.zeros(1, np.int32))]
-                size += len(h)
-                if size > 1_500_000:  # bounds a task's memory
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 1_000_000:
-                        yield out(*held[0])
-                        held, size = [], 0
-        if held:
-            yield out(*merged())
+def word_counts(train: DataFrame) -> DataFrame:
+    """(h, c): hash and count of every training token, ends included."""
+
+    def count(t):
+        h, n = np.unique(t.hash, return_counts=True)
+        return np.append(h, END), np.zeros(len(h) + 1, np.int64), np.append(n, t.rows)
 
-    return train.mapInArrow(run, "h bigint, c bigint, e int").groupBy("h").agg(F.sum("c").alias("c"), F.min("e").alias("e"))
+    return train.mapInArrow(lambda batches: _combined(batches, count, ["h", "n"]), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
 
 
 class _Units:
-    """Units of tokens: rank among the frequent words, or an ending."""
+    """Units of tokens: rank among the frequent words, or one unit for all others."""
 
-    def __init__(self, hashes: np.ndarray, plan: ClassModel):
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
-        self.plan = plan
+        self.rest = len(hashes)
 
     def __call__(self, t: W.Tokens) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, t.hash), len(self.sorted) - 1)
-        hit = self.sorted[at] == t.hash
-        return np.where(hit, self.order[at], self.plan.frequent + _endings(t, self.plan))
+        return np.where(self.sorted[at] == t.hash, self.order[at], self.rest)
 
     @property
     def end(self) -> int:
@@ -122,7 +126,7 @@ def _with_ends(t: W.Tokens, values: np.ndarray, end) -> tuple[np.ndarray, np.nda
 
 def bigram_counts(train: DataFrame, units: _Units) -> DataFrame:
     """(u, v, n): how often unit v follows unit u; a text begins after an end."""
-    size = units.plan.units
+    size = units.rest + 1
 
     def run(batches):
         total = np.zeros(size * size, dtype=np.int64)
@@ -146,11 +150,23 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: DataFrame, plan: ClassModel, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit and the class-bigram counts."""
-    spark, k = bigrams.sparkSession, plan.classes
-    rank = np.argsort(np.argsort(-frequency, kind="stable"), kind="stable")
-    cls = (rank % k).astype(np.int64)
+def likelihood(counts: np.ndarray) -> float:
+    """What of the class-bigram log likelihood depends on the classes."""
+    return float(_f(counts).sum() - _f(counts.sum(axis=1)).sum() - _f(counts.sum(axis=0)).sum())
+
+
+def exchange(bigrams: DataFrame, plan: ClassModel, rest: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Class of each unit, the class-bigram counts, and the likelihood before and after each sweep.
+
+    Unit ``rest``, all further words, stays alone in the last class.  The table of units is of
+    bounded size: at most ``frequent`` rows of as many neighbours.
+    """
+    spark, k = bigrams.sparkSession, plan.classes + 1
+    frequency = np.zeros(rest + 1)
+    for r in bigrams.groupBy("v").agg(F.sum("n").alias("n")).collect():
+        frequency[r.v] = r.n
+    rank = np.argsort(np.argsort(-frequency[:rest], kind="stable"), kind="stable")
+    cls = np.append(rank % plan.classes, plan.classes).astype(np.int64)
     # one row per unit with its at most ``units`` neighbours on either side
     after = bigrams.groupBy(F.col("u").alias("unit")).agg(F.collect_list("v").alias("rv"), F.collect_list("n").alias("rn"))
     ahead = bigrams.groupBy(F.col("v").alias("unit")).agg(F.collect_list("u").alias("lv"), F.collect_list("n").alias("ln"))
@@ -174,6 +190,7 @@ def exchange(bigrams: DataFrame, plan: ClassModel, frequency: np.ndarray) -> tup
         return out
 
     counts = class_counts(cls)
+    trace = [likelihood(counts)]
     for sweep in range(plan.sweeps):
         shared = spark.sparkContext.broadcast((cls, counts))
 
@@ -196,133 +213,251 @@ def exchange(bigrams: DataFrame, plan: ClassModel, frequency: np.ndarray) -> tup
                     m[a] -= r
                     m[:, a] -= left
                     m[a, a] -= self_n
-                    rows_, cols = m.sum(axis=1), m.sum(axis=0)
+                    rows_, cols = m.sum(axis=1) + left, m.sum(axis=0) + r  # what stands next to this unit counts, whatever its class
                     d = np.arange(k)
                     gain = (_f(m + r) - _f(m)).sum(axis=1) + (_f(m + left[:, None]) - _f(m)).sum(axis=0)
                     both = m[d, d]
                     gain += _f(both + r + left + self_n) - _f(both + r) - _f(both + left) + _f(both)
                     gain -= _f(rows_ + r.sum() + self_n) - _f(rows_) + _f(cols + left.sum() + self_n) - _f(cols)
+                    gain[k - 1] = -np.inf
                     best.append(int(gain.argmax()))
                     gains.append(float(gain.max() - gain[a]))
                 yield pd.DataFrame({"unit": frame["unit"], "best": best, "gain": gains})
 
-        wanted = rows.mapInPandas(run, "unit int, best int, gain double").where("gain > 1e-9").collect()
-        cls = cls.copy()
-        for r in wanted:
-            if (r.unit * 2654435761 + sweep * 40503) >> 7 & 1:  # moves of neighbours at once can undo each other
-                cls[r.unit] = r.best
-        counts = class_counts(cls)
-    return cls, counts
+        wanted = rows.where(F.col("unit") != rest).mapInPandas(run, "unit int, best int, gain double").where("gain > 1e-9").collect()
+        for share in (2, 8, 32):  # moves of neighbours at once can undo each other
+            moved = cls.copy()
+            for r in wanted:
+                if ((r.unit * 2654435761 + sweep * 40503) >> 7) % share == 0:
+                    moved[r.unit] = r.best
+            after = class_counts(moved)
+            if likelihood(after) > trace[-1]:
+                cls, counts = moved, after
+                trace.append(likelihood(after))
+                break
+        else:
+            break
+    return cls, counts, trace
+
+
+def contexts(train: DataFrame, units: _Units, cls: np.ndarray, plan: ClassModel) -> DataFrame:
+    """(h, s, n): neighbours of every further word by class, before it (s < k) and behind it (s - k)."""
+    k = plan.classes + 1
+    shared = train.sparkSession.sparkContext.broadcast((units, cls))
+
+    def count(t):
+        units, cls = shared.value
+        u, _ = _with_ends(t, units(t), units.end)
+        h, _ = _with_ends(t, t.hash, END)
+        at = np.flatnonzero(u == units.rest)
+        near = cls[np.append(u, units.end)]  # the last token is an end; so is what stands at -1
+        return np.tile(h[at], 2), np.concatenate([near[at - 1], near[at + 1] + k]), np.ones(2 * len(at), np.int64)
+
+    return train.mapInArrow(lambda batches: _combined(batches, count, ["h", "s", "n"]), "h bigint, s int, n bigint").groupBy("h", "s").agg(F.sum("n").alias("n"))
+
+
+def _joined_class(before: np.ndarray, behind: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per word (row) the class that gains most likelihood by taking it in; ties to the lower class."""
+    k = counts.shape[0] - 1
+    gain = np.zeros((len(before), k))
+    for side, other, m in ((behind, before, counts[:k]), (before, behind, counts.T[:k])):
+        w, b = np.nonzero(side)
+        old = m[:, b].T
+        np.add.at(gain, w, _f(old + side[w, b][:, None]) - _f(old))
+        total, sums = side.sum(axis=1)[:, None], m.sum(axis=1) + other[:, :k]
+        gain -= _f(sums + total) - _f(sums)
+    w, d = np.nonzero((before[:, :k] > 0) & (behind[:, :k] > 0))
+    m, r, left = counts[d, d], behind[w, d], before[w, d]
+    gain[w, d] += _f(m + r + left) - _f(m + r) - _f(m + left) + _f(m)
+    return gain.argmax(axis=1)
+
+
+def join_classes(found: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(h, c, cls) of every further word from its ``contexts``."""
+    k = counts.shape[0]
+    shared = found.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            seen = batch.column("seen")
+            flat = seen.flatten()
+            size = np.diff(seen.offsets.to_numpy())
+            side = np.zeros((batch.num_rows, 2 * k))
+            side[np.repeat(np.arange(batch.num_rows), size), flat.field("s").to_numpy()] = flat.field("n").to_numpy()
+            cls = _joined_class(side[:, :k], side[:, k:], shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(side[:, :k].sum(axis=1).astype(np.int64)), pa.array(cls.astype(np.int32))], names=["h", "c", "cls"])
+
+    # at most two neighbours per class
+    lists = found.groupBy("h").agg(F.collect_list(F.struct("s", "n")).alias("seen"))
+    return lists.mapInArrow(run, "h bigint, c bigint, cls int")
 
 
 def fit(docs: DataFrame, plan: ClassModel = ClassModel()) -> tuple[dict, DataFrame]:
-    """The model's tables (all of bounded size) and the stored counts of all words."""
+    """The model's tables of bounded size and the stored table of all words: h, c, cls."""
+    spark = docs.sparkSession
     train = _texts(docs.where(fold_of("doc_id", plan.folds) != plan.held_out))
-    counts = store(word_counts(train, plan), "word-counts")
-    totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    top = word_counts(train).orderBy(F.desc("c"), "h").limit(plan.frequent).toPandas()
+    chosen = top["h"].to_numpy(np.int64).view(np.uint64)
+    times = dict(zip(top["h"], top["c"], strict=True))
+    if END not in chosen:
+        chosen = np.concatenate([chosen[: plan.frequent - 1], np.array([END], dtype=np.uint64)])
+    units = _Units(chosen)
+    bigrams = store(bigram_counts(train, units), "bigrams")
+    cls, counts, trace = exchange(bigrams, plan, units.rest)
+    ends = bigrams.where(F.col("v") == units.end).agg(F.sum("n")).first()[0] or 0
+    core = [(int(h), int(times.get(h, ends)), int(a)) for h, a in zip(chosen.view(np.int64), cls, strict=False)]
+    core = spark.createDataFrame([r for r in core if r[1]], "h bigint, c bigint, cls int")
+    words = store(core.unionByName(join_classes(contexts(train, units, cls, plan), counts)), "words")
+    of_class = {r.cls: r for r in words.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    k = plan.classes
+    tokens, types = (np.array([of_class[a][x] if a in of_class else 0 for a in range(k)], dtype=float) for x in ("n", "v"))
     # the most frequent words by steps of a sixteenth of a doubling, so that only they reach the driver
     step = F.floor(F.log2("c") * 16).cast("int")
     cut, taken = 0, 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         taken += r.n
         cut = r.step if taken <= plan.local else cut
         if taken > plan.local:
             cut = r.step + 1
             break
-    top = counts.where(step >= cut).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
-    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    chosen = h[: plan.frequent]
-    if END not in chosen:
-        chosen = np.concatenate([chosen[: plan.frequent - 1], np.array([END], dtype=np.uint64)])
-    if not len(h):
-        h, c = np.array([END], dtype=np.uint64), np.zeros(1, np.int64)
-    units = _Units(chosen, plan)
-    bigrams = store(bigram_counts(train, units), "bigrams")
-    size = plan.units
-    frequency = np.zeros(size)
-    for r in bigrams.groupBy("v").agg(F.sum("n").alias("n")).collect():
-        frequency[r.v] = r.n
-    cls, classes = exchange(bigrams, plan, frequency)
-
-    # types of the ending units: all words but the frequent ones
-    known = np.zeros(plan.endings)
-    for r in counts.groupBy("e").agg(F.count(F.lit(1)).alias("n")).collect():
-        known[r.e] = r.n
-    frequent = dict(zip(top["h"], top["e"], strict=True))
-    for x in chosen.view(np.int64):
-        if x in frequent:
-            known[frequent[x]] -= 1
-    k = plan.classes
-    inner, unit_class = np.zeros(k), cls
-    np.add.at(inner, unit_class, frequency)
-    members = np.bincount(unit_class, minlength=k)
-    share = (inner + 1) / (inner.sum() + k)
-    transition = (classes + k * share[None, :]) / (classes.sum(axis=1, keepdims=True) + k)
-    emission = (frequency + 0.1) / (inner[unit_class] + 0.1 * members[unit_class])
-    order = np.argsort(h)
+    near = words.where(step >= cut).toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64), ignore_index=True)
     model = {
-        "n": int(totals.n or 0), "v": int(totals.v or 0), "units": units, "cls": cls,
-        "transition": np.log10(transition), "emission": np.log10(emission),
-        "types": known, "tokens": np.maximum(frequency[plan.frequent :], 0.0), "h": h[order], "c": c[order],
+        "n": int(tokens.sum()), "v": int(types.sum()), "tokens": tokens, "types": types, "trace": trace, "end": int(cls[units.end]),
+        "h": near["h"].to_numpy(np.int64).view(np.uint64), "c": near["c"].to_numpy(np.int64), "cls": near["cls"].to_numpy(np.uint8),
     }
-    return model, counts
+    return model, words
 
 
-def score(docs: DataFrame, model: dict, counts: DataFrame, plan: ClassModel = ClassModel()) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    base_low = float(np.log10(model["n"] + model["v"] + 1))
+def classified(docs: DataFrame, model: dict, words: DataFrame, plan: ClassModel) -> DataFrame:
+    """One row per document, stored: doc_id, held_out, n_tokens, n_known, base, inner and seq.
 
-    def run(batches):
-        m = shared.value
-        units, cls, h_, c_ = m["units"], m["cls"], m["h"], m["c"]
-        tokens_of, types_of = m["tokens"], m["types"]
+    ``inner`` sums log10 of the discounted counts of known tokens; ``seq`` holds one byte per token, its class, or
+    the number of classes for a token that training never saw.
+    """
+    unseen, later = plan.classes, 255
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((model["h"], model["c"], model["cls"]))
+
+    def near(batches):
+        h_, c_, cls_ = shared.value
         for batch in batches:
             for t in W.tokens(batch.column("text")):
                 h, bounds = _with_ends(t, t.hash, END)
-                u, _ = _with_ends(t, units(t), units.end)
                 owner = np.repeat(np.arange(t.rows), np.diff(bounds))
-                before = np.concatenate([[units.end], u[:-1]])
-                value = m["transition"][cls[before], cls[u]] + m["emission"][u]
-                at = np.minimum(np.searchsorted(h_, h), len(h_) - 1)
-                local = h_[at] == h
-                count = np.where(local, c_[at], 0)
-                rare = u >= plan.frequent
-                q = np.where(rare, u - plan.frequent, 0)
-                value -= np.where(rare, np.log10(np.maximum(tokens_of[q], 1.0)), 0.0)
-                value += np.where(rare & local, np.log10(np.maximum(count - plan.discount, 1e-3)), 0.0)
+                if len(h_):
+                    at = np.minimum(np.searchsorted(h_, h), len(h_) - 1)
+                    known = h_[at] == h
+                    count, seq = np.where(known, c_[at], 1), np.where(known, cls_[at], later).astype(np.uint8)
+                else:
+                    known, count, seq = np.zeros(len(h), bool), np.ones(len(h), np.int64), np.full(len(h), later, np.uint8)
                 total = lambda x: np.bincount(owner, weights=x, minlength=t.rows)
-                base = np.where(local, np.log10(count + 1.0), 0.0) - base_low
-                left = np.flatnonzero(~local)
-                order = left[np.lexsort((h[left], owner[left]))]
-                keys = np.stack([owner[order].astype(np.uint64), h[order]])
-                first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(order) else order
-                times = np.diff(np.append(first, len(order)))
-                unseen = np.log10(np.maximum(plan.discount * types_of[q], 1e-3))
-                cut = np.searchsorted(owner[order][first], np.arange(t.rows + 1)).astype(np.int32)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x))
+                left = np.flatnonzero(~known)
+                order = left[np.lexsort((h[left], owner[left]))]  # rare tokens by text and word
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                first = np.flatnonzero(fresh)
+                cut = np.searchsorted(owner[order][first], np.arange(t.rows + 1))
+                which = np.zeros(len(h), np.int32)
+                which[order] = np.cumsum(fresh) - 1 - cut[owner[order]]
+                lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[t.first : t.last], batch.column("held_out")[t.first : t.last], pa.array(np.diff(bounds)),
-                        pa.array(total(local & (count > 0)).astype(np.int64)), pa.array(total(base)), pa.array(total(value)),
-                        lists(h[order][first].view(np.int64)), lists(times.astype(np.int32)), lists(unseen[order][first].astype(np.float32)),
+                        pa.array(total(known).astype(np.int64)), pa.array(total(np.where(known, np.log10(count + 1.0), 0.0))),
+                        pa.array(total(np.where(known, np.log10(count - plan.discount), 0.0))),
+                        pa.array([seq[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                        lists(cut, h[order][first].view(np.int64)), lists(np.searchsorted(owner[left], np.arange(t.rows + 1)), which[left]),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "value", "rh", "rt", "ru"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "seq", "rare", "which"],
                 )
 
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base double, inner double, seq binary"
     held = fold_of("doc_id", plan.folds) == plan.held_out
-    near = _texts(docs.withColumn("held_out", held), "doc_id", "held_out").mapInArrow(
-        run,
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, value double, rh array<bigint>, rt array<int>, ru array<float>",
-    )
-    near = store(near.withColumn("uid", F.monotonically_increasing_id()), "scored")
-    rare = near.select("uid", F.explode(F.arrays_zip("rh", "rt", "ru")).alias("x")).select("uid", F.col("x.rh").alias("h"), F.col("x.rt").alias("t"), F.col("x.ru").alias("un"))
-    looked = rare.join(counts.select("h", "c"), "h", "left").select(
-        "uid", F.when(F.col("c").isNotNull(), F.col("t")).otherwise(0).alias("k"), (F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("b"),
-        (F.col("t") * F.coalesce(F.log10(F.col("c") - plan.discount), F.col("un"))).alias("s"),
-    )
-    added = looked.groupBy("uid").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    return near.drop("rh", "rt", "ru").join(added, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model["n"]).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("value") + F.coalesce("s", F.lit(0.0))).alias("score"),
-    )
+    rows = _texts(docs.select("doc_id", "text", held.alias("held_out")), "doc_id", "held_out").mapInArrow(near, f"{out}, rare array<bigint>, which array<int>")
+    rows = store(rows.withColumn("uid", F.monotonically_increasing_id()), "classified")
+    rare = rows.select("uid", F.posexplode("rare").alias("at", "h"))
+    found = rare.join(words, "h").groupBy("uid").agg(F.collect_list(F.struct("at", "c", "cls")).alias("found"))  # words of one document
+
+    def settle(batches):
+        for batch in batches:
+            known, base, inner, seqs = [], [], [], []
+            for seq, which, found in zip(batch.column("seq"), batch.column("which"), batch.column("found"), strict=True):
+                seq, which = np.frombuffer(seq.as_buffer(), np.uint8).copy(), which.values.to_numpy()
+                count, cls = np.zeros(which.max(initial=-1) + 1, np.int64), np.full(which.max(initial=-1) + 1, unseen, np.uint8)
+                if found.is_valid:
+                    at = found.values.field("at").to_numpy()
+                    count[at], cls[at] = found.values.field("c").to_numpy(), found.values.field("cls").to_numpy()
+                c = count[which]
+                seq[seq == later] = cls[which]
+                known.append(int((c > 0).sum()))
+                base.append(float(np.log10(c + 1.0).sum()))
+                inner.append(float(np.log10(c[c > 0] - plan.discount).sum()))
+                seqs.append(seq.tobytes())
+            add = lambda name, x: pa.array(batch.column(name).to_numpy() + np.array(x, dtype=batch.column(name).to_numpy().dtype))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), add("n_known", known), add("base", base), add("inner", inner), pa.array(seqs, pa.binary())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "seq"],
+            )
+
+    return store(rows.drop("rare").join(found, "uid", "left").drop("uid").mapInArrow(settle, out), "class-sequences")
+
+
+def _pairs(seqs: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all neighbouring tokens of some texts, and the texts' bounds.  A text begins after an end."""
+    seqs = seqs.cast(pa.large_binary())
+    offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    now = np.frombuffer(seqs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+    bounds = offsets - offsets[0]
+    before = np.concatenate([[end], now[:-1]])
+    before[bounds[:-1]] = end
+    return before, now, bounds
+
+
+def transitions(rows: DataFrame, model: dict, plan: ClassModel) -> np.ndarray:
+    """log10 of P(class | class before), with a last column and row for the unseen symbol."""
+    k, end = plan.classes, model["end"]
+
+    def run(batches):
+        total = np.zeros((k + 1) ** 2, np.int64)
+        for batch in batches:
+            before, now, _ = _pairs(batch.column("seq"), end)
+            total += np.bincount(before * (k + 1) + now, minlength=(k + 1) ** 2)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["p", "n"])
+
+    counts = np.zeros((k + 1) ** 2)
+    for r in rows.where("NOT held_out").select("seq").mapInArrow(run, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).collect():
+        counts[r.p] = r.n
+    counts = counts.reshape(k + 1, k + 1)[:k, :k]
+    tokens, types = model["tokens"], model["types"]
+    share = (tokens + 1) / (tokens.sum() + k)
+    known = (counts + k * share[None, :]) / (counts.sum(axis=1, keepdims=True) + k)
+    freed = (plan.discount * types + 1) / (tokens + 1)
+    table = np.column_stack([np.log10(known) - np.log10(tokens + 1)[None, :], np.log10(known @ freed)])
+    return np.vstack([table, table[int((plan.discount * types).argmax())]])
+
+
+def score(docs: DataFrame, model: dict, words: DataFrame, plan: ClassModel = ClassModel()) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    rows = classified(docs, model, words, plan)
+    table, end = transitions(rows, model, plan), model["end"]
+    base_low = float(np.log10(model["n"] + model["v"] + 1))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before, now, bounds = _pairs(batch.column("seq"), end)
+            value = np.add.reduceat(table[before, now], bounds[:-1]) + batch.column("inner").to_numpy()
+            tokens = batch.column("n_tokens").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), batch.column("n_known"),
+                    pa.array(np.full(batch.num_rows, model_n)), pa.array(batch.column("base").to_numpy() - tokens * base_low), pa.array(value),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    model_n = np.int64(model["n"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
