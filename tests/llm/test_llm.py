@@ -213,6 +213,7 @@ def test_html_text(spark, sf):
         assert got.text == " ".join(html.unescape(re.sub(r"</?[a-z0-9]+>", " ", inside)).split()) and got.n_chars == len(got.text)
     page = '<body><nav>Home</nav><div class="cookie-notice"><p>We use cookies, ok.</p></div><div class="post-content"><h1>Title</h1><p>Some <b>bold</b> text, it goes on. And on.</p></div><div class="comments"><p>I like it, thanks.</p></div><footer>c</footer>'
     assert html_text.main_text(page, model) == "Title Some bold text, it goes on. And on."
+    assert "<" not in html_text.main_text("<article>" + '<p>Some <a href="foo>text</a> here.</p>' * 3 + "</article>", model)
     assert html_text.main_text(None, model) == html_text.main_text("<", model) == html_text.main_text("<p", model) == ""
 
 
