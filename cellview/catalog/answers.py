@@ -27,7 +27,7 @@ from cellview.plans import bisection as B
 from cellview.plans import dense as D
 from cellview.plans import halving as H
 from cellview.plans import network as N
-from cellview.session import fresh_path
+from cellview.session import fresh_path, materialize
 from cellview.sources import tables as T
 
 VIEW_SQL = f"{cells_sql()}, {BOX_SQL}"
@@ -237,8 +237,8 @@ def comparison_sql(methods, trials: int, seed: str) -> str:
 
 
 def comparison(spark, sf, methods, trials: int, seed: str):
-    cells = lineitem_cells(spark, sf)
-    queries = customer_queries(spark, sf, seed=seed)
+    cells = materialize(lineitem_cells(spark, sf), "cells")  # every release and the truths read them
+    queries = materialize(customer_queries(spark, sf, seed=seed), "queries")
     truths = C.answer_ranges(cells, queries, LI3).selectExpr("query_id", "total AS truth")
     views = None
     for method in methods:
@@ -324,7 +324,7 @@ def all_workloads_sql(methods, trials: int, seed: str) -> str:
 @query("compare_workloads", all_workloads_sql(CHEAP, 10, "cw"))
 def compare_workloads(spark, sf):
     """Ten trials of two releases, built together, on every workload."""
-    cells, views = lineitem_cells(spark, sf), None
+    cells, views = materialize(lineitem_cells(spark, sf), "cells"), None
     for method in CHEAP:
         view = release(spark, sf, cells, method, "cw", tuple(range(10)))
         views = view if views is None else views.unionAll(view)

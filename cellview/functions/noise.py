@@ -14,6 +14,7 @@ bits of floating-point noise; ``discrete_laplace`` draws integers instead.
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ def _column(part) -> Column:
 
 
 def key_of(*parts) -> Column:
-    """Join key parts with ``|``; plain Python values become literals."""
-    return F.concat_ws("|", *[_column(p).cast("string") for p in parts])
+    """Join key parts with ``|``; plain Python values become literals, one for each run of them."""
+    runs = groupby(parts, lambda p: isinstance(p, Column))
+    joined = [x for columns, run in runs for x in (run if columns else ["|".join(map(str, run))])]
+    return F.concat_ws("|", *[_column(p).cast("string") for p in joined])
 
 
 def unit(*key) -> Column:
@@ -37,6 +40,20 @@ def unit(*key) -> Column:
     return (F.conv(head, 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_52)
 
 
+def rounded(u: Column, digits: int) -> Column:
+    """``round(u, digits)`` of draws in (0, 1), to at most 9 digits.
+
+    Spark rounds a double by way of its decimal text.  A draw that is clear of the middle between two
+    decimals gets the same one from its number, and only one in 50,000 goes by the text.  ``u`` is read
+    several times and should be a column, not the draw itself.
+    """
+    if not 0 <= digits <= 9:
+        raise ValueError("digits must be between 0 and 9")
+    power = F.lit(float(10**digits))
+    near = u * power + F.lit(0.5)
+    return F.when((near - F.floor(near)).between(1e-5, 1 - 1e-5), F.floor(near) / power).otherwise(F.round(u, digits))
+
+
 def settle(c: Column, digits: int = DIGITS) -> Column:
     """Round and turn a negative zero into zero."""
     return F.round(c, digits) + F.lit(0.0)

@@ -304,7 +304,7 @@ def ancestral_sample(
     """One synthetic record per row of ``rows``.
 
     Each parent cell is one row with the upper bounds of its child's codes, so
-    a record finds its distribution by an equi-join and its code inside it.
+    a record finds its distribution by an equi-join and its code inside it, by halving.
     """
     attrs = list(levels)
     key = ["child", *[f"p_{a}" for a in attrs]]
@@ -314,8 +314,6 @@ def ancestral_sample(
     out = rows.select(row_key)
     for f in model:
         mine = tables.filter(F.col("child") == f.child)
-        u = noise.unit(seed, "record", trial, f.child, F.col(row_key))
-        u = F.round(u, 9)
         if not f.parents:
             out = out.withColumn("_cdf", mine.select("cdf").scalar())
         else:
@@ -324,10 +322,15 @@ def ancestral_sample(
             # a row holds one number per code of the child, so the bound counts numbers
             cells = math.prod(levels[a].sizes[lvl] for a, lvl in f.parents) * levels[f.child].sizes[0]
             out = attach(out.selectExpr("*", *lifted), mine.select(*on, F.col("cdf").alias("_cdf")), on, cells).drop(*on)
-        # the outer lambda draws once per record, not once per code; the default
-        # tells Spark that codes are never null, so joins need no extra filter
-        place = "transform(array(_u), u -> least(size(filter(_cdf, c -> c <= u)), size(_cdf) - 1))[0]"
-        out = out.withColumn("_u", u).withColumn(f.child, F.expr(f"coalesce(int({place}), 0)")).drop("_u", "_cdf")
+        u = noise.unit(seed, "record", trial, f.child, F.col(row_key))
+        # bounds up to the draw are counted by halving, one step per projection: Spark keeps them apart
+        # and compiles them; a count is never null, so joins need no extra filter
+        out = out.withColumn("_u", u).withColumns({"_u": noise.rounded(F.col("_u"), 9), f.child: F.lit(0)})
+        step = 1 << (levels[f.child].sizes[0].bit_length() - 1)
+        while step:
+            more = f"if(coalesce(get(_cdf, `{f.child}` + {step - 1}) <= _u, false), {step}, 0)"
+            out, step = out.withColumn(f.child, F.expr(f"`{f.child}` + {more}")), step // 2
+        out = out.withColumn(f.child, F.expr(f"least(`{f.child}`, size(_cdf) - 1)")).drop("_u", "_cdf")
     return out.select(row_key, *attrs)
 
 
@@ -335,7 +338,8 @@ def synthesize(
     cells: DataFrame, rows: DataFrame, row_key: str, levels: Levels, total: int, epsilon: float, theta: float = 4.0,
     seed: str = "seed", trial: int = 0,
 ) -> DataFrame:
-    """Structure, noisy marginals and sampling with one budget."""
+    """Structure, noisy marginals and sampling with one budget; the cells, read at every step, are counted once."""
+    cells = materialize(cells, "cells")
     model = learn_structure(cells, levels, total, epsilon, theta, seed, trial)
     families = noisy_families(cells, model, levels, epsilon, seed, trial)
     return ancestral_sample(rows, row_key, conditionals(families, levels), model, levels, seed, trial)
